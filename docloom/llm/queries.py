@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, substring
+from . import ngram_join, pii, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_pii": pii.op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op7_secret_scan": secrets.OP7_SQL,
 }
