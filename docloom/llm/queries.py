@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, pii, quality, secrets, substring
+from . import licences, ngram_join, ogg, packing, pii, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_ogg": ogg.op1_media_ogg,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_pii": pii.op8_pii,
+    "op10_licence_scan": licences.op10_licence_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
