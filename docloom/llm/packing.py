@@ -23,6 +23,7 @@ from collections.abc import Iterable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Permitted sequence lengths, in words.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -73,13 +74,17 @@ def _best_fit(sizes: Sequence[int], lengths: Sequence[int], top: int) -> tuple[l
     return placed, used
 
 
-def pieces(docs: DataFrame, id_col: str, n_words: Column, longest: int) -> DataFrame:
-    """``id, piece, start, size``: one row for each piece; documents without words have one of size 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), n_words.cast("long").alias("n"))
+def pieces(docs: DataFrame, id_col: str, n_words: Column, longest: int, carry: Sequence[str] = (), text_col: str | None = None) -> DataFrame:
+    """``id, piece, start, size, rest``: one row for each piece; documents without words have one of size 0.
+
+    ``rest`` has the columns of ``carry`` and, with ``text_col``, the piece's own part of that text.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), n_words.cast("long").alias("n"), F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("rest"), *([F.col(text_col).alias("text")] if text_col else []))
     last = F.greatest(F.ceil(F.col("n") / longest), F.lit(1)).cast("int") - 1
-    rows = rows.select("id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    start = F.col("piece").cast("long") * longest
-    return rows.select("id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(longest)).cast("int").alias("size"))
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece").cast("long") * longest)
+    rows = rows.withColumn("size", F.least(F.col("n") - F.col("start"), F.lit(longest)).cast("int"))
+    rest = F.col("rest").withField("text", piece_text(F.col("text"), F.col("start"), F.col("size"), F.col("n"))) if text_col else F.col("rest")
+    return rows.select("id", "piece", "start", "size", rest.alias("rest"))
 
 
 def _pack_shard(lengths: Sequence[int]):
@@ -87,7 +92,7 @@ def _pack_shard(lengths: Sequence[int]):
         table = table.sort_by([("size", "descending"), ("id", "ascending"), ("piece", "ascending")])
         placed = pack(table.column("size").to_pylist(), lengths)
         shard = table.column("shard").to_pylist()
-        columns = {name: table.column(name) for name in ("id", "piece", "start", "size")}
+        columns = {name: table.column(name) for name in ("id", "piece", "start", "size", "rest")}
         columns["bin"] = pa.array([(s << 32) + b for s, (b, _, _) in zip(shard, placed, strict=True)], pa.int64())
         columns["capacity"] = pa.array([c for _, c, _ in placed], pa.int32())
         columns["offset"] = pa.array([o for *_, o in placed], pa.int32())
@@ -96,20 +101,25 @@ def _pack_shard(lengths: Sequence[int]):
     return run
 
 
-_PLACED = "id long, piece int, start long, size int, bin long, capacity int, offset int"
-
+def place(
+    docs: DataFrame, id_col: str = "doc_id", n_words: Column | None = None, lengths: Sequence[int] = LENGTHS, shard_rows: int = SHARD_ROWS, carry: Sequence[str] = (), text_col: str | None = None
+) -> DataFrame:
+    """Where each piece goes: ``id_col, piece, start_word, n_words, bin_id, capacity, offset``, then ``carry``.
 
-def place(docs: DataFrame, id_col: str = "doc_id", n_words: Column | None = None, lengths: Sequence[int] = LENGTHS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Where each piece goes: ``id_col, piece, start_word, n_words, bin_id, capacity, offset``."""
+    ``n_words`` is the length to pack by, else the words of ``text``.  With ``text_col`` each row also has the piece's
+    part of that text as ``text``.
+    """
     n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) if n_words is None else n_words
-    cut = pieces(docs, id_col, n_words, max(lengths))
+    cut = pieces(docs, id_col, n_words, max(lengths), carry, text_col)
     filled = cut.filter("size > 0")
     shards = max(1, -(-filled.count() // shard_rows))
     dealt = filled.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), "piece"), F.lit(shards)))
-    placed = dealt.groupBy("shard").applyInArrow(_pack_shard(tuple(lengths)), _PLACED)
-    none = cut.filter("size = 0").select("id", "piece", "start", "size", *[F.lit(None).cast(t).alias(c) for c, t in (("bin", "long"), ("capacity", "int"), ("offset", "int"))])
+    names = ("id", "piece", "start", "size", "rest", "bin", "capacity", "offset")
+    types = (T.LongType(), T.IntegerType(), T.LongType(), T.IntegerType(), cut.schema["rest"].dataType, T.LongType(), T.IntegerType(), T.IntegerType())
+    placed = dealt.groupBy("shard").applyInArrow(_pack_shard(tuple(lengths)), T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
+    none = cut.filter("size = 0").select("id", "piece", "start", "size", "rest", *[F.lit(None).cast(t).alias(c) for c, t in (("bin", "long"), ("capacity", "int"), ("offset", "int"))])
     both = placed.unionByName(none)
-    return both.select(F.col("id").alias(id_col), "piece", F.col("start").alias("start_word"), F.col("size").alias("n_words"), F.col("bin").alias("bin_id"), "capacity", "offset")
+    return both.select(F.col("id").alias(id_col), "piece", F.col("start").alias("start_word"), F.col("size").alias("n_words"), F.col("bin").alias("bin_id"), "capacity", "offset", *[F.col(f"rest.{c}").alias(c) for c in [*carry, *["text"] * bool(text_col)]])
 
 
 def piece_text(text: Column, start: Column, size: Column, n_words: Column) -> Column:
