@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, ngram_join, ogg, packing, pii, quality, secrets, substring
+from . import licences, ngram_join, ogg, packing, pii, quality, quotes, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_ogg": ogg.op1_media_ogg,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_pii": pii.op8_pii,
+    "op9_quote_links": quotes.op9_quote_links,
     "op10_licence_scan": licences.op10_licence_scan,
 }
 
