@@ -1 +1,8 @@
+"""Queries over the tables, each with the same result in SQL."""
 
+from __future__ import annotations
+
+from . import relational, texts
+
+QUERIES = texts.QUERIES | relational.QUERIES
+ORACLE_SQL = texts.SQL | relational.SQL
