@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, ngram_join, ogg, packing, pii, quality, quotes, secrets, substring
+from . import licences, ngram_join, ogg, packing, pii, quality, quotes, secrets, spm_sampling, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_ogg": ogg.op1_media_ogg,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_piece_sampling": spm_sampling.op6_piece_sampling,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_pii": pii.op8_pii,
     "op9_quote_links": quotes.op9_quote_links,
