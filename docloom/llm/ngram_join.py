@@ -114,7 +114,7 @@ def common(lists: list[np.ndarray]) -> np.ndarray:
     Values in a sixteenth of the lists or more go through a matrix product, others through their pairs.
     """
     m = len(lists)
-    out = np.zeros((m, m), np.int64)
+    out = np.zeros((m, m), np.int32)
     if not m or not sum(map(len, lists)):
         return out
     owner = np.repeat(np.arange(m), [len(x) for x in lists])
@@ -127,10 +127,11 @@ def common(lists: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((m, len(part)), np.float32)
         for j, (s, n) in enumerate(zip(start[part], df[part], strict=True)):
             dense[owner[s : s + n], j] = 1
-        out += (dense @ dense.T).astype(np.int64)
+        out += (dense @ dense.T).astype(np.int32)
     for n in np.unique(df[(df >= 2) & (df < m / 16)]):
         rows = owner[start[df == n][:, None] + np.arange(n)]
-        out += np.bincount((rows[:, :, None] * m + rows[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+        for x in range(n):
+            np.add.at(out, (rows[:, x][:, None], rows), 1)
     return out
 
 
@@ -143,15 +144,18 @@ def likely(n: np.ndarray, samples: list[np.ndarray], threshold: float) -> np.nda
     """Which pairs may reach the threshold, by their sizes and samples."""
     shared = common(samples)
     limit = np.array([sample_limit(x) for x in n])
-    below = np.stack([np.searchsorted(s, limit) for s in samples])  # [y, x]: of y's sample, those below x's limit
-    larger = n[:, None] >= n[None, :]
-    size = np.where(larger, np.diag(below)[:, None] + below.T, np.diag(below)[None, :] + below)
-    estimate = shared / np.maximum(size - shared, 1)
-    sampled = np.maximum(n[:, None], n[None, :]) > SAMPLE
-    union = np.maximum(size - shared, 1)
-    slack = np.where(sampled, 4.5 * np.sqrt(threshold * (1 - threshold) / union) + 1e-9, 1e-9)
-    sizes = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
-    return sizes & (estimate >= threshold - slack) & ~np.eye(len(n), dtype=bool)
+    below = np.stack([np.searchsorted(s, limit) for s in samples]).astype(np.int32)  # [y, x]: of y's sample, those below x's limit
+    own = np.diag(below)
+    out = np.empty(shared.shape, bool)
+    for i in range(0, len(n), 256):  # blocks of rows keep the intermediate arrays small
+        b = slice(i, i + 256)
+        small, large = np.minimum(n[b, None], n), np.maximum(n[b, None], n)
+        size = np.where(n[b, None] >= n, own[b, None] + below[:, b].T, own + below[b])
+        union = np.maximum(size - shared[b], 1)
+        slack = np.where(large > SAMPLE, 4.5 * np.sqrt(threshold * (1 - threshold) / union), 0) + 1e-9
+        out[b] = (small >= threshold * large - 1e-9) & (shared[b] / union >= threshold - slack)
+    np.fill_diagonal(out, False)
+    return out
 
 
 def exact(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -289,8 +293,8 @@ def near_duplicates(
     target_recall: float = 0.9999,
     branching: float = 4.0,
     deeper: float = 2.0,
-    bucket: int = 512,
-    max_depth: int = 3,
+    bucket: int = 2048,
+    max_depth: int = 6,
 ) -> DataFrame:
     """A row for each row of ``docs``: its id, ``class_id``, ``n_links`` and ``n_copies``.
 
