@@ -30,7 +30,7 @@ def scalar(text: str) -> str | list | None:
         except ValueError:
             return text[1:-1]
     if text.startswith("[") and text.endswith("]"):
-        return [scalar(x) for x in re.findall(r"'(?:[^']|'')*'|\"(?:[^\"\\]|\\.)*\"|[^,]+", text[1:-1]) if x.strip()]
+        return [scalar(x) for x in re.findall(r"\s*('(?:[^']|'')*'|\"(?:[^\"\\]|\\.)*\"|[^,]+)", text[1:-1]) if x.strip()]
     text = re.sub(r"\s+#.*$", "", text)
     return None if text in ("", "null", "~") else text
 
@@ -104,7 +104,7 @@ def parse_documents(texts: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Every matching file below ``root``; source, kind and year come from the path."""
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     docs = parse_documents(texts.select(F.col("_metadata.file_path").alias("path"), "value"))
     inner = F.split(F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "/")
     return docs.withColumns({"source": F.get(inner, F.lit(0)), "kind": F.get(inner, F.lit(1)), "year": F.regexp_extract("path", r"/((?:19|20)\d\d)/", 1).try_cast("int")})

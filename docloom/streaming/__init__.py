@@ -11,7 +11,7 @@ from ..operators.documents import latest
 def weekly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type", late: str = "14 days") -> DataFrame:
     """Counts by Monday week; the offset is there because windows start from a Thursday, 1970-01-01."""
     w = F.window(ts, "7 days", "7 days", "4 days")
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     return rows.groupBy(w.alias("w"), group).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("week"), group, "n", "total")
 
 
