@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))  # tests share their brute-force versions
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
