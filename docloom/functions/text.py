@@ -27,6 +27,22 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def gram_hashes(words: Column, doublings: int = 3) -> Column:
+    """64-bit hashes of all runs of ``2 ** doublings`` words, each from two hashes of half the length."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for i in range(doublings):
+        hashes = _double(hashes, 2**i)
+    return hashes
+
+
+def _double(hashes: Column, step: int) -> Column:
+    def pairs(h: Column) -> Column:
+        n = F.greatest(F.size(h) - step, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    return F.transform(F.array(hashes), pairs)[0]  # the inner array is computed once
+
+
 def stem(word: Column) -> Column:
     """A folded word without its longest known ending."""
     return F.regexp_replace(word, f"^([a-z0-9]{{{LEAST_STEM},}}?)({'|'.join(ENDINGS)})$", "$1")

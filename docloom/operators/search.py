@@ -72,19 +72,35 @@ def bm25(found: DataFrame, lengths: DataFrame, id_col: str = "doc_id") -> DataFr
 
 
 def search(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", match_all: bool = False, stemmed: bool = False) -> DataFrame:
-    """The ``k`` best documents for a query (ties: least id); ``match_all`` asks for every term."""
+    """The ``k`` best documents for a query (ties: least id); ``match_all`` asks for every term.
+
+    One pass counts documents, lengths and each term's documents; a second one scores every text in its own row, so
+    no postings are shuffled.  For many searches over the same texts write an index and use ``bm25``.
+    """
     terms = query_terms(query, stemmed)
+    if not terms:
+        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
     words = T.tokens(F.col(text_col))
     words = F.transform(words, lambda w: T.stem(w)) if stemmed else words
-    held = F.filter(words, lambda w: w.isin(*terms) if terms else F.lit(False))
-    found = docs.select(id_col, F.explode(held).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    ranked = bm25(found, document_lengths(docs, id_col, text_col), id_col)
+    held = F.filter("_w", lambda w: w.isin(*terms))
+    cut = docs.select("*", words.alias("_w")).withColumns({"_length": F.size("_w"), "_held": held})
+    tf = [_count_of(F.col("_held"), t) for t in terms]
+    stats = cut.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(x > 0).alias(f"_df{i}") for i, x in enumerate(tf)])
+    scored = (cut if where is None else cut.filter(where)).filter(F.size("_held") > 0)
+    scored = scored.crossJoin(F.broadcast(stats))  # one row of totals
+    norm = K1 * (1 - B + B * F.col("_length") / F.col("_mean"))
+    parts = [F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) * x * (K1 + 1) / (x + norm) for i, x in enumerate(tf)]
+    score = F.lit(0.0)
+    for part in parts:
+        score = score + part
     if match_all:
-        full = found.groupBy(id_col).agg(F.count("*").alias("n_terms")).filter(F.col("n_terms") == len(terms)).select(id_col)
-        ranked = ranked.join(full, id_col, "left_semi")
-    if where is not None:
-        ranked = ranked.join(docs.filter(where).select(id_col), id_col, "left_semi")
-    return ranked.orderBy(F.desc(F.round("score", 6)), id_col).limit(k)
+        for x in tf:
+            scored = scored.filter(x > 0)
+    return scored.select(id_col, score.alias("score")).orderBy(F.desc(F.round("score", 6)), id_col).limit(k)
+
+
+def _count_of(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
 
 
 def phrase(docs: DataFrame, words: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -271,9 +271,7 @@ SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n FROM g JOIN b USING (g) GR
 )
 def benchmark_overlap(spark, d):
     def grams(df, key):
-        w = T.tokens(F.col("text"))
-        runs = F.transform(F.slice(F.col("w"), F.lit(1), F.greatest(F.size("w") - 7, F.lit(0))), lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(8)), " "))
-        return df.select(key, w.alias("w")).select(key, F.explode(F.array_distinct(runs)).alias("g"))
+        return df.select(key, F.explode(F.array_distinct(T.gram_hashes(T.tokens(F.col("text"))))).alias("g"))
 
     items = grams(table(spark, d, "benchmark"), "item_id").distinct()
     return grams(table(spark, d, "documents"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
