@@ -110,10 +110,9 @@ def host_rates(judged: DataFrame, max_host_rate: float) -> DataFrame:
     spread = F.col("square") - n * mean * mean
     between = F.try_divide(spread - (h - 1) * noise, (n - F.col("nn") / n - (h - 1)) * noise)
     strength = F.greatest(F.lit(2.0), F.when(between > 0, F.least(1 / between - 1, n)).otherwise(n))
-    prior = sums.select(mean.alias("mean"), F.coalesce(strength, F.lit(2.0)).alias("strength"))
-    rate = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    # One row of sums: its size does not depend on the data.
-    rated = hosts.join(F.broadcast(prior), F.lit(True)).withColumn("rate", rate)
+    prior = sums.select(mean.alias("mean"), F.coalesce(strength, F.lit(2.0)).alias("strength")).first()  # two numbers
+    m, k = F.lit(prior["mean"]).cast("double"), F.lit(prior["strength"])
+    rated = hosts.withColumn("rate", (F.col("n_failed") + m * k) / (F.col("n_docs") + k))
     return rated.select("host", "n_docs", "n_failed", "rate", (F.col("rate") > max_host_rate).alias("host_failed"))
 
 
