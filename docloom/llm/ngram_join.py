@@ -326,3 +326,23 @@ def near_duplicates(
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows from all pairs that share a shingle, for DuckDB.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+k AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT h, min(doc_id) AS rep, max(n) AS n, count(*) AS copies FROM k GROUP BY h),
+t AS (SELECT s.doc_id AS rep, s.g, r.n FROM s JOIN r ON r.rep = s.doc_id),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c, max(a.n) AS na, max(b.n) AS nb FROM t a JOIN t b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT x, y FROM p WHERE c >= 0.8 * (na + nb - c) - 1e-9),
+reach(x, root) AS (SELECT rep, rep FROM r UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.x),
+c AS (SELECT x AS rep, min(root) AS class_id FROM reach GROUP BY x),
+d AS (SELECT x AS rep, count(*) AS links FROM e GROUP BY x)
+SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, CAST(coalesce(d.links, 0) AS BIGINT) AS n_links, CAST(coalesce(r.copies - 1, 0) AS BIGINT) AS n_copies
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN r USING (h) LEFT JOIN c USING (rep) LEFT JOIN d USING (rep)
+"""

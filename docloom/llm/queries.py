@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": ngram_join.OP3_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
