@@ -17,7 +17,7 @@ id.  Windows are judged on the input texts.
    are in the same case; they are grouped by a 128-bit hash and compared with the least id of the group.
 
 Defined results: a null text has no words; a text of fewer than ``min_words`` words is kept whole; rows that repeat
-an id are each returned, and do not count as each other's source; rows with a null id are kept whole and are no
+an id are each judged and returned, and do not count as each other's source; rows with a null id are kept whole and are no
 source; an empty table gives an empty table.  Other columns are carried only if named in ``carry``.
 """
 
@@ -117,7 +117,11 @@ def equal_runs(a: Sequence[bytes], b: Sequence[bytes], least: int) -> list[tuple
 
 
 def _extend(min_words: int):
-    """For each document: covered ranges (h2 null), and the windows left to compare by hash."""
+    """For each document: covered ranges (h2 null), and the windows left to compare by hash.
+
+    A window that the document repeats has one row, its further places in ``more``, so that a text of one line over
+    and over does not fill a join key.
+    """
 
     def rows(doc: int, words: list[bytes], found: list[dict]) -> tuple[list, list]:
         covered, left = [], []
@@ -140,9 +144,14 @@ def _extend(min_words: int):
                         left.append((lo, w["hi"]))
         return merged(covered), [(x, y - 1) for x, y in merged([(x, y + 1) for x, y in left])]
 
+    def out(h1, h2, doc: int, h: int, lo, hi, more) -> pa.RecordBatch:
+        n = len(lo)
+        columns = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(more, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "h", "lo", "hi", "more"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, found in zip(batch.column("_id").to_pylist(), _texts(batch), batch.column("found").to_pylist(), strict=True):
+            for doc, h, text, found in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), _texts(batch), batch.column("found").to_pylist(), strict=True):
                 words = text.split()
                 covered, left = rows(doc, words, found)
                 h1, h2, start = [], [], []
@@ -152,16 +161,19 @@ def _extend(min_words: int):
                     h2.append(gram_hashes(mix(part ^ _SECOND), min_words))
                     start.append(np.arange(x, x + len(h1[-1]), dtype=np.int32))
                 if covered:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(covered), pa.int64()), pa.array([None] * len(covered), pa.int64()), pa.array([doc] * len(covered), pa.int64()), pa.array([x for x, _ in covered], pa.int32()), pa.array([y for _, y in covered], pa.int32())],
-                        names=["h1", "h2", "id", "lo", "hi"],
-                    )
+                    n = len(covered)
+                    yield out([doc] * n, [None] * n, doc, h, [x for x, _ in covered], [y for _, y in covered], [None] * n)
                 if start:
-                    s = np.concatenate(start)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64)), pa.array(np.full(len(s), doc, np.int64)), pa.array(s), pa.array(s + np.int32(min_words))],
-                        names=["h1", "h2", "id", "lo", "hi"],
-                    )
+                    s, a, b = np.concatenate(start), np.concatenate(h1), np.concatenate(h2)
+                    _, first, group = np.unique(a ^ (b << np.uint64(1)), return_index=True, return_inverse=True)
+                    more: list[list[int] | None] = [None] * len(first)
+                    if len(first) < len(s):
+                        for i in np.flatnonzero(first[group] != np.arange(len(s))).tolist():
+                            g = group[i]
+                            if more[g] is None:
+                                more[g] = []
+                            more[g].append(int(s[i]))
+                    yield out(a[first].view(np.int64), b[first].view(np.int64), doc, h, s[first], s[first] + np.int32(min_words), more)
 
     return run
 
@@ -177,7 +189,7 @@ def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(keep_layout: bool):
+def _cut(keep_layout: bool, min_words: int):
     def one(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, str]:
         if not ranges and keep_layout:
             return len(text.split()), 0, text.decode()
@@ -198,7 +210,8 @@ def _cut(keep_layout: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges = [merged((r["lo"], r["hi"]) for r in found or ()) for found in batch.column("found").to_pylist()]
+            found = zip(batch.column("_h").to_pylist(), batch.column("found").to_pylist(), strict=True)
+            ranges = [merged(x for r in f or () if r["h"] == h for x in [(r["lo"], r["hi"]), *((m, m + min_words) for m in r["more"] or ())]) for h, f in found]
             out = [one(text, r) for text, r in zip(_texts(batch), ranges, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -225,6 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram must be between 1 and min_words")
     rest: Column = F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), rest.alias("_rest"))
+    rows = rows.withColumn("_h", F.xxhash64("_text"))  # tells rows that share an id apart
     keyed = rows.filter("_id is not null")
     found = materialize(anchors(keyed, min_words, gram), "anchors")
     segs = materialize(segments(found), "segments")  # one choice of leaders for both uses
@@ -232,13 +246,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = segs.groupBy(F.col("leader").alias("_id")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     contexts = keyed.join(ranges, "_id").mapInArrow(_fetch(min_words), "leader long, start int, end int, words binary")
     own = segs.join(contexts, ["leader", "start", "end"]).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("leader", "start", "places", "words")).alias("found"))
-    seen = keyed.join(own, "_id").mapInArrow(_extend(min_words), "h1 long, h2 long, id long, lo int, hi int")
+    seen = keyed.join(own, "_id").mapInArrow(_extend(min_words), "h1 long, h2 long, id long, h long, lo int, hi int, more array<int>")
     first = seen.filter("h2 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
     hits = seen.join(first, ["h1", "h2"], "left").filter("h2 is null or least < id")
-    cover = hits.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
-    empty = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("found")
+    cover = hits.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("h", "lo", "hi", "more")).alias("found"))
+    empty = F.lit(None).cast("array<struct<h:bigint,lo:int,hi:int,more:array<int>>>").alias("found")
     schema = f"_id long, _rest {rows.schema['_rest'].dataType.simpleString()}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
-    out = keyed.join(cover, "_id", "left").unionByName(rows.filter("_id is null").select("*", empty)).mapInArrow(_cut(keep_layout), schema)
+    out = keyed.join(cover, "_id", "left").unionByName(rows.filter("_id is null").select("*", empty)).mapInArrow(_cut(keep_layout, min_words), schema)
     return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept", "removed", *[F.col(f"_rest.{c}").alias(c) for c in carry])
 
 

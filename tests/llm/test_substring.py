@@ -42,7 +42,7 @@ def test_against_all_windows(frame, words):
             at = r.randrange(len(body) + 1)
             body[at:at] = piece
         rows.append((i, " \n".join(body)))
-    rows += [(40, rows[10][1]), (41, rows[10][1]), (12, rows[12][1]), (50, "x " * 300), (51, "x " * 120 + "y"), (52, " ".join(b + b)), (None, " ".join(b))]
+    rows += [(40, rows[10][1]), (41, rows[10][1]), (12, rows[12][1]), (13, rows[20][1]), (14, " ".join(b) + " same id"), (50, "x " * 300), (51, "x " * 120 + "y"), (52, " ".join(b + b)), (None, " ".join(b))]
     check(frame, rows)
 
 
