@@ -7,7 +7,9 @@ Two texts are linked if the Jaccard similarity of their sets of ``k``-word shing
 2. **Chosen paths.**  In each run a set of n shingles picks about ``branching`` of them, by a hash of run and shingle
    under ``branching / n``; sets that pick the same shingle fall in one bucket.  Two sets at the threshold agree on a
    pick with probability ``1 - exp(-threshold * branching)`` or more, and ``target_recall`` sets the number of runs.
-   Buckets of over ``bucket`` sets split again, each set picking about ``deeper`` further shingles along its path.
+   Buckets of over ``bucket`` sets split again, each set picking about ``deeper`` further shingles of its sample along
+   its path.  A split can part a pair, so the sets of split buckets take part in further runs, as many as keep a pair
+   with probability ``target_recall`` through the number of splits that was needed.
    What is still larger after ``max_depth`` levels is compared in full, block by block: an exact way for the rest.
 3. Small buckets are compared by brute force, first on a bounded sample of each set (its least hashes; the estimate
    may be 4.5 standard deviations low), then exactly on the whole texts of those that remain.  A pair that meets in
@@ -22,6 +24,7 @@ links; ties give the least id; an empty table gives an empty table; other column
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -46,31 +49,56 @@ def runs_for(target_recall: float, threshold: float, branching: float) -> int:
     return max(1, math.ceil(math.log(1 - target_recall) / (-threshold * branching)))
 
 
+def lost(runs: int, threshold: float, branching: float, deeper: float, splits: int) -> float:
+    """The probability that a pair at the threshold, one set inside the other, meets in no run after so many splits.
+
+    All splits draw from one sample, so the chance is a mean over the number of shared shingles in it.
+    """
+    mean, total = threshold * SAMPLE, 0.0
+    for shared in range(math.ceil(mean + 12 * math.sqrt(mean)) + 1):
+        kept = 1.0
+        for _ in range(splits):
+            kept = 1 - (1 - min(1.0, deeper / SAMPLE) * kept) ** shared
+        total += math.exp(shared * math.log(mean) - mean - math.lgamma(shared + 1) - runs * threshold * branching * kept)
+    return total
+
+
+def runs_through(splits: int, target_recall: float, threshold: float, branching: float, deeper: float) -> int:
+    """Runs for sets whose buckets split so often; what the first runs alone miss counts against the target."""
+    first = runs_for(target_recall, threshold, branching)
+    if not splits:
+        return first
+    rest = 1 - target_recall - math.exp(-first * threshold * branching)
+    runs = first
+    while lost(runs, threshold, branching, deeper, splits) > max(rest, (1 - target_recall) / 10):
+        runs += 1
+    return runs
+
+
 def sample_limit(n: int) -> float:
     """The sample of a set of n shingles has the 32-bit hashes below this."""
     return 2.0**32 * min(1.0, SAMPLE / max(n, 1))
 
 
 def _picks(tokens: np.ndarray, salt: np.uint64, rate: float) -> np.ndarray:
-    """Bucket ids under ``salt`` for those 32-bit tokens that a set picks with probability ``rate``."""
+    """Bucket ids under ``salt`` for those tokens that a set picks with probability ``rate``."""
     with np.errstate(over="ignore"):
         h = mix((tokens.astype(np.uint64) + np.uint64(1)) * _PATH ^ salt)
     return h if rate >= 1 else mix(h[h < np.uint64(int(rate * (2**64 - 1)))])
 
 
-def describe(text: bytes, k: int, runs: int, branching: float) -> tuple[int, int, int, bytes, np.ndarray]:
-    """Two halves of the set's 128-bit hash, its size, its sample and its first buckets."""
+def describe(text: bytes, k: int, runs: int, branching: float) -> tuple[int, int, int, bytes, list[np.ndarray]]:
+    """Two halves of the set's 128-bit hash, its size, its sample and its first buckets in each run."""
     shingles = shingle_set(word_hashes(text), k)
     n = len(shingles)
     high, low = divmod(xxhash.xxh3_128_intdigest(shingles.tobytes()), 2**64)
     if not n:
-        return 0, 0, 0, b"", np.zeros(0, np.uint64)
+        return 0, 0, 0, b"", []
     tokens = (shingles >> np.uint64(32)).astype(np.uint32)
     tokens = np.unique(tokens[: np.searchsorted(tokens, sample_limit(n))])
-    rate = branching / min(n, SAMPLE)
     with np.errstate(over="ignore"):
         salts = [mix(np.array([run + 1], np.uint64) * _RUN)[0] for run in range(runs)]
-    return high - 2**63, low - 2**63, n, tokens.tobytes(), np.unique(np.concatenate([_picks(tokens, s, rate) for s in salts]))
+    return high - 2**63, low - 2**63, n, tokens.tobytes(), [_picks(shingles, s, branching / n) for s in salts]
 
 
 def _describe(k: int, runs: int, branching: float):
@@ -84,7 +112,7 @@ def _describe(k: int, runs: int, branching: float):
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.int64()),
                     pa.array([r[3] for r in rows], pa.binary()),
-                    pa.array([r[4].view(np.int64) for r in rows], pa.list_(pa.int64())),
+                    pa.array([[x.view(np.int64) for x in r[4]] for r in rows], pa.list_(pa.list_(pa.int64()))),
                 ],
                 names=["id", "s1", "s2", "n", "sample", "buckets"],
             )
@@ -261,14 +289,16 @@ def _by_bucket(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     return rows.repartition("b").sortWithinPartitions("b").mapInArrow(run, schema)
 
 
-def _leaves(sets: DataFrame, bucket: int, deeper: float, max_depth: int) -> DataFrame:
-    """``b, rep``: the buckets of two sets or more that are compared by brute force."""
-    level, done = sets.select(F.explode("buckets").alias("b"), "rep"), []
+def _levels(level: DataFrame, sets: DataFrame, bucket: int, deeper: float, max_depth: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """The buckets to compare from the first ones in ``level``, the sets whose first buckets split, and how often."""
+    done: list[DataFrame] = []
     for depth in range(max_depth + 1):
         size = level.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1")
         level = materialize(level.join(size, "b"), f"level{depth}")
         done.append(level.filter(F.col("size") <= bucket).select("b", "rep"))
         large = level.filter(F.col("size") > bucket)
+        if not depth:
+            split = large.select("rep").distinct()
         if large.isEmpty():
             break
         if depth == max_depth:  # all pairs of blocks of half a bucket
@@ -278,6 +308,23 @@ def _leaves(sets: DataFrame, bucket: int, deeper: float, max_depth: int) -> Data
             done.append(pairs.select(F.xxhash64("b", F.least("i", "j"), F.greatest("i", "j")).alias("b"), "rep"))
             break
         level = large.select("b", "rep").join(sets.select("rep", "n", "sample"), "rep").mapInArrow(_split(deeper), "b long, rep long")
+    return done, split, depth
+
+
+def _leaves(sets: DataFrame, runs: Callable[[int], int], bucket: int, deeper: float, max_depth: int) -> DataFrame:
+    """``b, rep``: the buckets of two sets or more that are compared by brute force.
+
+    ``runs`` has the number of runs for a number of splits; runs beyond the first are for sets of split buckets.
+    """
+    chosen, before, upto, splits, done = sets, 0, runs(0), 0, []
+    while before < upto:
+        level = chosen.select(F.explode(F.flatten(F.slice("buckets", before + 1, upto - before))).alias("b"), "rep")
+        more, split, depth = _levels(level, sets, bucket, deeper, max_depth)
+        done += more
+        if not before and depth:
+            chosen = materialize(sets.join(split, "rep", "left_semi"), "split")
+        splits = max(splits, depth)
+        before, upto = upto, runs(splits)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -302,11 +349,12 @@ def near_duplicates(
     that the document's set is linked to, ``n_copies`` the number of other rows with the same set.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    run = _describe(k, runs_for(target_recall, threshold, branching), branching)
-    described = materialize(texts.filter("_id is not null").mapInArrow(run, "id long, s1 long, s2 long, n long, sample binary, buckets array<long>"), "sets")
+    runs = functools.cache(lambda splits: runs_through(splits, target_recall, threshold, branching, deeper))
+    run = _describe(k, max(map(runs, range(max_depth + 1))), branching)
+    described = materialize(texts.filter("_id is not null").mapInArrow(run, "id long, s1 long, s2 long, n long, sample binary, buckets array<array<long>>"), "sets")
     sets = described.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sample").alias("sample"), F.first("buckets").alias("buckets"))
     sets = materialize(sets, "representatives")
-    leaves = materialize(_leaves(sets, bucket, deeper, max_depth), "leaves")
+    leaves = materialize(_leaves(sets, runs, bucket, deeper, max_depth), "leaves")
     lists = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("b")).alias("leaves"))
     compared = leaves.distinct().join(sets.select("rep", "n", "sample").join(lists, "rep"), "rep")
     flagged = materialize(_by_bucket(compared, _candidates(threshold), "b long, rep long"), "candidates")

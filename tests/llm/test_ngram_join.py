@@ -84,3 +84,38 @@ def test_common_counts_by_both_ways():
 
 def test_runs_reach_the_recall():
     assert nj.runs_for(0.9999, 0.8, 4.0) == 3 and nj.runs_for(0.9, 0.8, 4.0) == 1
+
+
+def kept_through(splits, runs, pairs, deeper=2.0):
+    """Of pairs at 0.8, one set inside the other, how many share a path through so many splits in one of the runs."""
+    kept = 0
+    for i in range(pairs):
+        w = [f"p{i}w{j}" for j in range(254)]
+        both = [nj.describe(" ".join(x).encode(), 5, runs, 4.0) for x in (w, w[:204])]
+        a, b = (set(np.concatenate(d[4]).tolist()) for d in both)
+        paths = a & b
+        for _ in range(splits):
+            further = set()
+            for p in paths:
+                salt = nj.mix(np.array([p], np.uint64) ^ nj._RUN)[0]
+                x, y = (nj._picks(np.frombuffer(d[3], np.uint32), salt, deeper / nj.SAMPLE) for d in both)
+                further |= set(x.tolist()) & set(y.tolist())
+            paths = further
+        kept += bool(paths)
+    return kept
+
+
+def test_recall_holds_through_splits():
+    runs = [nj.runs_through(s, 0.9999, 0.8, 4.0, 2.0) for s in range(7)]
+    assert runs[0] == 3 and all(nj.lost(r, 0.8, 4.0, 2.0, s) < 1e-4 for s, r in enumerate(runs))
+    assert kept_through(3, 3, 1500) < 1500  # the first runs alone part some
+    assert kept_through(3, runs[3], 1500) == 1500 and kept_through(6, runs[6], 300) == 300
+
+
+def test_sets_of_split_buckets_meet_in_further_runs(frame, words):
+    rows = []
+    for f in range(6):  # texts that hold most of a pair's passage, but are not near it
+        base = words(120, f)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + words(27, 50 + f)))]
+        rows += [(len(rows) + i, " ".join(base[:84] + words(36, 100 + 10 * f + i))) for i in range(6)]
+    check(frame, rows, bucket=2, max_depth=3)
