@@ -5,6 +5,11 @@ into runs of letters and digits.  With sets A and B of word bigrams the coeffici
 least ``threshold`` t is only possible if ``t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|``, so a unit meets only
 templates of such sizes, and only if it holds enough of their bigrams.  The bounds never drop a match.
 
+A notice may also lie across lines and paragraphs inside a longer text.  So the runs of consecutive words that reach
+the threshold are found for each template, wherever they start, and the best of those that overlap is a unit ``run``,
+unless it lies in another unit with the same licence.  A run starts and ends with a bigram of its template, and has at
+most ``(2 - 2t) / t * |B|`` different bigrams that are not the template's; both follow from the threshold.
+
 Defined results: null and empty texts match nothing; equal coefficients give the template that is listed first;
 repeated rows are each returned; an empty table gives an empty table; extra columns are ignored, or carried if named.
 """
@@ -78,6 +83,18 @@ def dice(a: frozenset, b: frozenset) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+def _apart(found: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """The best of (coefficient, -rank, start, end) that do not overlap; equal ones by their start."""
+    starts: list[int] = []
+    kept: dict[int, tuple[float, int, int, int]] = {}
+    for x in sorted(found, key=lambda x: (-x[0], x[2])):
+        i = bisect.bisect_left(starts, x[2])
+        if (i == 0 or kept[starts[i - 1]][3] <= x[2]) and (i == len(starts) or starts[i] >= x[3]):
+            starts.insert(i, x[2])
+            kept[x[2]] = x
+    return list(kept.values())
+
+
 class Matcher:
     """Templates by size, with all their bigrams for a quick look."""
 
@@ -89,6 +106,10 @@ class Matcher:
         self.words = frozenset(w for _, _, _, s in self.by_size for pair in s for w in pair)
         self.all = frozenset().union(*(s for *_, s in self.by_size))
         #: A match holds at least so many template bigrams.
+        self.of: dict[tuple[str, str], list[int]] = {}
+        for at, (_, _, _, own) in enumerate(self.by_size):
+            for pair in own:
+                self.of.setdefault(pair, []).append(at)
         self.least = max(1, math.ceil(threshold / (2 - threshold) * min(self.sizes, default=1) - 1e-9))
 
     def best(self, words: Sequence[str]) -> tuple[float, int, str] | None:
@@ -103,6 +124,69 @@ class Matcher:
         found = [(2 * len(hits & s) / (len(own) + n), -i, name) for n, i, name, s in self.by_size[lo:hi] if 2 * len(hits) >= (t - 1e-9) * (len(own) + n)]
         return max((x for x in found if x[0] >= t - 1e-9), default=None)
 
+    def _windows(self, at: int, pairs: Sequence[tuple[str, str]]) -> list[tuple[float, int, int, int]]:
+        """(coefficient, -rank, start, end) of the best runs of bigrams for a template, none of which overlap."""
+        n, rank, _, own = self.by_size[at]
+        t = self.threshold
+        need, spare = t / (2 - t) * n - 1e-9, (2 - 2 * t) / t * n + 1e-9
+        counts: dict[tuple[str, str], int] = {}
+        hits = others = end = 0
+        found = []
+        for start, first in enumerate(pairs):
+            while end < len(pairs):  # as far as the bigrams of other texts allow
+                pair = pairs[end]
+                if not counts.get(pair):
+                    if pair in own:
+                        hits += 1
+                    elif others + 1 > spare:
+                        break
+                    else:
+                        others += 1
+                counts[pair] = counts.get(pair, 0) + 1
+                end += 1
+            if first in own and hits >= need:
+                seen: set[tuple[str, str]] = set()
+                h, best = 0, (0.0, 0, 0, 0)
+                for e in range(start, end):
+                    pair = pairs[e]
+                    if pair in seen:
+                        continue
+                    seen.add(pair)
+                    if pair in own:
+                        h += 1
+                        best = max(best, (2 * h / (len(seen) + n), -rank, start, e + 1))
+                        if h == hits:
+                            break
+                if best[0] >= t - 1e-9:
+                    found.append(best)
+            if end > start:
+                counts[first] -= 1
+                if not counts[first]:
+                    del counts[first]
+                    if first in own:
+                        hits -= 1
+                    else:
+                        others -= 1
+            else:
+                end = start + 1
+        return _apart(found)
+
+    def runs(self, words: Sequence[str]) -> list[tuple[float, str, int, int]]:
+        """(coefficient, name, start, end) of the runs of bigrams that match; of two at one place the better one."""
+        pairs = list(zip(words, words[1:], strict=False))
+        held: dict[int, int] = {}
+        for pair in self.all.intersection(pairs):
+            for at in self.of[pair]:
+                held[at] = held.get(at, 0) + 1
+        need = self.threshold / (2 - self.threshold)
+        found = [(w, self.by_size[at][2]) for at, h in held.items() if h >= need * self.by_size[at][0] - 1e-9 for w in self._windows(at, pairs)]
+        kept: list[tuple[float, str, int, int]] = []
+        for (d, _, a, b), name in sorted(found, key=lambda x: (-x[0][0], -x[0][1], x[0][2])):
+            if all(2 * (min(b, y) - max(a, x)) < max(b - a, y - x) for _, _, x, y in kept):
+                kept.append((d, name, a, b))
+        kept.sort(key=lambda x: (x[2], x[2] - x[3]))
+        return [r for r in kept if not any(o is not r and o[1] == r[1] and o[2] <= r[2] and r[3] <= o[3] for o in kept)]
+
     def scan(self, text: str) -> list[tuple[str, str, float]]:
         """(licence, unit, coefficient) of each unit with a match; equal lines and sentences inside count once."""
         words = _WORD.findall(text.lower())
@@ -111,22 +195,32 @@ class Matcher:
             return []
         found: list[tuple[str, str, float]] = []
 
-        def look(unit: str, own: Sequence[str]) -> None:
+        covered: list[tuple[str, int, int]] = []
+
+        def look(unit: str, own: Sequence[str], start: int) -> None:
             if len(own) > self.least and (b := self.best(own)):
                 found.append((b[2], unit, b[0]))
+                covered.append((b[2], start, start + len(own) - 1))
 
-        look("text", words)
-        paragraphs = _PARAGRAPH.split(text)
+        look("text", words, 0)
+        paragraphs, at = _PARAGRAPH.split(text), 0
         for p in paragraphs:
+            own = _WORD.findall(p.lower())
             if len(paragraphs) > 1:
-                look("paragraph", _WORD.findall(p.lower()))
-            lines = p.split("\n")
+                look("paragraph", own, at)
+            lines, line_at = p.split("\n"), at
             for line in lines:
+                own_line = _WORD.findall(line.lower())
                 if len(lines) > 1:
-                    look("line", _WORD.findall(line.lower()))
-                sentences = _SENTENCE.split(line)
+                    look("line", own_line, line_at)
+                sentences, s_at = _SENTENCE.split(line), line_at
                 for s in sentences if len(sentences) > 1 else ():
-                    look("sentence", _WORD.findall(s.lower()))
+                    own_s = _WORD.findall(s.lower())
+                    look("sentence", own_s, s_at)
+                    s_at += len(own_s)
+                line_at += len(own_line)
+            at += len(own)
+        found += [(name, "run", d) for d, name, a, b in self.runs(words) if not any(name == n and x <= a and b <= y for n, x, y in covered)]
         return found
 
 

@@ -1,3 +1,6 @@
+import random
+import textwrap
+
 from docloom.llm import licences as L
 
 
@@ -38,3 +41,33 @@ def test_table(frame):
     assert len(got) == 5
     assert [(x["licence"], x["unit"]) for r in got if r["doc_id"] == 3 for x in r["found"]] == [("CC-BY-NC-4.0", "text"), ("CC-BY-NC-4.0", "line")]
     assert L.scan_licences(frame([])).count() == 0
+
+
+def laid_out(text, parts, width=70):
+    """A notice in paragraphs of wrapped lines."""
+    words = text.split()
+    step = -(-len(words) // parts)
+    return "\n\n".join(textwrap.fill(" ".join(words[i : i + step]), width) for i in range(0, len(words), step))
+
+
+def test_notices_inside_long_texts():
+    matcher = L.Matcher()
+    before, after = ("\n\n".join(" ".join(f"{w}{i + j}" for j in range(60)) for i in range(0, 600, 60)) for w in "xy")
+    for name in ("MIT", "Apache-2.0", "GPL-3.0"):
+        notice = max((t for n, t in L.TEMPLATES if n == name), key=len)
+        found = [f for f in matcher.scan(f"{before}\n\n{laid_out(notice, 3)}\n\n{after}") if f[1] == "run"]
+        assert found == [(name, "run", 1.0)]
+    cc = "This work is licensed under a Creative Commons\nAttribution 4.0 International License."
+    assert matcher.scan(f"Some words before it.\n{cc}\nAnd some more that follow\n{before}") == [("CC-BY-4.0", "run", 1.0)]
+
+
+def test_runs_against_all_windows():
+    r = random.Random(3)
+    templates = [("A", "a b c d e f"), ("B", "b c d x")]
+    matcher = L.Matcher(templates)
+    sets = [L.bigrams(t.split()) for _, t in templates]
+    for _ in range(300):
+        words = [r.choice("abcdefxyz") if r.random() < 0.4 else "abcdef"[i % 6] for i in range(r.randrange(30))]
+        best = max((L.dice(L.bigrams(words[i:j]), s) for s in sets for i in range(len(words)) for j in range(i + 2, len(words) + 1)), default=0)
+        got = matcher.runs(words)
+        assert bool(got) == (best >= L.THRESHOLD - 1e-9) and (not got or max(g[0] for g in got) == best)
