@@ -1,55 +1,5 @@
-"""Tables that cut lineage, written to the folder which all executors share."""
+"""The tables of ``docloom.store``."""
 
-from __future__ import annotations
+from ..store import drop_written, materialize, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset in local mode."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    global _local
-    try:
-        return _local
-    except NameError:
-        _local = tempfile.mkdtemp(prefix="docloom-")
-        return _local
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    The rows then survive lost executors, and two consumers do not compute them twice.  The files go when the
-    driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_written() -> None:
-    """Delete what ``materialize`` has written so far."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the folder is the cluster's to clear
-            return
-
-
-atexit.register(drop_written)
+__all__ = ["drop_written", "materialize", "shared_dir"]

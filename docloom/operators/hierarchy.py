@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import materialize
+
 
-def depths(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 100) -> DataFrame:
+def depths(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """``unit, root, depth, path`` for every unit below a root; a root has a null parent.
 
-    One recursive query; units in a cycle, or below a missing parent, are not reached.
+    Rounds of joins with steps of 1, 2, 4, ... levels: their number grows with the logarithm of the greatest depth, and
+    neither rows nor depth have a limit.  Units in a cycle, or below a missing parent, are not reached; a cycle below a
+    root is an error.
     """
-    view = f"edges_{uuid.uuid4().hex}"
-    edges.select(F.col(child).alias("unit"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE tree(unit, root, depth, path) MAX RECURSION LEVEL {most} AS (
-          SELECT unit, unit, 0, unit FROM {view} WHERE parent IS NULL
-          UNION ALL
-          SELECT e.unit, t.root, t.depth + 1, concat(t.path, '/', e.unit) FROM tree t JOIN {view} e ON e.parent = t.unit
-        ) SELECT unit, root, depth, path FROM tree"""
-    )
+    rows = edges.select(F.col(child).alias("unit"), F.col(parent).alias("up"))
+    tree = materialize(rows.filter("up is null").select("unit", F.col("unit").alias("root"), F.lit(0).alias("depth"), F.col("unit").cast("string").alias("path")), "tree")
+    # ``up`` is ``step`` levels above ``unit``, ``tail`` the path between them.
+    above = materialize(rows.filter("up is not null").select("unit", "up", F.col("unit").cast("string").alias("tail")), "above")
+    step, most = 1, above.count()
+    while True:
+        known = tree.select(F.col("unit").alias("up"), "root", "depth", "path")
+        further = above.join(known, "up").select("unit", "root", (F.col("depth") + step).alias("depth"), F.concat_ws("/", "path", "tail").alias("path"))
+        further = materialize(further, "further")
+        if further.isEmpty():
+            return tree
+        if step > most:
+            raise ValueError("units below a root form a cycle")
+        tree = tree.unionByName(further)
+        next_ = above.select(F.col("unit").alias("up"), F.col("up").alias("next"), F.col("tail").alias("head"))
+        above = materialize(above.join(next_, "up").select("unit", F.col("next").alias("up"), F.concat_ws("/", "head", "tail").alias("tail")), "above")
+        step *= 2
 
 
 def inconsistencies(parents: DataFrame, children: DataFrame) -> DataFrame:

@@ -49,6 +49,20 @@ def test_hierarchy(spark):
     assert found == {("b", "a"): "not li", ("b", "top"): "listed"}
 
 
+def test_hierarchy_has_no_limit_of_depth_or_rows(spark):
+    chain = [("u0", None), *((f"u{i}", f"u{i - 1}") for i in range(1, 151)), ("u3", "u1")]  # u3 has two parents
+    got = [tuple(r) for r in hierarchy.depths(spark.createDataFrame(chain, "child string, parent string")).collect()]
+    want = [(f"u{i}", "u0", i, "/".join(f"u{j}" for j in range(i + 1))) for i in range(151)]
+    want += [(f"u{i}", "u0", i - 1, "/".join(f"u{j}" for j in range(i + 1) if j != 2)) for i in range(3, 151)]
+    assert sorted(got) == sorted(want)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        wide = spark.createDataFrame([("top", None), *((f"a{i}", "top") for i in range(40))], "child string, parent string")
+        assert hierarchy.depths(wide).count() == 41
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_mentions_and_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Jana Nová a Petr."), (2, "jana nova, JANA NOVÁ!"), (3, "Janan ova"), (4, None)], "doc_id long, text string")
     names = spark.createDataFrame([("jn", "Jana Nová"), ("p", "Petr"), ("empty", "")], "entity string, name string")
