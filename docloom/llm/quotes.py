@@ -35,8 +35,6 @@ _SAYS = re.compile(r"(?i)^(on|am|le|el)\b.{0,200}\b(wrote|schrieb|écrit|escribi
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
-#: Parts of fewer words than this count only as whole passages.
-LEAST_WORDS = 4
 
 
 def normal(text: str) -> list[str]:
@@ -72,13 +70,13 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
 
 
 def _parts(text: str, splits: Sequence) -> dict[int, int]:
-    """Hash and number of words of the whole text and of its parts of ``LEAST_WORDS`` or more."""
+    """Hash and number of words of the whole text and of its parts, of any length."""
     whole = normal(text)
     keys = {_key(whole): len(whole)} if whole else {}
     for split in splits:
         for part in split(text):
             words = normal(part)
-            if len(words) >= LEAST_WORDS:
+            if words:
                 keys.setdefault(_key(words), len(words))
     return keys
 

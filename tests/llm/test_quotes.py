@@ -51,3 +51,18 @@ def test_long_chain_against_plain_python(spark):
             at //= 2
             path.insert(0, at)
         assert got[7, t]["path"] == path
+
+
+def test_short_parts_of_longer_messages_are_found(spark):
+    rows = [
+        (1, 0, "user", "Sounds good.\nSee you on Monday at the station."),
+        (1, 1, "user", "The train leaves at nine. No. It does not."),
+        (1, 2, "assistant", "> Sounds good.\nYes."),
+        (1, 3, "assistant", "> No.\nWhy?"),
+        (1, 4, "user", ">> Sounds good.\n> Yes.\nFine."),
+        (1, 5, "user", "No.\nSounds good, all of this together now."),
+        (1, 6, "assistant", "> Sounds good.\n> See you on Monday at the station.\nAgreed."),
+    ]
+    got = linked(spark, rows)
+    assert [got[1, t]["parent_turn"] for t in range(7)] == [None, None, 0, 1, 2, None, 0]
+    assert got[1, 4]["path"] == [0, 2, 4]
