@@ -1,30 +1,23 @@
-"""Word and n-gram hashes of whole texts, computed a text at a time with numpy.
+"""Word and n-gram hashes of whole texts, computed a text at a time.
 
 A word is a maximal run of characters other than space, tab, line feed, vertical tab, form feed and carriage
-return, taken unchanged.  ``bytes.split()`` cuts at exactly these.  Hashes are 64-bit polynomials over UTF-8 bytes
-(or over word hashes) with a final mix, so that the hash of any run comes from two prefix sums.
+return, taken unchanged.  ``bytes.split()`` cuts at exactly these.  A word's hash is XXH3 of its UTF-8 bytes; the hash
+of a run of words comes from those of two shorter runs, with a mix after each step, so that neither long words nor
+repetitive runs collide more often than others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import xxhash
 
-_BASE = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 16
-_MASK = (1 << 64) - 1
+_LEFT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_BLOCK, base, np.uint64)]))
-
-
-_POW = _powers(_BASE)
-_INV = _powers(pow(_BASE, -1, 1 << 64))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     with np.errstate(over="ignore"):
@@ -33,34 +26,6 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomials of ``values[starts:ends]``; every range is shorter than a block."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    with np.errstate(over="ignore"):
-        while lo < len(starts):
-            at = int(starts[lo])
-            hi = int(np.searchsorted(ends, at + _BLOCK, "right")) if len(values) - at > _BLOCK else len(starts)
-            part = values[at : int(ends[hi - 1])].astype(np.uint64)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part + np.uint64(1)) * _POW[: len(part)], dtype=np.uint64, out=sums[1:])
-            s, e = starts[lo:hi] - at, ends[lo:hi] - at
-            out[lo:hi] = (sums[e] - sums[s]) * _INV[s]
-            lo = hi
-    return out
-
-
-def _long_word(data: np.ndarray) -> int:
-    """The polynomial of a word that is longer than a block, block by block."""
-    total, scale, step = 0, 1, pow(_BASE, _BLOCK // 2, 1 << 64)
-    for i in range(0, len(data), _BLOCK // 2):
-        part = data[i : i + _BLOCK // 2].astype(np.uint64) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            total = (total + scale * int(np.sum(part * _POW[: len(part)], dtype=np.uint64))) & _MASK
-        scale = scale * step & _MASK
-    return total
-
-
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of each word's start and end."""
     data = np.frombuffer(text, np.uint8)
@@ -77,21 +42,19 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash for each word of a UTF-8 text."""
-    starts, ends = word_bounds(text)
-    data = np.frombuffer(text, np.uint8)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    large = ends - starts >= _BLOCK
-    if not large.any():
-        return mix(_ranges(data, starts, ends))
-    out = np.empty(len(starts), np.uint64)
-    for i in np.flatnonzero(large):
-        out[i] = _long_word(data[starts[i] : ends[i]])
-    small = np.flatnonzero(~large)
-    for run in np.split(small, np.flatnonzero(np.diff(small) > 1) + 1):
-        if len(run):
-            out[run] = _ranges(data, starts[run], ends[run])
-    return mix(out)
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def word_digests(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes for each word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(a * _LEFT + b)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -99,8 +62,14 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(n)
-    return mix(_ranges(words, starts, starts + k))
+    out, done, span, runs = None, 0, 1, words
+    while True:  # ``runs`` has the hashes of runs of ``span`` words; k is a sum of such spans
+        if k & span:
+            out = runs[done : done + n] if out is None else _joined(out, runs[done : done + n])
+            done += span
+        if 2 * span > k:
+            return mix(out) if k == 1 else out
+        runs, span = _joined(runs[:-span], runs[span:]), 2 * span
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 Two texts are linked if the Jaccard similarity of their sets of ``k``-word shingles is at least ``threshold``.
 
-1. Every text becomes a set of 64-bit shingle hashes.  Texts with equal sets form one node, whose representative is
-   the least id; copies are never compared with each other.
+1. Every text becomes a set of 64-bit shingle hashes (of mixed word hashes, so two given shingles are taken for one with
+   a chance of 2^-64).  Texts with equal sets, by a 128-bit hash, form one node; copies are never compared with each other.
 2. **Chosen paths.**  In each run a set of n shingles picks about ``branching`` of them, by a hash of run and shingle
    under ``branching / n``; sets that pick the same shingle fall in one bucket.  Two sets at the threshold agree on a
    pick with probability ``1 - exp(-threshold * branching)`` or more, and ``target_recall`` sets the number of runs.
@@ -18,8 +18,9 @@ Two texts are linked if the Jaccard similarity of their sets of ``k``-word shing
    grows with its sets.  Classes are the connected components of the forests.
 
 Defined results: texts without words (null, empty, white space) link to nothing; a text of fewer than ``k`` words has
-one shingle, all its words; rows that share an id are one document; rows with a null id get a null class and no
-links; ties give the least id; an empty table gives an empty table; other columns are ignored.
+one shingle, all its words; rows that share an id each get the class of their own text; rows with a null id get a null
+class and no links; ties give the least id; an empty table gives an empty table; other columns are ignored, whatever
+their names.  A bucket holds at most ``bucket`` whole texts in memory, so very long texts call for a smaller one.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._names import quoted
 from ._store import materialize
 from ._text import mix, shingle_set, word_hashes
 
 #: Shingles of a set that are kept for choosing paths and for estimates, about.
 SAMPLE = 64
+#: Keys of three numbers that are broadcast at most, some 100 MB.
+MOST_BROADCAST = 1_000_000
 _RUN = np.uint64(0xD6E8FEB86659FD93)
 _PATH = np.uint64(0xA0761D6478BD642F)
 
@@ -108,13 +112,14 @@ def _describe(k: int, runs: int, branching: float):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
+                    batch.column("_h"),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.int64()),
                     pa.array([r[3] for r in rows], pa.binary()),
                     pa.array([[x.view(np.int64) for x in r[4]] for r in rows], pa.list_(pa.list_(pa.int64()))),
                 ],
-                names=["id", "s1", "s2", "n", "sample", "buckets"],
+                names=["id", "h", "s1", "s2", "n", "sample", "buckets"],
             )
 
     return run
@@ -265,11 +270,9 @@ def _verify(k: int, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             rep = group.column("rep").to_numpy()
-            _, first = np.unique(rep, return_index=True)  # rows that share an id are one document
-            if len(first) < 2:
+            if len(rep) < 2:
                 continue
-            group, rep = group.take(pa.array(first)), rep[first]
-            sets = [shingle_set(word_hashes((x or "").encode()), k) for x in group.column("_text").to_pylist()]
+            sets = [shingle_set(word_hashes(x.as_py().encode()), k) for x in group.column("_text")]
             linked = exact(sets, threshold) & _owned(_longs(group.column("leaves")), group.column("b")[0].as_py())
             edges, links = forest(linked), linked.sum(axis=1)
             has = np.flatnonzero(links)
@@ -331,6 +334,17 @@ def _leaves(sets: DataFrame, runs: Callable[[int], int], bucket: int, deeper: fl
     return out
 
 
+def _chosen_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rep, _text``: the text of one row of each set in ``keys`` (rep, id, h).
+
+    Up to ``MOST_BROADCAST`` keys, three numbers each, go to the texts; beyond that all texts are shuffled to them.
+    """
+    few = keys.count() <= MOST_BROADCAST
+    keys = keys.select("rep", F.col("id").alias("_id"), F.col("h").alias("_h"))
+    met = texts.join(F.broadcast(keys) if few else keys, ["_id", "_h"])
+    return met.groupBy("rep").agg(F.first("_text").alias("_text"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -342,34 +356,45 @@ def near_duplicates(
     deeper: float = 2.0,
     bucket: int = 2048,
     max_depth: int = 6,
+    with_hash: bool = False,
 ) -> DataFrame:
     """A row for each row of ``docs``: its id, ``class_id``, ``n_links`` and ``n_copies``.
 
     ``class_id`` is the least id that is reached over links, ``n_links`` the number of different sets of shingles
-    that the document's set is linked to, ``n_copies`` the number of other rows with the same set.
+    that the document's set is linked to, ``n_copies`` the number of other rows with the same set.  ``with_hash`` adds
+    ``text_hash``, the row's xxhash64, and ``class_hash``, that of the row which stands for its class.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    texts = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(text_col).cast("string").alias("_text"))
+    texts = texts.withColumn("_h", F.xxhash64("_text"))  # tells rows that share an id apart
     runs = functools.cache(lambda splits: runs_through(splits, target_recall, threshold, branching, deeper))
     run = _describe(k, max(map(runs, range(max_depth + 1))), branching)
-    described = materialize(texts.filter("_id is not null").mapInArrow(run, "id long, s1 long, s2 long, n long, sample binary, buckets array<array<long>>"), "sets")
-    sets = described.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sample").alias("sample"), F.first("buckets").alias("buckets"))
-    sets = materialize(sets, "representatives")
+    described = materialize(texts.filter("_id is not null").mapInArrow(run, "id long, h long, s1 long, s2 long, n long, sample binary, buckets array<array<long>>"), "sets")
+    sets = described.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "h")).alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sample").alias("sample"), F.first("buckets").alias("buckets"))
+    # The number of a set is drawn once, as the table is written.
+    sets = materialize(sets.select("s1", "s2", "least.id", "least.h", "rows", "n", "sample", "buckets", F.monotonically_increasing_id().alias("rep")), "representatives")
     leaves = materialize(_leaves(sets, runs, bucket, deeper, max_depth), "leaves")
     lists = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("b")).alias("leaves"))
     compared = leaves.distinct().join(sets.select("rep", "n", "sample").join(lists, "rep"), "rep")
     flagged = materialize(_by_bucket(compared, _candidates(threshold), "b long, rep long"), "candidates")
-    needed = flagged.join(lists, "rep")
-    with_text = needed.join(texts.withColumnRenamed("_id", "rep"), "rep")
+    keys = materialize(flagged.select("rep").distinct().join(sets.select("rep", "id", "h"), "rep"), "needed")
+    with_text = flagged.join(lists, "rep").join(_chosen_texts(texts, keys), "rep")
     verified = materialize(_by_bucket(with_text, _verify(k, threshold), "u long, v long, links long"), "links")
     roots = components(verified.filter("v is not null"))
     links = verified.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
-    facts = sets.select("s1", "s2", "rep", "rows").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    facts = facts.select("s1", "s2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
-    out = described.filter("n > 0").select("id", "s1", "s2").join(facts, ["s1", "s2"]).select("id", "class_id", "n_links", "n_copies")
-    zero = F.lit(0).cast("long")
-    alone = described.filter("n = 0").select("id", F.col("id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"))
-    null = texts.filter("_id is null").select(F.col("_id").alias("id"), F.lit(None).cast("long").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"))
-    return out.unionByName(alone).unionByName(null).withColumnRenamed("id", id_col)
+    members = roots.select(F.col("node").alias("rep"), "root").unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
+    heads = members.join(sets.select("rep", "id", "h"), "rep").groupBy("root").agg(F.min(F.struct("id", "h")).alias("head"))
+    classes = members.join(heads, "root").select("rep", "head")
+    facts = sets.select("s1", "s2", "rep", "id", "h", "rows").join(classes, "rep", "left").join(links, "rep", "left")
+    head = F.coalesce("head", F.struct("id", "h"))
+    facts = facts.select("s1", "s2", head["id"].alias("class_id"), head["h"].alias("class_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
+    columns = ["id", "class_id", "n_links", "n_copies", F.col("h").alias("text_hash"), "class_hash"]
+    out = described.filter("n > 0").select("id", "h", "s1", "s2").join(facts, ["s1", "s2"]).select(*columns)
+    zero, null = F.lit(0).cast("long"), F.lit(None).cast("long")
+    none = [zero.alias("n_links"), zero.alias("n_copies")]
+    alone = described.filter("n = 0").select("id", F.col("id").alias("class_id"), *none, F.col("h").alias("text_hash"), F.col("h").alias("class_hash"))
+    nameless = texts.filter("_id is null").select(F.col("_id").alias("id"), null.alias("class_id"), *none, F.col("_h").alias("text_hash"), F.col("_h").alias("class_hash"))
+    every = out.unionByName(alone).unionByName(nameless)
+    return every.select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", *["text_hash", "class_hash"] * with_hash)
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -14,11 +14,14 @@ id.  Windows are judged on the input texts.
    repeats; the words themselves are compared, so hash collisions cannot remove anything.
 4. **The rest.**  A window whose anchor is shared but which differs from the leader's context may still equal a
    window of a third document.  Whether that holds depends on the window's words alone, so all its occurrences
-   are in the same case; they are grouped by a 128-bit hash and compared with the least id of the group.
+   are in the same case; they are grouped by 128 bits of hash, from two independent hashes of each word, and compared
+   with the least id of the group.  Two given windows are taken for one with a chance of 2^-128.
 
 Defined results: a null text has no words; a text of fewer than ``min_words`` words is kept whole; rows that repeat
 an id are each judged and returned, and do not count as each other's source; rows with a null id are kept whole and are no
-source; an empty table gives an empty table.  Other columns are carried only if named in ``carry``.
+source; of equal windows the one with the least id stays; an empty table gives an empty table.  Other columns are
+carried only if named in ``carry``; one that bears a result's name comes out with ``_in`` behind it.  A text is held
+whole in its task, with some 30 bytes for each word.
 """
 
 from __future__ import annotations
@@ -27,13 +30,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._names import Carried, quoted
 from ._store import materialize
-from ._text import gram_hashes, mix, sliding_argmin, word_bounds, word_hashes
-
-_SECOND = np.uint64(0x6A09E667F3BCC909)
+from ._text import gram_hashes, sliding_argmin, word_bounds, word_digests, word_hashes
 
 
 def _texts(batch: pa.RecordBatch, name: str = "_text") -> Iterator[bytes]:
@@ -54,54 +56,89 @@ def winnow(words: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, np
     return grams[at], at, first, last
 
 
+def _by_anchor(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[list[int] | None]]:
+    """Anchors without repeats, the first (position, first and last window) of each, and its further ones in a row."""
+    a, *places = found
+    rows = np.stack(places, axis=1)
+    _, first, group = np.unique(a, return_index=True, return_inverse=True)
+    more: list[list[int] | None] = [None] * len(first)
+    for i in np.flatnonzero(first[group] != np.arange(len(a))).tolist():
+        g = group[i]
+        if more[g] is None:
+            more[g] = []
+        more[g] += rows[i].tolist()
+    return a[first], rows[first], more
+
+
 def anchors(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """``a, id, pos, lo, hi``: the anchors of each text and the windows that select them."""
+    """``a, id, h, pos, lo, hi, more``: each text's anchors and the windows that select them.
+
+    An anchor has one row for each text; ``more`` has (pos, lo, hi) of its further places, so that a text of one line
+    over and over does not fill a join key.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_id").to_numpy(zero_copy_only=False)
-            parts = [winnow(word_hashes(text), min_words, gram) for text in _texts(batch)]
+            parts = [_by_anchor(winnow(word_hashes(text), min_words, gram)) for text in _texts(batch)]
             if not parts:
                 continue
-            a, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+            sizes = [len(p[0]) for p in parts]
+            places = np.concatenate([p[1] for p in parts])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(np.repeat(ids, [len(p[0]) for p in parts])), *(pa.array(x, pa.int32()) for x in (pos, lo, hi))],
-                names=["a", "id", "pos", "lo", "hi"],
+                [
+                    pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
+                    pa.array(np.repeat(batch.column("_id").to_numpy(zero_copy_only=False), sizes)),
+                    pa.array(np.repeat(batch.column("_h").to_numpy(zero_copy_only=False), sizes)),
+                    *(pa.array(places[:, i].astype(np.int32)) for i in range(3)),
+                    pa.array([m for p in parts for m in p[2]], pa.list_(pa.int32())),
+                ],
+                names=["a", "id", "h", "pos", "lo", "hi", "more"],
             )
 
-    return docs.select("_id", "_text").mapInArrow(run, "a long, id long, pos int, lo int, hi int")
+    return docs.select("_id", "_h", "_text").mapInArrow(run, "a long, id long, h long, pos int, lo int, hi int, more array<int>")
 
 
 def segments(found: DataFrame) -> DataFrame:
-    """``id, leader, start, end, places``: ranges of leaders' words, and where they lie in each document.
+    """``id, h, leader, lh, start, end, places``: ranges of leaders' words, and where they lie in each document.
 
-    ``places`` holds for each diagonal the word of the document that stands at ``start``, and its anchors' windows.
+    Ids and text hashes name documents.  ``places`` holds for each diagonal the word of the document that stands at
+    ``start``, and its anchors' windows.
     """
+    # Both choices follow the order by id alone, so they come from one row.
     leaders = (
         found.groupBy("a")
-        .agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.min_by("pos", "id").alias("at"))
+        .agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.min_by("h", "id").alias("lh"), F.min_by("pos", "id").alias("at"))
         .filter("leader < most")
         .drop("most")
     )
-    paired = found.join(leaders, "a").filter("id != leader or pos != at").withColumn("diag", F.col("pos") - F.col("at"))
-    runs = paired.groupBy("id", "leader", "diag").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("windows"))
-    return runs.select("id", "leader", (F.col("first") - F.col("diag")).alias("start"), (F.col("last") - F.col("diag")).alias("end"), F.struct("first", "windows").alias("place")).groupBy("id", "leader", "start", "end").agg(F.collect_list("place").alias("places"))
+    others = F.transform(F.sequence(F.lit(0), F.size("more") - 3, F.lit(3)), lambda i: F.struct(F.get("more", i).alias("pos"), F.get("more", i + 1).alias("lo"), F.get("more", i + 2).alias("hi")))
+    met = found.join(leaders, "a")
+    once = met.select("id", "h", "leader", "lh", "at", "pos", "lo", "hi")
+    again = met.filter("more is not null").select("id", "h", "leader", "lh", "at", F.inline(others))
+    paired = once.unionByName(again).filter("id != leader or h != lh or pos != at").withColumn("diag", F.col("pos") - F.col("at"))
+    runs = paired.groupBy("id", "h", "leader", "lh", "diag").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("windows"))
+    return (
+        runs.select("id", "h", "leader", "lh", (F.col("first") - F.col("diag")).alias("start"), (F.col("last") - F.col("diag")).alias("end"), F.struct("first", "windows").alias("place"))
+        .groupBy("id", "h", "leader", "lh", "start", "end")
+        .agg(F.collect_list("place").alias("places"))
+    )
 
 
 def _fetch(min_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for leader, text, ranges in zip(batch.column("_id").to_pylist(), _texts(batch), batch.column("ranges").to_pylist(), strict=True):
+            for leader, h, text, ranges in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), _texts(batch), batch.column("ranges").to_pylist(), strict=True):
                 words = text.split()
                 cut = [(max(0, r["start"]), r["start"], r["end"]) for r in ranges]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([leader] * len(cut), pa.int64()),
+                        pa.array([h] * len(cut), pa.int64()),
                         pa.array([s for _, s, _ in cut], pa.int32()),
                         pa.array([e for *_, e in cut], pa.int32()),
                         pa.array([b" ".join(words[max(0, f) : max(0, e + min_words)]) for f, _, e in cut], pa.binary()),
                     ],
-                    names=["leader", "start", "end", "words"],
+                    names=["leader", "lh", "start", "end", "words"],
                 )
 
     return run
@@ -156,9 +193,8 @@ def _extend(min_words: int):
                 covered, left = rows(doc, words, found)
                 h1, h2, start = [], [], []
                 for x, y in left:
-                    part = word_hashes(b" ".join(words[x : y + min_words]))
-                    h1.append(gram_hashes(part, min_words))
-                    h2.append(gram_hashes(mix(part ^ _SECOND), min_words))
+                    for hashes, of_word in zip((h1, h2), word_digests(words[x : y + min_words]), strict=True):
+                        hashes.append(gram_hashes(of_word, min_words))
                     start.append(np.arange(x, x + len(h1[-1]), dtype=np.int32))
                 if covered:
                     n = len(covered)
@@ -210,8 +246,7 @@ def _cut(keep_layout: bool, min_words: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = zip(batch.column("_h").to_pylist(), batch.column("found").to_pylist(), strict=True)
-            ranges = [merged(x for r in f or () if r["h"] == h for x in [(r["lo"], r["hi"]), *((m, m + min_words) for m in r["more"] or ())]) for h, f in found]
+            ranges = [merged(x for r in f or () for x in [(r["lo"], r["hi"]), *((m, m + min_words) for m in r["more"] or ())]) for f in batch.column("found").to_pylist()]
             out = [one(text, r) for text, r in zip(_texts(batch), ranges, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -236,24 +271,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < gram <= min_words:
         raise ValueError("gram must be between 1 and min_words")
-    rest: Column = F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_"))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), rest.alias("_rest"))
+    carried = Carried(carry, (id_col, "n_words", "n_removed", "kept", "removed"))
+    rows = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(text_col).cast("string").alias("_text"), carried.struct().alias("_rest"))
     rows = rows.withColumn("_h", F.xxhash64("_text"))  # tells rows that share an id apart
     keyed = rows.filter("_id is not null")
     found = materialize(anchors(keyed, min_words, gram), "anchors")
     segs = materialize(segments(found), "segments")  # one choice of leaders for both uses
     # The three joins below share one exchange of the texts: each takes all columns of ``keyed``.
-    ranges = segs.groupBy(F.col("leader").alias("_id")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    contexts = keyed.join(ranges, "_id").mapInArrow(_fetch(min_words), "leader long, start int, end int, words binary")
-    own = segs.join(contexts, ["leader", "start", "end"]).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("leader", "start", "places", "words")).alias("found"))
-    seen = keyed.join(own, "_id").mapInArrow(_extend(min_words), "h1 long, h2 long, id long, h long, lo int, hi int, more array<int>")
+    ranges = segs.groupBy(F.col("leader").alias("_id"), F.col("lh").alias("_h")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    contexts = keyed.join(ranges, ["_id", "_h"]).mapInArrow(_fetch(min_words), "leader long, lh long, start int, end int, words binary")
+    contexts = contexts.groupBy("leader", "lh", "start", "end").agg(F.first("words").alias("words"))  # repeated rows have the same
+    own = segs.join(contexts, ["leader", "lh", "start", "end"]).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("leader", "start", "places", "words")).alias("found"))
+    seen = keyed.join(own, ["_id", "_h"]).mapInArrow(_extend(min_words), "h1 long, h2 long, id long, h long, lo int, hi int, more array<int>")
     first = seen.filter("h2 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
     hits = seen.join(first, ["h1", "h2"], "left").filter("h2 is null or least < id")
-    cover = hits.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("h", "lo", "hi", "more")).alias("found"))
-    empty = F.lit(None).cast("array<struct<h:bigint,lo:int,hi:int,more:array<int>>>").alias("found")
+    cover = hits.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "hi", "more")).alias("found"))
+    empty = F.lit(None).cast("array<struct<lo:int,hi:int,more:array<int>>>").alias("found")
     schema = f"_id long, _rest {rows.schema['_rest'].dataType.simpleString()}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
-    out = keyed.join(cover, "_id", "left").unionByName(rows.filter("_id is null").select("*", empty)).mapInArrow(_cut(keep_layout, min_words), schema)
-    return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept", "removed", *[F.col(f"_rest.{c}").alias(c) for c in carry])
+    out = keyed.join(cover, ["_id", "_h"], "left").unionByName(rows.filter("_id is null").select("*", empty)).mapInArrow(_cut(keep_layout, min_words), schema)
+    return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept", "removed", *carried.columns("_rest"))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,30 +11,44 @@ def shingles(text, k=5):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
-def brute(rows, threshold=0.8):
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    rep = {}
-    for i in sorted(sets):
-        rep.setdefault(sets[i], i)
-    nodes = {i: s for s, i in rep.items() if s}
-    parent = {i: i for i in nodes}
+def brute_rows(rows, threshold=0.8):
+    """(class id, links) of each row, told apart by their texts."""
+    sets = [shingles(t) for _, t in rows]
+    least = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        if i is not None and s:
+            least[s] = min(least.get(s, i), i)
+    nodes = list(least)
+    root = list(range(len(nodes)))
+    links = Counter()
 
     def find(x):
-        while parent[x] != x:
-            x = parent[x]
+        while root[x] != x:
+            x = root[x]
         return x
 
-    links = Counter()
-    ids = sorted(nodes)
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            common = len(nodes[a] & nodes[b])
-            if common >= threshold * (len(nodes[a]) + len(nodes[b]) - common) - 1e-9:
-                links[a] += 1
-                links[b] += 1
-                ra, rb = sorted((find(a), find(b)))
-                parent[rb] = ra
-    return {i: (find(rep[s]), links[rep[s]]) if s else (i, 0) for i, s in sets.items()}
+    for x, a in enumerate(nodes):
+        for y in range(x + 1, len(nodes)):
+            common = len(a & nodes[y])
+            if common >= threshold * (len(a) + len(nodes[y]) - common) - 1e-9:
+                links[x] += 1
+                links[y] += 1
+                root[find(y)] = find(x)
+    head = {}
+    for x, a in enumerate(nodes):
+        head[find(x)] = min(head.get(find(x), least[a]), least[a])
+    at = {s: x for x, s in enumerate(nodes)}
+    return [(None, 0) if i is None else (i, 0) if not s else (head[find(at[s])], links[at[s]]) for (i, _), s in zip(rows, sets, strict=True)]
+
+
+def brute(rows, threshold=0.8):
+    return {i: found for (i, _), found in zip(rows, brute_rows(rows, threshold), strict=True) if i is not None}
+
+
+def thue_morse(size, first="ab"):
+    """A word and its complement, which every polynomial hash modulo a power of two takes for one another."""
+    bits = [i.bit_count() % 2 for i in range(size)]
+    return "".join(first[b] for b in bits), "".join(first[1 - b] for b in bits)
 
 
 def family(words, rows, base, n, edits, seed):
@@ -75,6 +89,31 @@ def test_edges(frame):
     assert nj.near_duplicates(frame([])).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_texts_classes(frame, words):
+    a, b = words(60, 1), words(60, 2)
+    near = lambda w: " ".join([*w[:58], "x", "y"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(words(60, 3))), (None, " ".join(a))]
+    got = nj.near_duplicates(frame(rows), with_hash=True).collect()
+    want = sorted((str(i), *x) for (i, _), x in zip(rows, brute_rows(rows), strict=True))
+    assert sorted(((str(r["doc_id"]), r["class_id"], r["n_links"]) for r in got), key=str) == sorted(want, key=str)
+    assert len({r["class_hash"] for r in got if r["class_id"] == 1}) == 2  # two classes whose least ids are equal
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(frame):
+    rows = []
+    for size in (1024, 2048, 4096):
+        rows += [(len(rows) + i, f"a b c d {w}") for i, w in enumerate(thue_morse(size))]
+    x, y = thue_morse(2048, ["left ", "right "])  # the same with words for letters
+    rows += [(len(rows), x), (len(rows) + 1, y), (len(rows) + 2, "left right " * 1024)]
+    check(frame, rows)
+
+
+def test_columns_of_other_names_do_not_matter(spark):
+    rows = [(1, "a b c d e f", 5, "x", 1), (2, "a b c d e f", 6, "y", 2)]
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, class_id int, _text string, n_links int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 1), (2, 1, 0, 1)]
+
+
 def test_common_counts_by_both_ways():
     r = random.Random(1)
     lists = [np.array(sorted(r.sample(range(60), r.randrange(0, 25))), np.int64) for _ in range(70)]

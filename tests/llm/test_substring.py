@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from docloom.llm import substring
+from test_ngram_join import thue_morse
 
 
 def brute(rows, least=50):
@@ -53,6 +54,30 @@ def test_windows_that_differ_from_the_first_occurrence(frame, words):
     check(frame, rows)
 
 
+def test_words_of_one_polynomial_hash_are_told_apart(frame, words):
+    before, after = words(30, 1), words(30, 2)
+    rows = []
+    for size in (1024, 2048, 4096):
+        rows += [(len(rows) + i, " ".join([*before, w, *after])) for i, w in enumerate(thue_morse(size))]
+    rows += [(20, " ".join([*before, thue_morse(1024)[1], *after])), (21, " ".join(words(80, 3) + before[5:] + [thue_morse(1024)[0]] + after))]
+    x, y = thue_morse(2048, ["left ", "right "])
+    check(frame, [*rows, (30, x), (31, y)])
+
+
+def test_rows_that_share_an_id(frame, words):
+    p, q = words(70, 1), words(70, 2)
+    rows = [(5, " ".join(p + words(9, 3))), (5, " ".join(q + words(9, 4))), (5, " ".join(p + q)), (5, " ".join(p + q)), (7, " ".join(words(4, 5) + q[3:] + p)), (7, " ".join(q)), (9, " ".join(p[:60])), (None, " ".join(p))]
+    check(frame, rows)
+
+
+def test_long_texts_ties_and_clashing_columns(spark, words):
+    line = " ".join(words(12, 6))
+    rows = [(1, (line + "\n") * 4000, "a", 1), (2, (line + " ") * 3000 + "end", "b", 2), (2, " ".join(words(30, 7)), "c", 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, kept string, N_Words int")
+    got = substring.remove_repeats(table, carry=("kept", "N_Words")).collect()
+    assert {r["kept_in"]: (r["n_words"], r["n_removed"], r["N_Words_in"]) for r in got} == {"a": (48000, 0, 1), "b": (36001, 36000, 2), "c": (30, 0, 3)}
+
+
 def test_layout_and_other_columns(frame, words):
     p = words(55, 11)
     rows = [(1, "Head\n" + " ".join(p) + "\nTail"), (2, "  One\n\n" + "  ".join(p) + "\n Two \n")]

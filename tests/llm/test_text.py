@@ -25,6 +25,11 @@ def test_hashes_do_not_depend_on_place_or_block():
     for i in (0, 3, 11, len(grams) - 1):
         assert grams[i] == t.gram_hashes(whole[i : i + 7], 7)[0]
     assert not len(t.gram_hashes(whole[:6], 7))
+    for k in (1, 2, 5, 8, 50):
+        runs = {tuple(whole[i : i + k].tolist()) for i in range(300 - k)}
+        assert len(set(t.gram_hashes(whole[:299], k).tolist())) == len(runs)
+    one, two = t.word_digests(parts)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(set(parts)) and not set(one.tolist()) & set(two.tolist())
 
 
 @given(st.lists(st.integers(0, 9), max_size=80), st.integers(1, 20))
