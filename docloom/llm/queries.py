@@ -26,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
+    "op9_quote_links": quotes.OP9_SQL,
 }
