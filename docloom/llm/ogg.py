@@ -7,7 +7,9 @@ streams apart by serial number, and derives each packet's times from the granule
 counted and skipped, packets with a missing part are dropped, and bytes between pages are passed over.
 
 Defined results: null and empty texts are stored as 64 zero bytes; equal texts give equal files (serial numbers come
-from the content); bytes that are no Ogg file give no streams and a null payload; repeated rows are each returned.
+from the content); bytes that are no Ogg file give no streams and a null payload; repeated rows are each returned; an
+empty table gives an empty table; a text is held whole in its task, a few times over; extra columns are kept, and one
+that already has the media column's name with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from ._names import quoted, with_result
+
 MAGIC = b"\x01lanes8\x00"
 LANES = 2
 BLOCK = 2048
@@ -271,7 +275,7 @@ def media_packets(media: pa.Array) -> pa.Array:
 
 def with_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """``docs`` with the text's Ogg file in ``media_col``."""
-    return docs.withColumn(media_col, encode_text(F.col(text_col).cast("string")))
+    return with_result(docs, media_col, encode_text(quoted(text_col).cast("string")))
 
 
 def op1_media_ogg(spark, sf_dir: str) -> DataFrame:

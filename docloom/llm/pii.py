@@ -10,8 +10,13 @@ from the formats and contexts below with a fixed seed, a bounded sample that doe
 
 Every scan is linear in the text, also in very long runs without spaces.  Spans are in code points, end exclusive.
 
-Defined results: null and empty texts have no spans; repeated rows are each returned; an empty table gives an empty
-table; extra columns are carried only if named in ``carry``.
+Features look at ``BEFORE`` characters in front of a candidate and ``AFTER`` behind it, as the trees do when they are
+trained; the spans themselves have no limit of length but that of their formats (an IBAN, a telephone number).
+
+Defined results: null and empty texts have no spans; repeated rows are each returned; of equally likely candidates that
+overlap the one that starts first stays, then the shorter one, then the kind that is first by name; an empty table gives
+an empty table; extra columns are carried only if named in ``carry``, and one that is named ``found`` or ``redacted``
+comes out with ``_in`` behind it.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._boosting import BoostedTrees
+from ._names import Carried, quoted
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("ssn", "iban", "tel", "mail")
@@ -100,8 +106,11 @@ _GENERATORS = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "tel": re.compile(r"(?<![0-9A-Za-z.+#=-])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+#=-])[0-9]{9,11}(?![0-9A-Za-z.])"),
-    "mail": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?|\.)[A-Za-z0-9-]{2,63}){1,4}"),
 }
+_AT = re.compile(r" ?[\[(] ?(?:at|AT) ?[\])] ?")
+_SPELLED = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?|\.)[A-Za-z0-9-]{2,})+")
+#: Characters in front of a candidate and behind it that features look at.
+BEFORE, AFTER = 40, 24
 #: Words near a candidate, by what they speak for; fixed values.
 _CONTEXT = {
     "call": ("tel", "phone", "call", "mobile", "cell", "fax", "telefon", "handy", "anruf", "teléfono", "móvil", "téléphone", "portable", "contact", "whatsapp"),
@@ -116,10 +125,21 @@ def candidate_spans(text: str) -> list[Span]:
     """What the generators propose; spans may overlap."""
     found: list[Span] = []
     for kind, pattern in _GENERATORS.items():
-        if kind == "mail" and "[at" not in (low := text.lower()) and "(at" not in low and "[ at" not in low and "( at" not in low:
-            continue
         found += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return found
+    return found + [("mail", s, e) for s, e in _spelled_mails(text)]
+
+
+def _spelled_mails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled-out at sign: local characters to its left, a domain to its right."""
+    end = 0
+    for at in _AT.finditer(text) if "(" in text or "[" in text else ():
+        start = at.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _SPELLED.match(text, at.end()) if start < at.start() else None
+        if domain:
+            end = domain.end()
+            yield start, end
 
 
 def _mod97(value: str) -> bool:
@@ -131,7 +151,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format of the span, its neighbours, and words of the context."""
     span = text[start:end]
     digits, groups = _only_digits(span), _DIGITS.findall(span) or [""]
-    before, after = text[max(0, start - 40) : start].lower(), text[end : end + 24].lower()
+    before, after = text[max(0, start - BEFORE) : start].lower(), text[end : end + AFTER].lower()
     near = before[-1:] or " ", after[:1] or " "
     sizes = [len(g) for g in groups]
     first = int(groups[0][:4] or 0)
@@ -317,9 +337,10 @@ def _scan(model: BoostedTrees, limits: Sequence[float], with_text: bool):
 
 def find_pii(docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """``carry`` and ``found`` (spans by kind and start) for each row; ``with_text`` adds the ``redacted`` text."""
-    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_rest"), F.col(text_col).cast("string").alias("_text"))
+    carried = Carried(carry, ("found", *["redacted"] * with_text))
+    rows = docs.select(carried.struct().alias("_rest"), quoted(text_col).cast("string").alias("_text"))
     schema = f"_rest {rows.schema['_rest'].dataType.simpleString()}, found {_SPANS}" + ", redacted string" * with_text
-    return rows.mapInArrow(_scan(*trained(), with_text), schema).select("_rest.*", "found", *["redacted"] * with_text)
+    return rows.mapInArrow(_scan(*trained(), with_text), schema).select(*carried.columns("_rest"), "found", *["redacted"] * with_text)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
