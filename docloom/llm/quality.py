@@ -6,12 +6,14 @@ rates are shrunk with a beta prior whose mean and strength are fitted to all hos
 documents stays near the common rate.  Documents of a host whose shrunk rate is over ``max_host_rate`` are rejected
 with those that fail themselves.
 
-The host table is grouped with partial sums before its shuffle and joined back by a plain equi-join, which adaptive
-execution splits where one host holds a large part of the rows.  Texts are read once; only numbers are shuffled.
+The host table is grouped with partial sums before its shuffle.  Rates are broadcast if a count shows that they are
+small; otherwise only those of hosts with over a thousandth of all documents are (``_join.attach``).  Texts are read once.
 
 Defined results: a null text has no words and fails; a text of white space alike; a null host has no verdict, its
-documents are judged by the base rules only; repeated rows each count and are each returned; an empty table gives an
-empty table; extra columns are ignored, or carried if named.
+documents are judged by the base rules only; a host whose rate equals ``max_host_rate`` stays; repeated rows each count
+and are each returned; an empty table gives an empty table; a very long text takes memory in its row, about 60 bytes for
+each word; extra columns are ignored, or carried if named, and one that bears a result's name comes out with ``_in``
+behind it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._join import attach
+from ._names import Carried, quoted
 from ._store import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -71,9 +75,9 @@ def text_metrics(docs: DataFrame, text: Column, keep: Sequence[Column]) -> DataF
     """``keep`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(x, F.lit(_SPACES))) > 0)
-    cut = docs.select(*keep, body.alias("_text"), word_list(body).alias("_words"), lines.alias("_lines"))
+    cut = docs.select(F.struct(*keep).alias("_keep"), body.alias("_text"), word_list(body).alias("_words"), lines.alias("_lines"))
     hashed = cut.select(
-        *[F.col(f"`{c}`") for c in cut.columns if c not in ("_text", "_words", "_lines")],
+        "_keep",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_text", _SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -81,7 +85,7 @@ def text_metrics(docs: DataFrame, text: Column, keep: Sequence[Column]) -> DataF
         window_hashes(F.col("_words")).alias("_windows"),
     )
     repeats = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows"))).otherwise(F.lit(0))
-    return hashed.withColumn("n_repeat_words", repeats.cast("long")).drop("_windows")
+    return hashed.select("_keep.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.cast("long").alias("n_repeat_words"))
 
 
 def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
@@ -96,7 +100,7 @@ def host_rates(judged: DataFrame, max_host_rate: float) -> DataFrame:
     1 only, it counts as two documents at least.
     """
     hosts = judged.filter("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    hosts = hosts.withColumn("raw", F.col("n_failed") / F.col("n_docs"))
+    hosts = materialize(hosts, "hosts").withColumn("raw", F.col("n_failed") / F.col("n_docs"))
     sums = hosts.agg(
         F.sum("n_docs").alias("n"),
         F.count("*").alias("h"),
@@ -117,16 +121,15 @@ def host_rates(judged: DataFrame, max_host_rate: float) -> DataFrame:
 
 
 def judge(docs: DataFrame, host: Column, text_col: str = "text", keep: Sequence[str] = ("doc_id",), min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.5) -> DataFrame:
-    """A row for each document: ``keep``, the metrics, ``base_failed``, ``host_rate`` and ``kept``.
-
-    The columns of ``keep`` must not bear the names of results.
-    """
-    measured = text_metrics(docs, F.col(text_col), [*[F.col(c) for c in keep], host.cast("string").alias("host")])
+    """A row for each document: ``keep``, the metrics, ``base_failed``, ``host_rate`` and ``kept``."""
+    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept")
+    carried = Carried(keep, results)
+    measured = text_metrics(docs, quoted(text_col).cast("string"), [carried.struct().alias("_rest"), host.cast("string").alias("host")])
     judged = materialize(measured.withColumn("base_failed", base_failed(min_words, max_repeat_percent)), "quality")
-    rates = host_rates(judged, max_host_rate).select("host", F.col("rate").alias("host_rate"), "host_failed")
-    out = judged.join(rates, "host", "left")
+    rates = host_rates(judged, max_host_rate).select("host", "n_docs", F.col("rate").alias("host_rate"), "host_failed")
+    out = attach(judged, rates, "host", "n_docs")
     kept = ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))
-    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
+    return out.select(*carried.columns("_rest"), *results[:-1], kept.alias("kept"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

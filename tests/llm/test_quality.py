@@ -1,6 +1,7 @@
-from docloom.llm import quality
 from pyspark.sql import functions as F
 
+from docloom.llm import _join, quality
+
 
 def brute(text):
     text = text or ""
@@ -35,3 +36,20 @@ def test_empty_table_and_one_host(frame, words):
     assert quality.judge(frame([]), F.col("source")).count() == 0
     same = quality.judge(frame([(1, " ".join(words(30, 1))), (1, " ".join(words(30, 1)))]), F.col("source")).collect()
     assert [r["kept"] for r in same] == [True, True]
+
+
+def test_clashing_names_and_long_texts(spark, words):
+    text = " ".join(words(20_000, 4)) + "\n" + "again " * 9
+    rows = [(1, text, "a", 5, "h"), (2, "", "b", 6, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, host string, n_words int, Kept string")
+    got = {r["doc_id"]: r for r in quality.judge(table, F.col("host"), keep=("doc_id", "host", "n_words", "Kept", "text")).collect()}
+    assert (got[1]["host"], got[1]["n_words_in"], got[1]["Kept_in"], got[1]["n_words"], got[1]["text"]) == ("a", 5, "h", 20_009, text)
+    assert (got[2]["host"], got[2]["n_words_in"], got[2]["Kept_in"], got[2]["kept"]) == ("b", 6, None, False)
+
+
+def test_facts_are_attached_alike_by_each_way(spark):
+    rows = spark.range(6000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 50 = 1 then null else concat('k', id % 2000) end as key")
+    facts = rows.filter("key is not null").groupBy("key").count().selectExpr("key", "count as n", "count * 7 as fact")
+    small, large = (_join.attach(rows, facts, "key", "n", most_bytes=m) for m in (1 << 30, 0))
+    look = lambda df: sorted((r["id"], r["key"], r["fact"]) for r in df.select("id", "key", "fact").collect())
+    assert look(small) == look(large) == look(rows.join(facts, "key", "left"))
