@@ -1,8 +1,12 @@
+import itertools
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from docloom.llm import packing
 
 LENGTHS = (8, 16, 64)
@@ -24,29 +28,57 @@ def test_bins_hold_their_pieces_and_are_as_small_as_permitted(sizes):
         assert capacity == min(c for c in LENGTHS if c >= at)
 
 
-def slow_best_fit(sizes, lengths, top):
+def slow_plan(sizes, lengths, plan):
+    """Best fit by a plain search; ``plan`` has the opening length of each class."""
     bins = []
     for s in sizes:
         fits = [b for b in bins if b[0] >= s]
         if fits:
             b = min(fits, key=lambda b: b[0])
         else:
-            fitting = [c for c in lengths if c >= s]
-            c = min([c for c in fitting if c <= top] or fitting[:1], key=lambda c: (packing.cost(c) / c, -c))
-            bins.append(b := [c, 0])
+            bins.append(b := [plan[min(c for c in lengths if c >= s)], 0])
         b[0] -= s
         b[1] += s
-    return sorted(b[1] for b in bins)
+    return sum(packing.cost(min(c for c in lengths if c >= b[1])) for b in bins)
+
+
+def slow_best(sizes, lengths):
+    """The least cost of all plans, each tried in full."""
+    choices = [[c for c in lengths if c >= of] for of in lengths]
+    return min(slow_plan(sizes, lengths, dict(zip(lengths, plan, strict=True))) for plan in itertools.product(*choices))
 
 
-def test_best_fit_against_a_plain_search():
+def test_plans_against_every_choice_of_lengths():
     r = random.Random(5)
-    for _ in range(50):
-        sizes = sorted((r.randint(1, 64) for _ in range(40)), reverse=True)
-        plans = [slow_best_fit(sizes, LENGTHS, top) for top in LENGTHS]
-        best = min(sum(packing.cost(min(c for c in LENGTHS if c >= u)) for u in p) for p in plans)
-        got = {b: c for b, c, _ in packing.pack(sizes, LENGTHS)}
-        assert abs(sum(map(packing.cost, got.values())) - best) < 1e-9
+    better = 0
+    for lengths, most in ((LENGTHS, 64), ((64, 128, 256, 1024), 400), ((500, 520), 519)):
+        for n in (0, 1, 5, 40):
+            for _ in range(12):
+                sizes = sorted((r.randint(1, r.choice((most, most // 8))) for _ in range(n)), reverse=True)
+                got = {b: c for b, c, _ in packing.pack(sizes, lengths)}
+                best = slow_best(sizes, lengths)
+                assert abs(sum(map(packing.cost, got.values())) - best) < 1e-9
+                alone = [slow_plan(sizes, lengths, {c: max(c, top) for c in lengths}) for top in lengths]
+                better += bool(n) and best < min(alone) - 1e-9
+    assert better >= 3  # the choice is a joint one: no single opening length does as well
+
+
+def test_too_many_lengths_are_refused():
+    with pytest.raises(ValueError):
+        packing.pack([1], range(1, 9))
+
+
+def test_rows_that_are_all_alike_spread_over_shards(spark):
+    rows = spark.range(40_000).selectExpr("cast(null as bigint) doc_id", "'a b c' text")
+    sizes = packing.place(rows, shard_rows=1000).groupBy((F.col("bin_id") / 2**32).cast("int")).count().collect()
+    assert len(sizes) == 40 and max(r["count"] for r in sizes) < 1300
+
+
+def test_long_texts_and_clashing_columns(spark, words):
+    text = "\n".join([" ".join(words(999, 3))] * 60)
+    table = spark.createDataFrame([(1, text, 7, "n"), (2, text, 8, "m")], "doc_id long, text string, piece int, Bin_ID string")
+    got = sorted(packing.place(table, lengths=LENGTHS, carry=("piece", "Bin_ID"), text_col="text").collect(), key=lambda r: (r["doc_id"], r["piece"]))
+    assert "".join(r["text"] for r in got if r["doc_id"] == 1) == text and {(r["piece_in"], r["Bin_ID_in"]) for r in got} == {(7, "n"), (8, "m")}
 
 
 def test_texts_come_back_whole(frame, words):
