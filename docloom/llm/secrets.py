@@ -3,16 +3,19 @@
 1. From each rule's regular expression a Boolean query over trigrams is derived (``trigram_query``): a text can only
    match if it holds all trigrams of one of the query's conjunctions.  A rule without mandatory trigrams scans
    every text.
-2. The index has a posting (trigram, text hash) for each trigram of the rules that a text holds in either case.
-   Copies of a text have one posting.
+2. The index has a posting (trigram, text hash, number of copies) for each trigram of the rules that a text holds in
+   either case.  Copies of a text have one posting.
 3. Postings are intersected: a text is a candidate for a rule if it has all postings of one conjunction.
-4. Candidates are verified on their whole texts with the regular expressions themselves.
+4. Candidates are verified on their whole texts with the regular expressions themselves.  Their hashes go to the texts
+   by broadcast if a count shows that they are few, else the texts are shuffled to them (``_join.attach``).
 
 Spans are counted in code points, end exclusive, and cover the whole match.  Matches of a rule are leftmost and do
 not overlap; matches of different rules may.
 
-Defined results: null and empty texts have no spans; repeated rows are each returned; an empty table gives an empty
-table; extra columns are ignored, or carried if named.
+Defined results: null and empty texts have no spans; repeated rows are each returned; spans of one start are in the
+rules' order; an empty table gives an empty table; a very long text is scanned whole, in time linear in it but for the
+square root of its number of matches; extra columns are ignored, or carried if named, and one that is named ``found``
+comes out as ``found_in``.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._join import attach
+from ._names import Carried, quoted
+from ._store import materialize
 from .quality import _let
 
 _MOST_STRINGS = 64
@@ -141,21 +147,21 @@ def trigram_query(pattern: str) -> Query:
 
 
 def trigram_index(texts: DataFrame, trigrams: Sequence[str]) -> DataFrame:
-    """``trigram, h``: postings of the given trigrams over the distinct hashes ``h`` of ``_text``."""
+    """``trigram, h, n``: postings of the given trigrams over the distinct hashes ``h`` of ``_text``, of ``n`` rows each."""
     held = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("_low"), t))
-    return texts.select("h", F.lower("_text").alias("_low")).select("h", F.explode(held).alias("trigram")).distinct()
+    return texts.select("h", F.lower("_text").alias("_low")).select("h", F.explode(held).alias("trigram")).groupBy("h", "trigram").agg(F.count("*").alias("n"))
 
 
 def candidates(postings: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """``h, kinds``: the rules that a text may match, from the intersection of postings."""
+    """``h, n, kinds``: the rules that a text may match, from the intersection of postings."""
     rows = [(kind, i, t, len(c)) for kind, q in queries.items() for i, c in enumerate(sorted(q, key=sorted)) for t in sorted(c)]
     if not rows:
-        return postings.select("h", F.array().cast("array<string>").alias("kinds")).limit(0)
+        return postings.select("h", "n", F.array().cast("array<string>").alias("kinds")).limit(0)
     each = [F.struct(F.lit(k).alias("kind"), F.lit(p).alias("part"), F.lit(t).alias("trigram"), F.lit(n).alias("needed")) for k, p, t, n in rows]
     terms = postings.sparkSession.range(1).select(F.inline(F.array(*each)))
     # The terms come from the rules alone, so their size does not depend on the data.
-    met = postings.join(F.broadcast(terms), "trigram").groupBy("h", "kind", "part").agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
-    return met.filter("n = needed").groupBy("h").agg(F.collect_set("kind").alias("kinds"))
+    met = postings.join(F.broadcast(terms), "trigram").groupBy("h", "kind", "part").agg(F.count("*").alias("held"), F.first("needed").alias("needed"), F.max("n").alias("n"))
+    return met.filter("held = needed").groupBy("h").agg(F.max("n").alias("n"), F.collect_set("kind").alias("kinds"))
 
 
 # ---- spans -----------------------------------------------------------------------------------------------------
@@ -188,13 +194,14 @@ _NONE = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 def find_secrets(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES) -> DataFrame:
     """``keep`` and ``found``, the rules' spans in order of start and rule, for each row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("_keep"), text.alias("_text")).withColumn("h", F.xxhash64("_text"))
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    carried = Carried(keep, ("found",))
+    rows = docs.select(carried.struct().alias("_rest"), text.alias("_text")).withColumn("h", F.xxhash64("_text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: q for kind, q in queries.items() if frozenset() not in q}
     trigrams = sorted({t for q in indexed.values() for part in q for t in part})
     if trigrams:
-        rows = rows.join(candidates(trigram_index(rows, trigrams), indexed), "h", "left")
+        rows = attach(rows, materialize(candidates(trigram_index(rows, trigrams), indexed), "candidates"), "h", "n")
     else:
         rows = rows.withColumn("kinds", F.array().cast("array<string>"))
     none = F.array().cast(_NONE)
@@ -202,7 +209,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: Sequence[str] =
     for order, r in enumerate(rules):
         may = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) if r.kind in indexed else F.col("_text").rlike(r.pattern)
         parts.append(F.when(may, rule_spans(F.col("_text"), r, order)).otherwise(none))
-    return rows.select("_keep.*", F.sort_array(F.concat(*parts)).alias("found"))
+    return rows.select(*carried.columns("_rest"), F.sort_array(F.concat(*parts)).alias("found"))
 
 
 def spelled(spans: Column) -> Column:
