@@ -1,6 +1,8 @@
 """A corpus pipeline over ``documents``: quality rules, near-duplicates, shared passages, personal data, packing.
 
-Each stage takes all that the one before kept; all but the last return the columns of ``documents``.
+Each stage takes all that the one before kept; all but the last return the columns of ``documents``, whatever other
+columns come in.  Null texts and empty ones fail the quality rules; the later stages take them all the same, and
+texts of any length, ties and empty tables, as their operators say.
 """
 
 from __future__ import annotations
@@ -18,19 +20,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose source does, go."""
     ship(spark)
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    judged = quality.judge(keyed, F.col("source"), keep=("doc_id", "source", "_h"))
-    kept = judged.filter("kept").select("doc_id", "source", "_h").distinct()
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & keyed["source"].eqNullSafe(kept["source"]) & (keyed["_h"] == kept["_h"])
-    return keyed.join(kept, same, "left_semi").select(*COLUMNS)
+    return quality.judge(docs, F.col("source"), keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays; rows with a null id stay."""
+    """Of each class of near-duplicates the document with the least id stays; rows with a null id stay.
+
+    Rows that share an id are told apart by their texts; of equal rows one stays.
+    """
     ship(spark)
-    kept = ngram_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    found = ngram_join.near_duplicates(docs, with_hash=True)
+    kept = found.filter("doc_id = class_id and text_hash = class_hash").select("doc_id", "text_hash").distinct()
+    docs = docs.select(*COLUMNS)
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    one = keyed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return one.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
