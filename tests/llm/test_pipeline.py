@@ -73,3 +73,19 @@ def test_stages_take_null_ids_and_empty_tables(spark, frame, words):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, "")
             assert docs.count() == n
+
+
+def test_stages_take_shared_ids_extra_columns_long_texts_and_ties(spark, frame, words):
+    from pyspark.sql import functions as F
+
+    a, b = words(80, 1), words(80, 2)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:79] + ["z"])), (3, " ".join(words(30_000, 3))), (3, " ".join(words(30_000, 3)))]
+    docs = frame(rows).withColumns({"kept": F.lit("x"), "text_hash": F.lit(1), "host": F.lit("h"), "found": F.lit(2), "bin_id": F.lit(3)})
+    counts = []
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, "")
+        counts.append(docs.count())
+        if name != "packing":
+            assert docs.columns == list(cp.COLUMNS)
+            docs = docs.withColumns({"kept": F.lit("x"), "class_id": F.lit(0), "n_words": F.lit(1), "redacted": F.lit("r"), "piece": F.lit(9)})
+    assert counts == [5, 3, 3, 3, 6]  # both texts of id 1 stay; one near and one exact copy go; the long text makes four pieces
