@@ -60,6 +60,8 @@ def _by_anchor(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) ->
     """Anchors without repeats, the first (position, first and last window) of each, and its further ones in a row."""
     a, *places = found
     rows = np.stack(places, axis=1)
+    if len(np.unique(a)) == len(a):
+        return a, rows, [None] * len(a)
     _, first, group = np.unique(a, return_index=True, return_inverse=True)
     more: list[list[int] | None] = [None] * len(first)
     for i in np.flatnonzero(first[group] != np.arange(len(a))).tolist():
@@ -282,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = keyed.join(ranges, ["_id", "_h"]).mapInArrow(_fetch(min_words), "leader long, lh long, start int, end int, words binary")
     contexts = contexts.groupBy("leader", "lh", "start", "end").agg(F.first("words").alias("words"))  # repeated rows have the same
     own = segs.join(contexts, ["leader", "lh", "start", "end"]).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("leader", "start", "places", "words")).alias("found"))
-    seen = keyed.join(own, ["_id", "_h"]).mapInArrow(_extend(min_words), "h1 long, h2 long, id long, h long, lo int, hi int, more array<int>")
+    seen = materialize(keyed.join(own, ["_id", "_h"]).mapInArrow(_extend(min_words), "h1 long, h2 long, id long, h long, lo int, hi int, more array<int>"), "windows")
     first = seen.filter("h2 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
     hits = seen.join(first, ["h1", "h2"], "left").filter("h2 is null or least < id")
     cover = hits.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "hi", "more")).alias("found"))
