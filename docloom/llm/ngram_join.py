@@ -8,9 +8,11 @@ Two texts are linked if the Jaccard similarity of their sets of ``k``-word shing
    under ``branching / n``; sets that pick the same shingle fall in one bucket.  Two sets at the threshold agree on a
    pick with probability ``1 - exp(-threshold * branching)`` or more, and ``target_recall`` sets the number of runs.
    Buckets of over ``bucket`` sets split again, each set picking about ``deeper`` further shingles of its sample along
-   its path.  A split can part a pair, so the sets of split buckets take part in further runs, as many as keep a pair
+   its path.  If a set's pick is picked by ``1 / deeper`` of its bucket or more, on the average over about ``PROBE`` of
+   its sets, paths would multiply from level to level and part nothing: such a bucket is compared in full, block by block.
+   A split can part a pair, so the sets of split buckets take part in further runs, as many as keep a pair
    with probability ``target_recall`` through the number of splits that was needed.
-   What is still larger after ``max_depth`` levels is compared in full, block by block: an exact way for the rest.
+   What is still larger after ``max_depth`` levels is compared in full as well: an exact way for the rest.
 3. Small buckets are compared by brute force, first on a bounded sample of each set (its least hashes; the estimate
    may be 4.5 standard deviations low), then exactly on the whole texts of those that remain.  A pair that meets in
    several buckets counts in the first one only.
@@ -42,6 +44,8 @@ from ._text import mix, shingle_set, word_hashes
 
 #: Shingles of a set that are kept for choosing paths and for estimates, about.
 SAMPLE = 64
+#: Sets of a large bucket, about, whose picks tell whether a split helps; both ways keep the pairs.
+PROBE = 512
 #: Keys of three numbers that are broadcast at most, some 100 MB.
 MOST_BROADCAST = 1_000_000
 _RUN = np.uint64(0xD6E8FEB86659FD93)
@@ -126,17 +130,17 @@ def _describe(k: int, runs: int, branching: float):
 
 
 def _split(deeper: float):
-    """The next buckets of each set along its path."""
+    """The next buckets of each set along its path, with the bucket that they come from."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, out, sizes = batch.column("rep").to_numpy(), [], []
+            came, out, sizes = [batch.column(c).to_numpy() for c in ("rep", "b")], [], []
             for b, n, sample in zip(batch.column("b").to_numpy(), batch.column("n").to_numpy(), batch.column("sample"), strict=True):
                 tokens = np.frombuffer(sample.as_buffer(), np.uint32)
                 out.append(_picks(tokens, mix(np.array([b]).view(np.uint64) ^ _RUN)[0], deeper / min(n, SAMPLE)))
                 sizes.append(len(out[-1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(rep, sizes))], names=["b", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(pa.array(np.repeat(x, sizes)) for x in came)], names=["b", "rep", "parent"])
 
     return run
 
@@ -292,25 +296,50 @@ def _by_bucket(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     return rows.repartition("b").sortWithinPartitions("b").mapInArrow(run, schema)
 
 
+def _blocks(large: DataFrame, bucket: int) -> DataFrame:
+    """``b, rep``: all pairs of blocks, of half a bucket each, of the buckets in ``large`` (b, rep, size)."""
+    blocks = large.withColumn("blocks", F.ceil(F.col("size") * 2 / bucket).cast("long"))
+    pairs = blocks.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return pairs.select(F.xxhash64("b", F.least("i", "j"), F.greatest("i", "j")).alias("b"), "rep")
+
+
+def _picked(large: DataFrame, sets: DataFrame, deeper: float) -> DataFrame:
+    """``b, rep, parent``: the further buckets of each set in ``large`` (b, rep)."""
+    return large.select("b", "rep").join(sets.select("rep", "sample", "n"), "rep").mapInArrow(_split(deeper), "b long, rep long, parent long")
+
+
+def _alike(large: DataFrame, sets: DataFrame, deeper: float) -> DataFrame:
+    """``b``: the buckets of ``large`` (b, rep, size) that a split would not make smaller, by a probe of each."""
+    part = F.pmod(F.xxhash64("rep", F.lit(PROBE)), F.lit(1 << 30))
+    probe = materialize(large.filter(part * F.col("size") < PROBE * (1 << 30)).select("b", "rep"), "probe")
+    n = probe.groupBy("b").agg(F.count("*").alias("n"))
+    met = _picked(probe, sets, deeper).groupBy("parent", "b").agg(F.count("*").alias("c")).groupBy("parent")
+    met = met.agg(F.sum("c").alias("picks"), F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs")).withColumnRenamed("parent", "b")
+    return met.join(n, "b").filter(F.col("pairs") * deeper >= F.col("picks") * (F.col("n") - 1)).filter("n > 1").select("b")
+
+
 def _levels(level: DataFrame, sets: DataFrame, bucket: int, deeper: float, max_depth: int) -> tuple[list[DataFrame], DataFrame, int]:
     """The buckets to compare from the first ones in ``level``, the sets whose first buckets split, and how often."""
     done: list[DataFrame] = []
+    split = sets.select("rep").limit(0)
     for depth in range(max_depth + 1):
         size = level.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1")
         level = materialize(level.join(size, "b"), f"level{depth}")
         done.append(level.filter(F.col("size") <= bucket).select("b", "rep"))
         large = level.filter(F.col("size") > bucket)
-        if not depth:
-            split = large.select("rep").distinct()
         if large.isEmpty():
             break
-        if depth == max_depth:  # all pairs of blocks of half a bucket
-            blocks = F.ceil(F.col("size") * 2 / bucket).cast("long")
-            own = F.pmod(F.xxhash64("rep", F.lit(depth)), F.col("blocks"))
-            pairs = large.withColumn("blocks", blocks).withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            done.append(pairs.select(F.xxhash64("b", F.least("i", "j"), F.greatest("i", "j")).alias("b"), "rep"))
+        if depth == max_depth:
+            done.append(_blocks(large, bucket))
+            break
+        alike = materialize(_alike(large, sets, deeper), f"alike{depth}")
+        done.append(_blocks(large.join(alike, "b", "left_semi"), bucket))
+        large = large.join(alike, "b", "left_anti")
+        if not depth:
+            split = large.select("rep").distinct()
+        level = materialize(_picked(large, sets, deeper).select("b", "rep"), f"picks{depth}")
+        if level.isEmpty():
             break
-        level = large.select("b", "rep").join(sets.select("rep", "n", "sample"), "rep").mapInArrow(_split(deeper), "b long, rep long")
     return done, split, depth
 
 
@@ -324,7 +353,7 @@ def _leaves(sets: DataFrame, runs: Callable[[int], int], bucket: int, deeper: fl
         level = chosen.select(F.explode(F.flatten(F.slice("buckets", before + 1, upto - before))).alias("b"), "rep")
         more, split, depth = _levels(level, sets, bucket, deeper, max_depth)
         done += more
-        if not before and depth:
+        if not before and depth:  # without a split the runs are those that there were
             chosen = materialize(sets.join(split, "rep", "left_semi"), "split")
         splits = max(splits, depth)
         before, upto = upto, runs(splits)
