@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, release
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -33,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         small = _least(large)
         own = small.select("u", F.col("m").alias("v"))
         others = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(own.unionByName(others).distinct(), "edges")
+        before, e = e, materialize(own.unionByName(others).distinct(), "edges")
+        release(before)

@@ -1,5 +1,5 @@
 """The tables of ``docloom.store``."""
 
-from ..store import drop_written, materialize, shared_dir
+from ..store import drop_written, materialize, release, shared_dir
 
-__all__ = ["drop_written", "materialize", "shared_dir"]
+__all__ = ["drop_written", "materialize", "release", "shared_dir"]

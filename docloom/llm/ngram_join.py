@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._names import quoted
-from ._store import materialize
+from ._store import materialize, release
 from ._text import mix, shingle_set, word_hashes
 
 #: Shingles of a set that are kept for choosing paths and for estimates, about.
@@ -308,23 +308,30 @@ def _picked(large: DataFrame, sets: DataFrame, deeper: float) -> DataFrame:
     return large.select("b", "rep").join(sets.select("rep", "sample", "n"), "rep").mapInArrow(_split(deeper), "b long, rep long, parent long")
 
 
-def _alike(large: DataFrame, sets: DataFrame, deeper: float) -> DataFrame:
-    """``b``: the buckets of ``large`` (b, rep, size) that a split would not make smaller, by a probe of each."""
+def _probe(large: DataFrame) -> DataFrame:
+    """``b, rep``: about ``PROBE`` sets of each bucket of ``large`` (b, rep, size)."""
     part = F.pmod(F.xxhash64("rep", F.lit(PROBE)), F.lit(1 << 30))
-    probe = materialize(large.filter(part * F.col("size") < PROBE * (1 << 30)).select("b", "rep"), "probe")
+    return large.filter(part.cast("double") * F.col("size") < float(PROBE << 30)).select("b", "rep")
+
+
+def _alike(probe: DataFrame, sets: DataFrame, deeper: float) -> DataFrame:
+    """``b``: the buckets that a split would not make smaller, from some of their sets."""
     n = probe.groupBy("b").agg(F.count("*").alias("n"))
     met = _picked(probe, sets, deeper).groupBy("parent", "b").agg(F.count("*").alias("c")).groupBy("parent")
     met = met.agg(F.sum("c").alias("picks"), F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs")).withColumnRenamed("parent", "b")
     return met.join(n, "b").filter(F.col("pairs") * deeper >= F.col("picks") * (F.col("n") - 1)).filter("n > 1").select("b")
 
 
-def _levels(level: DataFrame, sets: DataFrame, bucket: int, deeper: float, max_depth: int) -> tuple[list[DataFrame], DataFrame, int]:
-    """The buckets to compare from the first ones in ``level``, the sets whose first buckets split, and how often."""
+def _levels(level: DataFrame, sets: DataFrame, bucket: int, deeper: float, max_depth: int) -> tuple[list[DataFrame], DataFrame, int, list[DataFrame]]:
+    """The buckets to compare from the first ones in ``level``, the sets whose first buckets split, how often, and the
+    tables written on the way."""
     done: list[DataFrame] = []
+    between: list[DataFrame] = []
     split = sets.select("rep").limit(0)
     for depth in range(max_depth + 1):
         size = level.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1")
         level = materialize(level.join(size, "b"), f"level{depth}")
+        between.append(level)
         done.append(level.filter(F.col("size") <= bucket).select("b", "rep"))
         large = level.filter(F.col("size") > bucket)
         if large.isEmpty():
@@ -332,35 +339,39 @@ def _levels(level: DataFrame, sets: DataFrame, bucket: int, deeper: float, max_d
         if depth == max_depth:
             done.append(_blocks(large, bucket))
             break
-        alike = materialize(_alike(large, sets, deeper), f"alike{depth}")
+        probe = materialize(_probe(large), f"probe{depth}")
+        alike = materialize(_alike(probe, sets, deeper), f"alike{depth}")
         done.append(_blocks(large.join(alike, "b", "left_semi"), bucket))
         large = large.join(alike, "b", "left_anti")
         if not depth:
             split = large.select("rep").distinct()
         level = materialize(_picked(large, sets, deeper).select("b", "rep"), f"picks{depth}")
+        between += [probe, alike, level]
         if level.isEmpty():
             break
-    return done, split, depth
+    return done, split, depth, between
 
 
-def _leaves(sets: DataFrame, runs: Callable[[int], int], bucket: int, deeper: float, max_depth: int) -> DataFrame:
-    """``b, rep``: the buckets of two sets or more that are compared by brute force.
+def _leaves(sets: DataFrame, runs: Callable[[int], int], bucket: int, deeper: float, max_depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``b, rep``: the buckets of two sets or more that are compared by brute force, and the tables that they come from.
 
     ``runs`` has the number of runs for a number of splits; runs beyond the first are for sets of split buckets.
     """
-    chosen, before, upto, splits, done = sets, 0, runs(0), 0, []
+    chosen, before, upto, splits, done, between = sets, 0, runs(0), 0, [], []
     while before < upto:
         level = chosen.select(F.explode(F.flatten(F.slice("buckets", before + 1, upto - before))).alias("b"), "rep")
-        more, split, depth = _levels(level, sets, bucket, deeper, max_depth)
+        more, split, depth, tables = _levels(level, sets, bucket, deeper, max_depth)
         done += more
+        between += tables
         if not before and depth:  # without a split the runs are those that there were
             chosen = materialize(sets.join(split, "rep", "left_semi"), "split")
+            between.append(chosen)
         splits = max(splits, depth)
         before, upto = upto, runs(splits)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out, between
 
 
 def _chosen_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -401,7 +412,11 @@ def near_duplicates(
     sets = described.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "h")).alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sample").alias("sample"), F.first("buckets").alias("buckets"))
     # The number of a set is drawn once, as the table is written.
     sets = materialize(sets.select("s1", "s2", "least.id", "least.h", "rows", "n", "sample", "buckets", F.monotonically_increasing_id().alias("rep")), "representatives")
-    leaves = materialize(_leaves(sets, runs, bucket, deeper, max_depth), "leaves")
+    wide, described = described, materialize(described.select("id", "h", "s1", "s2", "n"), "documents")
+    release(wide)
+    found, between = _leaves(sets, runs, bucket, deeper, max_depth)
+    leaves = materialize(found, "leaves")
+    release(*between)
     lists = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("b")).alias("leaves"))
     compared = leaves.distinct().join(sets.select("rep", "n", "sample").join(lists, "rep"), "rep")
     flagged = materialize(_by_bucket(compared, _candidates(threshold), "b long, rep long"), "candidates")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._names import Carried, quoted
-from ._store import materialize
+from ._store import materialize, release
 from ._text import gram_hashes, sliding_argmin, word_bounds, word_digests, word_hashes
 
 
@@ -279,12 +279,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = rows.filter("_id is not null")
     found = materialize(anchors(keyed, min_words, gram), "anchors")
     segs = materialize(segments(found), "segments")  # one choice of leaders for both uses
+    release(found)
     # The three joins below share one exchange of the texts: each takes all columns of ``keyed``.
     ranges = segs.groupBy(F.col("leader").alias("_id"), F.col("lh").alias("_h")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     contexts = keyed.join(ranges, ["_id", "_h"]).mapInArrow(_fetch(min_words), "leader long, lh long, start int, end int, words binary")
     contexts = contexts.groupBy("leader", "lh", "start", "end").agg(F.first("words").alias("words"))  # repeated rows have the same
     own = segs.join(contexts, ["leader", "lh", "start", "end"]).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("leader", "start", "places", "words")).alias("found"))
     seen = materialize(keyed.join(own, ["_id", "_h"]).mapInArrow(_extend(min_words), "h1 long, h2 long, id long, h long, lo int, hi int, more array<int>"), "windows")
+    release(segs)
     first = seen.filter("h2 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
     hits = seen.join(first, ["h1", "h2"], "left").filter("h2 is null or least < id")
     cover = hits.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "hi", "more")).alias("found"))
