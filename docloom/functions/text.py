@@ -48,9 +48,11 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(word, f"^([a-z0-9]{{{LEAST_STEM},}}?)({'|'.join(ENDINGS)})$", "$1")
 
 
-def slug(title: Column, most: int = 60) -> Column:
-    """Folded title with hyphens, cut to ``most`` characters without a hyphen at either end."""
+def slug(title: Column, most: int | None = 60) -> Column:
+    """Folded title with hyphens, cut to ``most`` characters (None: whole) without a hyphen at either end."""
     whole = F.regexp_replace(F.regexp_replace(fold(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    if most is None:
+        return whole
     return F.regexp_replace(F.substring(whole, 1, most), "-+$", "")
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .search import rows_with
 
 
 def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 3) -> DataFrame:
     """``id_col, entity, n``: how often each entity's name stands in each text, as whole folded words.
 
-    Texts are exploded to runs of 1 to ``longest`` words and counted within the document before the join, so the join
-    is on equality; the planner broadcasts the dictionary if it is small.
+    Texts become runs of 1 to ``longest`` words; those that are no name are dropped before anything is shuffled if the
+    dictionary is small (``search.rows_with``).
     """
     dictionary = names.select("entity", F.array_join(T.tokens(F.col("name")), " ").alias("gram"), F.size(T.tokens(F.col("name"))).alias("size")).filter(F.col("size").between(1, longest)).select("entity", "gram").distinct()
     words = docs.select(id_col, T.tokens(F.col(text_col)).alias("_w"))
@@ -21,5 +22,5 @@ def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text
         starts = F.slice("_w", F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(0)))
         return F.transform(starts, lambda _, i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
 
-    grams = words.select(id_col, F.explode(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)]))).alias("gram"))
-    return grams.join(dictionary, "gram").groupBy(id_col, "entity").agg(F.count("*").alias("n"))
+    grams = words.select(id_col, F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])).alias("_g"))
+    return rows_with(grams, "_g", "gram", dictionary).groupBy(id_col, "entity").agg(F.count("*").alias("n"))

@@ -23,11 +23,41 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.withColumn("term", T.stem(F.col("term"))) if stemmed else rows
 
 
+def counted(words: Column) -> Column:
+    """(term, tf) of a row's words, counted in the row: sorted, then cut where the word changes."""
+
+    def runs(w: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1)))
+        return F.transform(F.array(ends), lambda e: F.transform(e, lambda x, j: F.struct(F.get(w, x - 1).alias("term"), (x - F.when(j == 0, F.lit(0)).otherwise(F.get(e, j - 1))).cast("long").alias("tf"))))[0]
+
+    some = F.transform(F.array(F.sort_array(words)), runs)[0]
+    return F.when(F.size(words) > 0, some).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
-    """``doc_id, term, tf``, counted within each text's own token list, so nothing but the result is shuffled."""
+    """``doc_id, term, tf``, counted within each text's own token list; nothing is shuffled."""
     t = T.tokens(F.col(text_col))
-    rows = docs.select(id_col, F.explode(F.transform(t, lambda w: T.stem(w)) if stemmed else t).alias("term"))
-    return rows.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return docs.select(id_col, F.inline(counted(F.transform(t, lambda w: T.stem(w)) if stemmed else t)))
+
+
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, cf, df``: how often each term stands in all texts, and in how many of them."""
+    rows = docs.select(F.inline(counted(T.tokens(F.col(text_col)))))
+    return rows.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"), F.count("*").alias("df"))
+
+
+#: Keys that are sent to the rows at most, before those that remain are joined.
+MOST_KEYS = 100_000
+
+
+def rows_with(rows: DataFrame, values: str, key: str, facts: DataFrame) -> DataFrame:
+    """``rows`` exploded by the array ``values`` as ``key``, joined with ``facts``.
+
+    If the facts have few keys, which a count shows, rows drop all other values before anything is shuffled.
+    """
+    keys = facts.select(key).distinct()
+    opened = rows.withColumn(key, F.explode(values)).drop(values)
+    return (opened.join(F.broadcast(keys), key, "left_semi") if keys.count() <= MOST_KEYS else opened).join(facts, key)
 
 
 def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,6 +46,9 @@ def map_counts(rows: DataFrame, key: str, votes: str) -> DataFrame:
 
 
 def number_match(subject, number):
-    """Whether a vote's subject holds a print number, letters and digits only, so that damaged marks do not matter."""
-    strip = lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", "")
-    return F.contains(strip(subject), strip(number))
+    """Whether a vote's subject holds a print number, so that damaged marks between letters and digits do not matter.
+
+    Runs of letters and of digits are compared whole: ``Z?8983`` holds ``Z-8983``, but not ``Z-898``.
+    """
+    parts = lambda x: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.upper(x), F.lit("[A-Z]+|[0-9]+"), F.lit(0)), " "), F.lit(" "))
+    return F.contains(parts(subject), parts(number))

@@ -68,13 +68,19 @@ def left_join_votes(spark, d):
     return table(spark, d, "orders").join(v, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", "n")
 
 
+_PRINT = "concat(' ', array_to_string(regexp_extract_all(upper({}), '[A-Z]+|[0-9]+'), ' '), ' ')"
+
+
 @q(
-    r"""
-SELECT p_partkey, contains(regexp_replace(upper(concat('k tisku Z?', p_partkey, ' ', p_name)), '[^A-Z0-9]', '', 'g'), regexp_replace(upper(concat('Z-', p_partkey)), '[^A-Z0-9]', '', 'g')) AS same FROM part"""
+    f"""
+SELECT p_partkey, asked, contains({_PRINT.format("concat('k tisku Z?', p_partkey, ' ', p_name)")}, {_PRINT.format("concat('Z-', asked)")}) AS same
+FROM (SELECT p_partkey, p_name, unnest([p_partkey, p_partkey // 10, p_partkey * 10, p_partkey + 1]) AS asked FROM part)"""
 )
 def print_number_match(spark, d):
-    key = F.col("p_partkey").cast("string")
-    return table(spark, d, "part").select("p_partkey", votes.number_match(F.concat(F.lit("k tisku Z?"), key, F.lit(" "), F.col("p_name")), F.concat(F.lit("Z-"), key)).alias("same"))
+    key = F.col("p_partkey")
+    asked = table(spark, d, "part").select("p_partkey", "p_name", F.explode(F.array(key, F.floor(key / 10).cast("long"), key * 10, key + 1)).alias("asked"))
+    subject = F.concat(F.lit("k tisku Z?"), key.cast("string"), F.lit(" "), F.col("p_name"))
+    return asked.select("p_partkey", "asked", votes.number_match(subject, F.concat(F.lit("Z-"), F.col("asked").cast("string"))).alias("same"))
 
 
 _SPELLS = """

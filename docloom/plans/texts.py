@@ -57,46 +57,53 @@ SELECT term, CAST(count(*) AS BIGINT) AS cf, CAST(count(DISTINCT doc_id) AS BIGI
 FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term"""
 )
 def term_frequencies(spark, d):
-    p = search.postings(table(spark, d, "documents"))
-    return p.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"), F.count("*").alias("df"))
+    return search.term_counts(table(spark, d, "documents"))
 
 
 @q(
     f"""
-SELECT stem, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT term) AS BIGINT) AS forms FROM (
-  SELECT term, {stem_sql('term')} AS stem FROM (SELECT unnest({tokens_sql('text')}) AS term FROM documents WHERE lang = 'es')) GROUP BY stem"""
+SELECT stem, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS forms FROM (
+  SELECT term, {stem_sql('term')} AS stem, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term) GROUP BY stem"""
 )
 def stem_tokens(spark, d):
-    words = search.token_rows(table(spark, d, "documents").filter("lang = 'es'"))
-    return words.withColumn("stem", T.stem(F.col("term"))).groupBy("stem").agg(F.count("*").alias("n"), F.countDistinct("term").alias("forms"))
+    words = search.term_counts(table(spark, d, "documents"))
+    return words.withColumn("stem", T.stem(F.col("term"))).groupBy("stem").agg(F.sum("cf").cast("long").alias("n"), F.count("*").alias("forms"))
 
 
-@q(f"SELECT lang, {fold_sql('substr(text, 1, 1)')} AS initial, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL")
-def fold_group_initials(spark, d):
-    return table(spark, d, "documents").groupBy("lang", T.fold(F.substring("text", 1, 1)).alias("initial")).agg(F.count("*").alias("n"))
+@q(f"SELECT {fold_sql('c_name')} AS name, {fold_sql('n_name')} AS land, CAST(count(*) AS BIGINT) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
+def fold_group_names(spark, d):
+    people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return people.groupBy(T.fold(F.col("c_name")).alias("name"), T.fold(F.col("n_name")).alias("land")).agg(F.count("*").alias("n"))
 
 
-@q(f"SELECT doc_id, lang FROM documents WHERE {fold_sql('substr(text, 1, 3)')} = 'ere'")
+@q(f"SELECT doc_id, md5({fold_sql('text')}) AS folded FROM documents")
 def fold_equals(spark, d):
-    return table(spark, d, "documents").filter(T.fold(F.substring("text", 1, 3)) == "ere").select("doc_id", "lang")
+    return table(spark, d, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
+
+
+@q("SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON lower(replace(c.c_name, 'Customer', 'Zákazník')) = lower(replace(s.s_name, 'Supplier', 'ZÁKAZNÍK'))")
+def author_participant(spark, d):
+    author = T.fold(F.replace("c_name", F.lit("Customer"), F.lit("Zákazník"))).alias("folded")
+    other = T.fold(F.replace("s_name", F.lit("Supplier"), F.lit("ZAKAZNIK"))).alias("folded")
+    return table(spark, d, "customer").select("c_custkey", author).join(table(spark, d, "supplier").select("s_suppkey", other), "folded").select("c_custkey", "s_suppkey")
 
 
 def _slug_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({fold_sql(x)}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@q(f"SELECT doc_id, regexp_replace(substr({_slug_sql('substr(text, 1, 200)')}, 1, 60), '-+$', '') AS slug FROM documents")
+@q(f"SELECT doc_id, regexp_replace(substr({_slug_sql('text')}, 1, 60), '-+$', '') AS slug FROM documents")
 def slug_titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @q(
     f"""
 SELECT doc_id, CASE WHEN length(s) > 100 THEN concat(substr(s, 1, 92), '-', substr(sha1(s), 1, 7)) ELSE s END AS slug
-FROM (SELECT doc_id, {_slug_sql('substr(text, 1, 140)')} AS s FROM documents)"""
+FROM (SELECT doc_id, {_slug_sql('text')} AS s FROM documents)"""
 )
 def slug_web_segments(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.web_slug(T.slug(F.substring("text", 1, 140), 1000)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.web_slug(T.slug(F.col("text"), None)).alias("slug"))
 
 
 @q(
@@ -182,14 +189,14 @@ def tally_sentences(spark, d):
 
 @q(
     r"""
-WITH b AS (SELECT doc_id, concat('intro', chr(10), '## First ', lang, chr(10), substr(text, 1, 30), chr(10), '## Second', chr(10), 'end') AS body FROM documents),
+WITH b AS (SELECT doc_id, replace(text, chr(10), concat(chr(10), '## ')) AS body FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, string_split(concat(chr(10), body), concat(chr(10), '## ')) AS parts FROM b),
 e AS (SELECT doc_id, unnest(parts) AS part, unnest(generate_series(0, len(parts) - 1)) AS i FROM p)
 SELECT doc_id, CAST(i AS BIGINT) AS section, CASE WHEN i = 0 THEN '' ELSE trim(string_split(part, chr(10))[1]) END AS heading,
        trim(CASE WHEN i = 0 THEN part ELSE substr(part, length(string_split(part, chr(10))[1]) + 1) END, concat(' ', chr(10))) AS text FROM e"""
 )
 def section_split(spark, d):
-    body = F.concat(F.lit("intro\n## First "), F.col("lang"), F.lit("\n"), F.substring("text", 1, 30), F.lit("\n## Second\nend"))
+    body = F.replace("text", F.lit("\n"), F.lit("\n## "))  # every line but the first is a heading
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.sections(body)).alias("section", "s"))
     return rows.select("doc_id", F.col("section").cast("long").alias("section"), "s.heading", "s.text")
 
@@ -201,9 +208,9 @@ def kv_parse(spark, d):
     return c.select("conv_id", "turn", F.explode(T.key_values(body)).alias("p")).select("conv_id", "turn", "p.key", "p.value")
 
 
-@q("SELECT conv_id, turn, text AS quote FROM conversations WHERE role = 'user'")
+@q("SELECT conv_id, turn, text AS quote FROM conversations")
 def block_quotes(spark, d):
-    c = table(spark, d, "conversations").filter("role = 'user'")
+    c = table(spark, d, "conversations")
     body = F.concat(F.lit("Said:\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\nend"))
     return c.select("conv_id", "turn", T.block_quote(body).alias("quote"))
 
@@ -259,8 +266,8 @@ WITH h AS (SELECT sha256(text) AS hash, doc_id FROM documents)
 SELECT hash, min(doc_id) AS doc_id, CAST(count(*) - 1 AS BIGINT) AS n_others, CAST(sum(doc_id) - min(doc_id) AS BIGINT) AS others FROM h GROUP BY hash HAVING count(*) > 1"""
 )
 def dedup_by_hash(spark, d):
-    one = D.one_per_content(table(spark, d, "documents"), F.col("text"), "doc_id").filter("n > 1")
-    return one.select("hash", "doc_id", F.size("others").cast("long").alias("n_others"), F.aggregate("others", F.lit(0).cast("long"), lambda a, x: a + x).alias("others"))
+    one = D.one_per_content(table(spark, d, "documents"), F.col("text"), "doc_id", total=True).filter("n > 1")
+    return one.select("hash", "doc_id", (F.col("n") - 1).alias("n_others"), (F.col("total") - F.col("doc_id")).cast("long").alias("others"))
 
 
 @q(
@@ -270,11 +277,11 @@ b AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) -
 SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n FROM g JOIN b USING (g) GROUP BY ALL"""
 )
 def benchmark_overlap(spark, d):
-    def grams(df, key):
-        return df.select(key, F.explode(F.array_distinct(T.gram_hashes(T.tokens(F.col("text"))))).alias("g"))
+    def grams(df, *keys):
+        return df.select(*keys, F.array_distinct(T.gram_hashes(T.tokens(F.col("text")))).alias("gs"))
 
-    items = grams(table(spark, d, "benchmark"), "item_id").distinct()
-    return grams(table(spark, d, "documents"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    items = grams(table(spark, d, "benchmark"), "item_id").select("item_id", F.explode("gs").alias("g"))
+    return search.rows_with(grams(table(spark, d, "documents"), "doc_id"), "gs", "g", items).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
 
 
 @q(
@@ -289,10 +296,12 @@ def mention_join(spark, d):
     return mentions.mention_join(table(spark, d, "documents"), names.unionByName(more), longest=2)
 
 
-@q("SELECT lang, 'vysledek:' || lang AS tag, CAST(count(*) AS BIGINT) AS n FROM documents WHERE n_chars > 500 GROUP BY lang")
+@q("SELECT lang, 'vysledek:' || lang AS tag, CAST(count(*) AS BIGINT) AS n FROM documents WHERE n_chars > 500 AND doc_id % 2 = 0 GROUP BY lang")
 def tag_membership(spark, d):
-    tags = F.array(F.concat(F.lit("vysledek:"), F.col("lang")), F.col("source"))
-    docs = table(spark, d, "documents").filter("n_chars > 500").withColumn("results", F.array("lang")).withColumn("tags", tags)
+    # A document's results are its language, or its source if its id is odd; its tags name its language and source.
+    results = F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array("source"))
+    tags = F.array(F.concat(F.lit("vysledek:"), F.col("lang")), F.concat(F.lit("tema:"), F.col("source")))
+    docs = table(spark, d, "documents").filter("n_chars > 500").withColumn("results", results).withColumn("tags", tags)
     tagged = docs.select("lang", F.explode(F.filter("tags", lambda t: t.startswith("vysledek:"))).alias("tag"), "results")
     return tagged.filter(F.expr("array_contains(results, substring(tag, 10))")).groupBy("lang", "tag").agg(F.count("*").alias("n"))
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 #: Members above this size are reported, not read.
 MOST_BYTES = 200 * 1024 * 1024
-#: Extensions of documents.
-EXTENSIONS = (".pdf", ".doc", ".docx", ".odt", ".rtf", ".txt", ".md", ".xls", ".xlsx", ".ods", ".csv", ".ppt", ".pptx", ".odp", ".html", ".htm", ".eml", ".json", ".xml")
+#: Extensions of documents, and of those that are looked for in damaged archives.
+EXTENSIONS = (".pdf", ".docx", ".odt", ".xlsx", ".ods", ".md", ".txt", ".doc", ".pptx", ".odp", ".csv", ".rtf", ".tsv", ".html", ".xls", ".json", ".vtt", ".srt", ".odg")
+RECOVERED = (".pdf", ".docx", ".odt", ".xlsx", ".ods", ".md", ".txt", ".doc", ".pptx", ".odp", ".csv", ".rtf")
 _HEADER = struct.Struct("<4sHHHHHIIIHH")
 _SCHEMA = "archive string, name string, size long, status string, content binary"
 
@@ -58,51 +59,77 @@ def read_members(spark: SparkSession, path: str, extensions: tuple[str, ...] = E
     return files.select("path", "content").mapInArrow(_members(extensions, most), _SCHEMA)
 
 
-def carve(data: bytes, offsets: list[int]) -> Iterator[tuple[str, bytes | None, str]]:
-    """(name, content, status) of members whose local headers stand at ``offsets`` in a damaged archive.
+def _member(data: bytes, at: int, following: int | None) -> tuple[str, bytes | None, str, int]:
+    """(name, content, status, end) of the member whose local header stands at ``at``; the next one's is known or None.
 
-    A payload ends where the next header starts, the last one at the end-of-directory record or the end of data; a
-    data descriptor in front of that end is cut off.
+    Its length comes from the header, from the deflate stream, or from the descriptor behind it whose length and CRC
+    agree; without these it ends at the next header, or, for the last one, with the last end-of-directory record.
     """
-    places = sorted(set(offsets))
-    directory = data.rfind(b"PK\x01\x02")
-    first_entry = data.find(b"PK\x01\x02", places[-1] if places else 0)
-    stop = first_entry if first_entry >= 0 else directory if directory > (places[-1] if places else 0) else len(data)
-    for at, end in zip(places, [*places[1:], stop], strict=True):
-        head = data[at : at + 30]
-        if len(head) < 30 or head[:4] != b"PK\x03\x04":
-            yield "", None, "FAIL no local header"
-            continue
-        _, _, _, method, _, _, _, _, _, n_name, n_extra = _HEADER.unpack(head)
-        name = data[at + 30 : at + 30 + n_name].decode("utf-8", "replace")
-        payload = data[at + 30 + n_name + n_extra : end]
-        for size in (24, 16):
-            if payload[-size:][:4] == b"PK\x07\x08":
-                payload = payload[:-size]
-                break
-        if name.endswith("/"):
-            continue
+    head = data[at : at + 30]
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        return "", None, "FAIL no local header", at + 4
+    _, _, flags, method, _, _, crc, packed, _, n_name, n_extra = _HEADER.unpack(head)
+    name, start = data[at + 30 : at + 30 + n_name].decode("utf-8", "replace"), at + 30 + n_name + n_extra
+    if method == 8:
+        stream = zlib.decompressobj(-15)
         try:
-            yield name, zlib.decompressobj(-15).decompress(payload) if method == 8 else payload, "OK"
+            content = stream.decompress(data[start:]) + stream.flush()
         except zlib.error as e:
-            yield name, None, f"FAIL {e}"
-
-
-def local_headers(data: bytes) -> list[int]:
-    """Where local headers may start."""
-    out, at = [], data.find(b"PK\x03\x04")
+            return name, None, f"FAIL {e}", start
+        if not stream.eof:
+            return name, None, "FAIL cut off", len(data)
+        end = len(data) - len(stream.unused_data)
+        if flags & 8:
+            crc = struct.unpack_from("<I", data, end + 4)[0] if data[end : end + 4] == b"PK\x07\x08" and len(data) >= end + 8 else None
+    elif method == 0:
+        end, known = (start + packed, crc) if not flags & 8 else _described(data, start)
+        if end < 0:
+            last = data.rfind(b"PK\x05\x06", start)
+            end = following if following is not None else last + 22 if last >= 0 else len(data)
+            for size in (24, 16):
+                if data[end - size : end - size + 4] == b"PK\x07\x08" and end - size >= start:
+                    end -= size
+                    break
+        content, crc = data[start:end], known
+        if end > len(data):
+            return name, None, "FAIL cut off", len(data)
+    else:
+        return name, None, f"FAIL method {method}", start
+    if crc is not None and zlib.crc32(content) != crc:
+        return name, None, "FAIL checksum", end
+    return name, content, "OK" if crc is not None else "OK without checksum", end
+
+
+def _described(data: bytes, start: int) -> tuple[int, int | None]:
+    """Where a stored payload ends by a descriptor of its length and CRC, and that CRC; or -1."""
+    at = data.find(b"PK\x07\x08", start)
+    while 0 <= at <= len(data) - 16:
+        crc, size = struct.unpack_from("<II", data, at + 4)
+        if size == at - start and zlib.crc32(data[start:at]) == crc:
+            return at, crc
+        at = data.find(b"PK\x07\x08", at + 4)
+    return -1, None
+
+
+def carve(data: bytes, offsets: list[int] | None = None, extensions: tuple[str, ...] = RECOVERED) -> Iterator[tuple[str, bytes | None, str]]:
+    """(name, content, status) of a damaged archive's documents, at ``offsets`` or wherever a member can start.
+
+    Without offsets headers inside a member are passed over, so the members of nested archives do not come out.
+    """
+    places = sorted(set(offsets)) if offsets is not None else None
+    at = places[0] if places else data.find(b"PK\x03\x04") if places is None else -1
     while at >= 0:
-        out.append(at)
-        at = data.find(b"PK\x03\x04", at + 4)
-    return out
+        following = next((x for x in places if x > at), None) if places is not None else None
+        name, content, status, end = _member(data, at, following)
+        if not name.endswith("/") and (not name or name.lower().endswith(extensions)):
+            yield name, content, status
+        at = (following if following is not None else -1) if places is not None else data.find(b"PK\x03\x04", max(end, at + 4))
 
 
 def _carve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content, hits in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("hits").to_pylist(), strict=True):
-            data = content.as_py()
-            found = carve(data, hits if hits is not None else local_headers(data))
-            yield from _row_batches((path, name, len(x) if x is not None else None, status, x) for name, x, status in found)
+            yield from _row_batches((path, name, len(x) if x is not None else None, status, x) for name, x, status in carve(content.as_py(), hits))
 
 
 def recover_members(archives: DataFrame, hits: DataFrame | None = None) -> DataFrame:

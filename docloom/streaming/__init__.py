@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def weekly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type",
 def upsert(path: str, keys: list[str], version: list[str]):
     """A ``foreachBatch`` function that keeps the latest version of each key in ``path``.
 
-    Each batch writes a new folder and then moves the pointer file, so a failed batch leaves the last table whole and
-    a repeated batch gives the same result.
+    Each batch writes a folder of a fresh name and then moves the pointer file, so a failed batch leaves the last table
+    whole and a repeated batch gives the same result.  Old folders stay, for readers that are still at work.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -29,8 +31,8 @@ def upsert(path: str, keys: list[str], version: list[str]):
         fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         old = read_current(spark, path)
         rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
-        target = f"{path}/v{batch_id}"
-        latest(rows, keys, version).write.mode("overwrite").parquet(target)
+        target = f"{path}/v{batch_id}-{uuid.uuid4().hex}"  # never a folder that the pointer may name
+        latest(rows, keys, version).write.parquet(target)
         out = fs.create(pointer, True)
         out.writeUTF(target)
         out.close()

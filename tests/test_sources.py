@@ -2,6 +2,7 @@ import io
 import json
 import struct
 import zipfile
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def test_damaged_archives_are_carved(spark):
     data = make_zip()
     cut = data[: data.rfind(b"PK\x05\x06")]  # the end record is lost
     damaged = b"junk" + cut
-    descriptor = b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 20, 8, 0, 0, 0, 0, 0, 0, 5, 0) + b"d.txt" + b"payload" + b"PK\x07\x08" + bytes(12)
+    descriptor = b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 20, 8, 0, 0, 0, 0, 0, 0, 5, 0) + b"d.txt" + b"payload" + b"PK\x07\x08" + struct.pack("<III", zlib.crc32(b"payload"), 7, 7)
     rows = archive.recover_members(spark.createDataFrame([("x", bytearray(damaged)), ("y", bytearray(descriptor))], "path string, content binary")).collect()
     found = {r["name"]: bytes(r["content"]) for r in rows if r["content"] is not None}
     assert found["dir/a.txt"] == b"hello " * 100 and found["c.md"] == b"stored" and found["d.txt"] == b"payload"
@@ -98,6 +99,26 @@ def test_damaged_archives_are_carved(spark):
     assert [r["name"] for r in again] == ["d.txt"]
 
 
+def test_nested_archives_come_back_whole():
+    inner = make_zip()
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("a.txt", b"first")
+        z.writestr("sub.vtt", b"no document of a recovery")
+        z.writestr("sheet.xlsx", inner)  # stored, with headers and an end record of its own
+    data = buffer.getvalue()
+    cut = data[: data.rfind(b"PK\x01\x02", 0, data.rfind(b"PK\x05\x06"))]
+    for damaged in (data, cut):
+        assert list(archive.carve(damaged)) == [("a.txt", b"first", "OK"), ("sheet.xlsx", inner, "OK")]
+    flagged = b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 20, 8, 0, 0, 0, 0, 0, 0, 6, 0) + b"s.xlsx" + inner
+    assert list(archive.carve(flagged)) == [("s.xlsx", inner, "OK without checksum")]  # ends with the last end record
+    assert list(archive.carve(flagged + b"PK\x07\x08" + struct.pack("<III", zlib.crc32(inner), len(inner), len(inner)) + b"tail")) == [("s.xlsx", inner, "OK")]
+    broken = bytearray(data)
+    broken[data.index(b"first")] ^= 1
+    assert list(archive.carve(bytes(broken)))[0] == ("a.txt", None, "FAIL checksum")
+    assert {".vtt", ".srt", ".tsv", ".odg"} <= set(archive.EXTENSIONS)
+
+
 def test_records(spark, tmp_path):
     vote = {"id_hlasovani": 3180100017, "datum": "2020-01-02", "vysledek": "A", "pirati": {"X Y": "ano", "Z": "ne"}, "pirati_souhrn": {"ano": 1}}
     (tmp_path / "v.jsonl").write_text(json.dumps(vote) + "\n")
