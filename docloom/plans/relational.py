@@ -343,4 +343,33 @@ def weekly_window(spark, d):
     return weekly_counts(table(spark, d, "events")).select("week", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@q("SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, round(sum(strlen(coalesce(text, ''))) / 1e9, 6) AS gb FROM documents GROUP BY source")
+def byte_totals(spark, d):
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("bytes"), F.round(F.sum(size) / 1e9, 6).alias("gb"))
+
+
+@q("SELECT lang, CASE WHEN n_chars > 20 THEN 'OK' ELSE 'FAIL' END AS status, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL")
+def status_tally(spark, d):
+    status = F.when(F.col("n_chars") > 20, "OK").otherwise("FAIL").alias("status")
+    return table(spark, d, "documents").groupBy("lang", status).agg(F.count("*").alias("n"))
+
+
+@q("SELECT 1990 + (year(o_orderdate) - 1990) // 4 * 4 AS period, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+def votes_by_period(spark, d):
+    period = (1990 + F.floor((F.year("o_orderdate") - 1990) / 4) * 4).cast("long")
+    return table(spark, d, "orders").groupBy(period.alias("period")).agg(F.count("*").alias("n"))
+
+
+@q("SELECT p_partkey, concat('Usnesení RHMP č. ', p_partkey, ': ', p_name) AS title FROM part")
+def resolution_titles(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("Usnesení RHMP č. "), F.col("p_partkey").cast("string"), F.lit(": "), "p_name").alias("title"))
+
+
+@q("SELECT event_type, max(ts) AS latest, strftime(max(ts), '%Y-%m-%d %H:%M UTC') AS heading FROM events GROUP BY event_type")
+def minute_headings(spark, d):
+    latest = F.max("ts")
+    return table(spark, d, "events").groupBy("event_type").agg(latest.alias("latest"), F.date_format(latest, "yyyy-MM-dd HH:mm 'UTC'").alias("heading"))
+
+
 QUERIES, SQL = q.queries, q.sql
