@@ -44,3 +44,8 @@ def to_utc(x: Column) -> Column:
 def recent(d: Column, today: Column, days: int = 14) -> Column:
     """Whether something is younger than ``days``, so that a missing part is worth another try."""
     return F.datediff(today, d) < days
+
+
+def days_after(issued: Column, effective: Column) -> Column:
+    """Calendar days from the day of issue to the effective day: negative where the record came first."""
+    return F.date_diff(effective.cast("date"), issued.cast("date"))

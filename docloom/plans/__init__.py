@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, texts
+from . import people, relational, texts
 
-QUERIES = texts.QUERIES | relational.QUERIES
-ORACLE_SQL = texts.SQL | relational.SQL
+QUERIES = texts.QUERIES | relational.QUERIES | people.QUERIES
+ORACLE_SQL = texts.SQL | relational.SQL | people.SQL
