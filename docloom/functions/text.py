@@ -81,6 +81,16 @@ def listed(items: Column, empty: str = "neuvedeno") -> Column:
     return F.coalesce(F.nullif(F.array_join(items, ", "), F.lit("")), F.lit(empty))
 
 
+def provenance(source: Column, fetched: Column) -> Column:
+    """The note under a text that says where it is from and when it was fetched."""
+    return F.concat(F.lit("> Zdroj: "), F.coalesce(source, F.lit("neuvedeno")), F.lit(", staženo "), F.coalesce(fetched, F.lit("neuvedeno")), F.lit("."))
+
+
+def status(x: Column) -> Column:
+    """A status in one form: trimmed and in lower case."""
+    return F.lower(F.trim(x))
+
+
 # ---- URLs ------------------------------------------------------------------------------------------------------
 
 

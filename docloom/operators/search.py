@@ -101,11 +101,21 @@ def bm25(found: DataFrame, lengths: DataFrame, id_col: str = "doc_id") -> DataFr
     return scored.groupBy(id_col).agg(F.sum(idf * weight).alias("score"))
 
 
+def search_index(spark, path: str, query: str, k: int = 10, stemmed: bool = False, buckets: int = 64, id_col: str = "doc_id") -> DataFrame:
+    """The ``k`` best documents of an index that ``write_index`` wrote; the texts are not read, and of the postings only
+    the buckets of the query's terms.  ``stemmed`` and ``buckets`` are those of the writing."""
+    lengths = spark.read.parquet(f"{path}/docs")
+    terms = query_terms(query, stemmed)
+    if not terms:
+        return lengths.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    return bm25(read_postings(spark, path, terms, buckets), lengths, id_col).orderBy(F.desc(F.round("score", 6)), id_col).limit(k)
+
+
 def search(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", match_all: bool = False, stemmed: bool = False) -> DataFrame:
     """The ``k`` best documents for a query (ties: least id); ``match_all`` asks for every term.
 
     One pass counts documents, lengths and each term's documents; a second one scores every text in its own row, so
-    no postings are shuffled.  For many searches over the same texts write an index and use ``bm25``.
+    no postings are shuffled.  For many searches over the same texts write an index and use ``search_index``.
     """
     terms = query_terms(query, stemmed)
     if not terms:

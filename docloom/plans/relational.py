@@ -372,4 +372,23 @@ def minute_headings(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(latest.alias("latest"), F.date_format(latest, "yyyy-MM-dd HH:mm 'UTC'").alias("heading"))
 
 
+@q("SELECT CAST(date_trunc('month', ts) AS DATE) AS month, user_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def monthly_window(spark, d):
+    from ..streaming import monthly_counts
+
+    return monthly_counts(table(spark, d, "events"), group="user_id").select("month", "user_id", "n", F.round("total", 4).alias("total"))
+
+
+@q("SELECT p_partkey, concat('> Zdroj: ', coalesce(p_brand, 'neuvedeno'), ', staženo 1. 2. 2024.') AS note FROM part")
+def provenance_notes(spark, d):
+    note = T.provenance(F.col("p_brand"), dates.czech_date(F.lit("2024-02-01").cast("date")))
+    return table(spark, d, "part").select("p_partkey", note.alias("note"))
+
+
+@q("SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'schváleno' ELSE 'neschváleno' END AS status FROM orders) GROUP BY 1")
+def status_variants(spark, d):
+    written = F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") > 500, " Schváleno").otherwise("schváleno")).otherwise("NESCHVÁLENO ")
+    return table(spark, d, "orders").groupBy(T.status(written).alias("status")).agg(F.count("*").alias("n"))
+
+
 QUERIES, SQL = q.queries, q.sql

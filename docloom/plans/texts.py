@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import mentions, search
+from ..store import fresh_path
 from ._base import Registry, fold_sql, stem_sql, table, tokens_sql
 
 q = Registry()
@@ -32,6 +33,13 @@ def search_bm25_topk(spark, d):
     return _ranked(table(spark, d, "documents"), "That blereat ÉLLE", 10)
 
 
+@q(_BM25.format(terms="'that', 'blereat', 'elle'", where="", having="", k=10))
+def search_written_index(spark, d):
+    path = fresh_path(spark, "index")
+    search.write_index(table(spark, d, "documents"), path, stemmed=False)
+    return search.search_index(spark, path, "That blereat ÉLLE", 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @q(_BM25.format(terms="'the', 'that', 'with'", where="", having="HAVING count(*) = 3", k=20))
 def search_boolean_and(spark, d):
     return _ranked(table(spark, d, "documents"), "the that with", 20, match_all=True)

@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
         return _local
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -35,10 +42,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(schema).parquet(path)
     _paths[out] = path
     return out

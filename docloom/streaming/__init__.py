@@ -17,6 +17,12 @@ def weekly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type",
     return rows.groupBy(w.alias("w"), group).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("week"), group, "n", "total")
 
 
+def monthly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type") -> DataFrame:
+    """Counts by calendar month, which no fixed window is; the state holds one row for each month and group."""
+    month = F.date_trunc("month", F.col(ts)).cast("date").alias("month")
+    return events.groupBy(month, group).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 def upsert(path: str, keys: list[str], version: list[str]):
     """A ``foreachBatch`` function that keeps the latest version of each key in ``path``.
 

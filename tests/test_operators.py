@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import digest, documents, hierarchy, intervals, mentions, search, votes
 from docloom.registry import PLUGINS, Tools
-from docloom.streaming import append_log, read_current, upsert, weekly_counts
+from docloom.streaming import append_log, monthly_counts, read_current, upsert, weekly_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,6 +116,10 @@ def test_streams_equal_batches(spark, tmp_path):
     assert key(spark.table("weekly")) == key(weekly_counts(events))
     q = stream.writeStream.foreachBatch(upsert(str(tmp_path / "table"), ["user_id"], ["ts", "event_id"])).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
+    q = monthly_counts(stream).writeStream.outputMode("complete").format("memory").queryName("monthly").trigger(availableNow=True).start()
+    q.awaitTermination()
+    by_month = lambda df: sorted((str(r["month"]), r["event_type"], r["n"]) for r in df.collect())
+    assert by_month(spark.table("monthly")) == by_month(monthly_counts(events))
     latest = documents.latest(events, ["user_id"], ["ts", "event_id"])
     assert sorted(r["event_id"] for r in read_current(spark, str(tmp_path / "table")).collect()) == sorted(r["event_id"] for r in latest.collect())
     append_log(stream.select("event_id"), str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
@@ -123,6 +127,14 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == events.count()
 
 
+def test_subtitles_that_come_later_replace_what_was_missing(spark, tmp_path):
+    keep = upsert(str(tmp_path / "videos"), ["video"], ["fetched"])
+    schema = "video string, fetched int, subtitles string"
+    keep(spark.createDataFrame([("a", 1, None), ("b", 1, "text")], schema), 0)
+    keep(spark.createDataFrame([("a", 2, "late"), ("b", 0, "older")], schema), 1)
+    assert {r.video: r.subtitles for r in read_current(spark, str(tmp_path / "videos")).collect()} == {"a": "late", "b": "text"}
+
+
 def test_tools(spark, tmp_path):
     tools = Tools(spark, SF, str(tmp_path)).load([*PLUGINS, "docloom.no_such_plugin"])
     assert tools.missing == ["docloom.no_such_plugin"]
