@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, ngram_join, ogg, packing, pii, quality, quotes, secrets, spm_sampling, substring
+from . import divergence, licences, ngram_join, ogg, packing, pii, quality, quotes, secrets, spm_sampling, substring, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_ogg": ogg.op1_media_ogg,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_quote_links": quotes.op9_quote_links,
     "op10_licence_scan": licences.op10_licence_scan,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality.OP5_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
     "op9_quote_links": quotes.OP9_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_spelling_variants": variants.OP13_SQL,
 }
