@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, licences, ngram_join, ogg, packing, pii, quality, quotes, secrets, spm_sampling, substring, variants
+from . import divergence, licences, ngram_join, ogg, packing, pii, posting_lists, quality, quotes, secrets, spm_sampling, substring, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_ogg": ogg.op1_media_ogg,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_quote_links": quotes.op9_quote_links,
     "op10_licence_scan": licences.op10_licence_scan,
+    "op11_posting_lists": posting_lists.op11_posting_lists,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_spelling_variants": variants.op13_spelling_variants,
 }
