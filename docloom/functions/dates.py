@@ -15,7 +15,9 @@ def czech_date(d: Column) -> Column:
 
 
 def from_czech_date(x: Column) -> Column:
-    return F.to_date(F.regexp_extract(x, r"(\d{1,2}\. \d{1,2}\. \d{4})", 1), "d. M. yyyy")
+    """The first date such as ``9. 11. 2026`` in a text; null without one, or if there is no such day."""
+    part = lambda i: F.regexp_extract(x, r"(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})", i)
+    return F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")).try_cast("date")
 
 
 def month_title(prefix: str, d: Column) -> Column:
@@ -37,8 +39,8 @@ def duration(seconds: Column) -> Column:
 
 
 def to_utc(x: Column) -> Column:
-    """An instant from a text with an offset, in UTC."""
-    return F.to_timestamp(x)
+    """An instant from a text with an offset, in UTC; null for any other text."""
+    return F.when(x.rlike(r"^\s*\d{4}-\d\d-\d\d"), F.try_to_timestamp(x))
 
 
 def recent(d: Column, today: Column, days: int = 14) -> Column:

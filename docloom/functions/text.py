@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and the letters they fold to.
-MARKED = "áàâäãåčçćďéèêëěíìîïĺľňñńóòôöõřŕšśťúùûüůýÿžźż"
-PLAIN = "aaaaaacccdeeeeeiiiillnnnooooorrsstuuuuuyyzzz"
+
+def _latin_letters() -> dict[str, str]:
+    """Lower-case Latin letters with marks, by the letter that their decomposition begins with."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        letter, parts = chr(code), unicodedata.normalize("NFD", chr(code))
+        if letter == letter.lower() and len(parts) > 1 and "a" <= parts[0] <= "z":
+            found[letter] = parts[0]
+    return found
+
+
+#: Letters that no decomposition reaches, and what they fold to.
+STROKED = {"ł": "l", "ø": "o", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ŧ": "t", "ŋ": "n", "ĸ": "k", "ſ": "s"}
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij"}
+
+_LETTERS = _latin_letters() | STROKED
+#: Letters with marks and the letters they fold to.
+MARKED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
+#: Marks that stand behind their letter in decomposed texts.
+MARKS = "[\u0300-\u036f]"
+#: What cuts words: all but letters and digits of any script.
+GAP = r"[^\p{L}\p{N}]+"
 
 #: Endings of Czech nouns and adjectives after folding, longest first.
 ENDINGS = ("ovani", "ejsi", "atech", "ovych", "ymi", "emi", "ami", "ech", "ich", "ych", "ove", "ovi", "ova", "eho", "emu", "ymu", "ach", "em", "im", "ym", "um", "am", "ou", "at", "es", "os", "us", "y", "u", "i", "e", "a", "o")
@@ -18,13 +39,24 @@ SENTINELS = ("neuvedeno", "0", "ne")
 
 
 def fold(x: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(x), MARKED, PLAIN)
+    """Lower case without diacritics, composed or not; other scripts keep their letters."""
+    plain = F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), MARKS, "")
+    for letter, two in LIGATURES.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(two))
+    return plain
+
+
+def folded(text: str) -> str:
+    """``fold`` of a user's own text."""
+    plain = "".join(c for c in unicodedata.normalize("NFC", text).lower().translate(str.maketrans(MARKED, PLAIN)) if not 0x300 <= ord(c) <= 0x36F)
+    for letter, two in LIGATURES.items():
+        plain = plain.replace(letter, two)
+    return plain
 
 
 def tokens(x: Column) -> Column:
     """Folded runs of letters and digits; none for null."""
-    return F.filter(F.split(fold(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    return F.filter(F.split(fold(F.coalesce(x, F.lit(""))), GAP), lambda t: t != "")
 
 
 def gram_hashes(words: Column, doublings: int = 3) -> Column:
@@ -111,15 +143,43 @@ def url_segment(url: Column) -> Column:
     return F.regexp_extract(url_path(url), r"([^/]+)/*$", 1)
 
 
+#: Parameters that tell where a reader came from, not what is shown.
+TRACKING = r"^(utm_[^=]*|fbclid|gclid|dclid|msclkid|igshid|igsh|si|ref|ref_src|ref_url|sid|hilit|ab_channel|feature|__[^=]*)(=|$)"
+#: Sites whose paths name the thing, so that no parameter does.
+BY_PATH = ("x.com", "bsky.app", "instagram.com")
+#: Parts of paths that are no account.
+NO_ACCOUNT = ("i", "home", "hashtag", "search", "intent", "share", "explore", "login", "watch", "groups", "photo", "photo.php", "events", "pages", "sharer")
+
+
+def _site(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url_host(url), r"^(www|m|mobile)\.", ""), r"^twitter\.com$", "x.com")
+
+
 def canonical_url(url: Column) -> Column:
-    """https, a host without www. or m., no query, fragment or slash at the end; twitter.com is x.com."""
-    host = F.regexp_replace(F.regexp_replace(url_host(url), r"^(www|m)\.", ""), r"^twitter\.com$", "x.com")
-    return F.concat(F.lit("https://"), host, F.regexp_replace(url_path(url), "/+$", ""))
+    """An address in one form, null where there is none.
+
+    https, a host without www. or m., twitter.com as x.com, no fragment, no slash at the end, and the parameters in
+    order; those that only track readers are left out.  All forms of a video's address become its ``watch?v=``.
+    """
+    u = F.replace(F.trim(url), F.lit("&amp;"), F.lit("&"))
+    site, path = _site(u), F.regexp_replace(F.regexp_replace(url_path(u), "/{2,}", "/"), "/+$", "")
+    pairs = F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&")
+    named = F.array_sort(F.array_distinct(F.filter(pairs, lambda p: (p != "") & ~p.rlike(TRACKING))))
+    query = F.when(site.isin(*BY_PATH) | (F.size(named) == 0), F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(named, "&")))
+    video = F.when(site == "youtu.be", F.regexp_extract(path, "^/([^/]+)", 1)).when(site == "youtube.com", F.coalesce(F.nullif(F.regexp_extract(path, "^/(?:live|embed|shorts|v)/([^/]+)", 1), F.lit("")), url_param(u, "v")))
+    whole = F.concat(F.lit("https://"), site, path, query)
+    return F.when(F.coalesce(video, F.lit("")) != "", F.concat(F.lit("https://youtube.com/watch?v="), video)).when(site != "", whole)
 
 
 def account_handle(url: Column) -> Column:
-    """``host/handle`` of a social account's address, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_extract(canonical_url(url), r"^https://([^/]+/(?:profile/)?@?[^/]+)", 1), r"/(profile/)?@?", "/"))
+    """``host/handle`` of a social account's address, in lower case; null without a handle."""
+    u = F.trim(url)
+    site, parts = _site(u), F.filter(F.split(url_path(u), "/"), lambda p: p != "")
+    parts = F.when((F.size(parts) > 1) & F.lower(F.get(parts, F.lit(0))).isin("profile", "c", "user", "channel"), F.slice(parts, 2, 1)).otherwise(parts)
+    handle = F.lower(F.regexp_replace(F.get(parts, F.lit(0)), "^@", ""))
+    numbered = F.when(url_param(u, "id") != "", F.concat(F.lit("profile.php?id="), url_param(u, "id")))
+    handle = F.when(handle == "profile.php", numbered).otherwise(handle)
+    return F.when((site != "") & (handle != "") & ~handle.isin(*NO_ACCOUNT), F.concat(site, F.lit("/"), handle))
 
 
 # ---- things inside texts ---------------------------------------------------------------------------------------
@@ -144,7 +204,7 @@ def mentions(x: Column) -> Column:
 
 def engagement(x: Column) -> Column:
     """Likes, reposts and replies from a line such as ``3 lajků, 2 repostů, 1 odpovědí``; null without one."""
-    part = lambda i: F.nullif(F.regexp_extract(x, r"(\d+) lajk\S*, (\d+) repost\S*, (\d+) odpověd", i), F.lit("")).cast("int")
+    part = lambda i: F.nullif(F.regexp_extract(x, r"(\d+) lajk\S*, (\d+) repost\S*, (\d+) odpověd", i), F.lit("")).try_cast("long")
     return F.struct(part(1).alias("likes"), part(2).alias("reposts"), part(3).alias("replies"))
 
 
@@ -154,7 +214,7 @@ TALLY = (("pro", "pro"), ("proti", "proti"), ("zdrzel", "zdrželo se"), ("nehlas
 
 def tally(x: Column) -> Column:
     """Totals of a vote from its sentence; each null if missing."""
-    return F.struct(*[F.nullif(F.regexp_extract(x, rf"(?:^|[\s(]){word} (\d+)", 1), F.lit("")).cast("int").alias(name) for name, word in TALLY])
+    return F.struct(*[F.nullif(F.regexp_extract(x, rf"(?:^|[\s(]){word} (\d+)", 1), F.lit("")).try_cast("long").alias(name) for name, word in TALLY])
 
 
 def sections(body: Column, mark: str = "##") -> Column:
@@ -186,9 +246,9 @@ def statutes(x: Column) -> Column:
 
 
 def money(x: Column) -> Column:
-    """A decimal from ``1 234,50 Kč``; null if it is none."""
+    """A decimal from ``1 234,50 Kč``; null if it is none, or has more than 36 digits before the point."""
     plain = F.regexp_replace(F.regexp_replace(x, "[\\s\\u00a0]|Kč|,-|CZK|EUR|€", ""), ",", ".")
-    return F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain).cast("decimal(18,2)")
+    return F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain).try_cast("decimal(38,2)")
 
 
 VOTE_CODES = {"A": "ano", "B": "ne", "N": "ne", "C": "zdrzel", "K": "zdrzel", "F": "nehlasoval", "@": "nepritomen", "M": "omluven", "W": "pred-slibem"}
@@ -212,9 +272,17 @@ def table_rows(body: Column) -> Column:
 
 
 def table_maps(body: Column) -> Column:
-    """A Markdown table's rows as maps from heading to cell; short rows are filled with nulls."""
-    heading = F.split(F.regexp_replace(F.get(F.filter(F.split(body, "\n"), lambda x: x.startswith("|")), 0), r"^\||\|\s*$", ""), r"\|")
-    return F.transform(table_rows(body), lambda r: F.map_from_arrays(F.transform(heading, lambda h: F.trim(h)), F.transform(heading, lambda _, i: F.get(r, i))))
+    """A Markdown table's rows as maps from heading to cell; short rows are filled with nulls.
+
+    A heading that stands there again gets its column's number: ``H``, ``H (2)``.
+    """
+    first = F.split(F.regexp_replace(F.get(F.filter(F.split(body, "\n"), lambda x: x.startswith("|")), 0), r"^\||\|\s*$", ""), r"\|")
+    trimmed = F.transform(first, lambda h: F.trim(h))
+    again = lambda h, i: F.array_position(trimmed, h) <= i
+    heading = F.transform(trimmed, lambda h, i: F.when(again(h, i), F.concat(h, F.lit(" ("), (i + 1).cast("string"), F.lit(")"))).otherwise(h))
+    pairs = lambda r: F.transform(heading, lambda h, i: F.struct(h.alias("key"), F.get(r, i).alias("value")))
+    once = lambda r: F.filter(pairs(r), lambda p, i: F.array_position(heading, p["key"]) == i + 1)
+    return F.transform(table_rows(body), lambda r: F.map_from_entries(once(r)))
 
 
 def clean_html(html: Column) -> Column:

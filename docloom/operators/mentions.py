@@ -1,26 +1,99 @@
-"""Which entities of a dictionary a text names: an equi-join on folded word n-grams."""
+"""Which entities of a dictionary a text names, as whole folded words.
+
+The dictionary becomes a trie of words.  It is broadcast, in parts of checked size where it is large, and each text is
+walked once for each part: at every word the longest path of the trie that the text follows is gone along.  Names have
+any number of words.  Time is linear in the text for names of bounded length; nothing but the result is shuffled.
+
+Defined results: a name without letters or digits names nothing; a null text names nothing; the same name may stand
+for several entities and each is counted; names inside longer names count too; rows that share an id are summed.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import rows_with
 
+#: A part of the dictionary that is sent to all tasks has so many bytes of names and entities at most, on average.
+MOST_BYTES = 16 << 20
+#: What a word of a name costs beside its bytes.
+WORD_BYTES = 100
 
-def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 3) -> DataFrame:
-    """``id_col, entity, n``: how often each entity's name stands in each text, as whole folded words.
+_tries: dict[str, dict] = {}
 
-    Texts become runs of 1 to ``longest`` words; those that are no name are dropped before anything is shuffled if the
-    dictionary is small (``search.rows_with``).
-    """
-    dictionary = names.select("entity", F.array_join(T.tokens(F.col("name")), " ").alias("gram"), F.size(T.tokens(F.col("name"))).alias("size")).filter(F.col("size").between(1, longest)).select("entity", "gram").distinct()
-    words = docs.select(id_col, T.tokens(F.col(text_col)).alias("_w"))
 
-    def runs(n: int):
-        starts = F.slice("_w", F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(0)))
-        return F.transform(starts, lambda _, i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
+def trie(names: Iterable[tuple[str, object]]) -> dict:
+    """Nested dictionaries by word; the key '' holds the entities of the name that ends there."""
+    root: dict = {}
+    for gram, entity in names:
+        node = root
+        for word in gram.split(" "):
+            node = node.setdefault(word, {})
+        node.setdefault("", []).append(entity)
+    return root
+
+
+def walk(words: list[str], root: dict) -> Counter:
+    """How often each entity's name stands in a text's words."""
+    found: Counter = Counter()
+    for i, word in enumerate(words):
+        node, j = root.get(word), i
+        while node is not None:
+            if "" in node:
+                found.update(node[""])
+            j += 1
+            node = node.get(words[j]) if j < len(words) else None
+    return found
+
+
+def _find(names: Broadcast, token: str, id_type: pa.DataType, entity_type: pa.DataType):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if token not in _tries:  # once for each worker; earlier parts make room
+            _tries.clear()
+            _tries[token] = trie(names.value)
+        root = _tries[token]
+        for batch in batches:
+            ids, entities, counts = [], [], []
+            for key, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                found = walk(line.split(" "), root)
+                ids += [key] * len(found)
+                entities += found
+                counts += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(entities, entity_type), pa.array(counts, pa.int64())], names=["id", "entity", "n"])
+
+    return run
+
+
+def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``id_col, entity, n``: how often each entity's name (``names``: ``entity, name``) stands in each text.
+
+    A dictionary of more than ``most_bytes`` is dealt by hash to parts; the texts are then walked once for each part.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    grams = words.select(id_col, F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])).alias("_g"))
-    return rows_with(grams, "_g", "gram", dictionary).groupBy(id_col, "entity").agg(F.count("*").alias("n"))
+    spark = docs.sparkSession
+    words = T.tokens(F.col("name"))
+    dictionary = names.select("entity", F.array_join(words, " ").alias("gram")).filter("gram != '' and entity is not null").distinct()
+    cost = F.octet_length("gram") + F.octet_length(F.col("entity").cast("string")) + F.size(F.split("gram", " ")) * WORD_BYTES
+    size = dictionary.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most_bytes))
+    # The words are joined into one line here, so that no later step cuts a text again for each of its words.
+    lines = docs.select(F.col(id_col).alias("id"), F.array_join(T.tokens(F.col(text_col)), " ").alias("line"))
+    types = lines.schema["id"].dataType, dictionary.schema["entity"].dataType
+    schema = f"id {types[0].simpleString()}, entity {types[1].simpleString()}, n long"
+    found = []
+    for i in range(parts):
+        part = dictionary.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == i)
+        sent = spark.sparkContext.broadcast([(r["gram"], r["entity"]) for r in part.toLocalIterator()])
+        found.append(lines.mapInArrow(_find(sent, uuid.uuid4().hex, *map(to_arrow_type, types)), schema))
+    both = found[0]
+    for more in found[1:]:
+        both = both.unionByName(more)
+    return both.groupBy(F.col("id").alias(id_col), "entity").agg(F.sum("n").alias("n"))

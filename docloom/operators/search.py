@@ -7,6 +7,7 @@ partial aggregation, and takes the top rows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +83,7 @@ def query_terms(text: str, stemmed: bool = False) -> list[str]:
     """The folded words of a user's text, each once."""
     import re
 
-    folded = text.lower().translate(str.maketrans(T.MARKED, T.PLAIN))
-    words = list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", folded) if w))
+    words = list(dict.fromkeys(query_terms_in_order(text)))
     if not stemmed:
         return words
     ending = re.compile(f"^([a-z0-9]{{{T.LEAST_STEM},}}?)({'|'.join(T.ENDINGS)})$")
@@ -152,6 +152,12 @@ def phrase(docs: DataFrame, words: str, id_col: str = "doc_id", text_col: str =
 
 
 def query_terms_in_order(text: str) -> list[str]:
-    import re
-
-    return [w for w in re.split("[^a-z0-9]+", text.lower().translate(str.maketrans(T.MARKED, T.PLAIN))) if w]
+    """The folded words of a user's text."""
+    words, word = [], ""
+    for c in T.folded(text) + " ":
+        if unicodedata.category(c)[0] in "LN":
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    return words

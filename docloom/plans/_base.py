@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import ENDINGS, LEAST_STEM, MARKED, PLAIN
+from ..functions.text import ENDINGS, GAP, LEAST_STEM, LIGATURES, MARKED, MARKS, PLAIN
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold_sql(x: str) -> str:
-    return f"translate(lower({x}), '{MARKED}', '{PLAIN}')"
+    out = f"regexp_replace(translate(lower({x}), '{MARKED}', '{PLAIN}'), '{MARKS}', '', 'g')"
+    for letter, two in LIGATURES.items():
+        out = f"replace({out}, '{letter}', '{two}')"
+    return out
 
 
 def tokens_sql(x: str) -> str:
-    return f"list_filter(string_split_regex({fold_sql(f'coalesce({x}, {chr(39) * 2})')}, '[^a-z0-9]+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({fold_sql(f'coalesce({x}, {chr(39) * 2})')}, '{GAP}'), lambda w: w <> '')"
 
 
 def stem_sql(x: str) -> str:

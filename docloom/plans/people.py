@@ -8,7 +8,7 @@ from ..functions import dates
 from ..functions import text as T
 from ..operators import intervals, links
 from ._base import Registry, table
-from .texts import _CANONICAL
+from .texts import _CANONICAL, canonical_sql
 
 q = Registry()
 
@@ -26,17 +26,16 @@ def club_at_vote(spark, d):
     return covered.select("event_id", "user_id", "club")
 
 
-@q(f"SELECT p.page_id, v.vote FROM pages p LEFT JOIN (SELECT {_CANONICAL} AS c, min(page_id) AS vote FROM pages WHERE url LIKE 'https:%' GROUP BY 1) v ON v.c = {_CANONICAL.replace('url', 'p.url')}")
+@q(f"SELECT p.page_id, v.vote FROM pages p LEFT JOIN (SELECT {_CANONICAL} AS c, min(page_id) AS vote FROM pages WHERE url LIKE 'https:%' GROUP BY 1) v ON v.c = {canonical_sql('p.url')}")
 def supporting_votes(spark, d):
     pages = table(spark, d, "pages")
     votes = pages.filter("url like 'https:%'").groupBy(T.canonical_url(F.col("url")).alias("vote_url")).agg(F.min("page_id").alias("vote"))
     return links.url_join(pages.select("page_id", "url"), votes, "url", "vote_url").select("page_id", "vote")
 
 
-@q(f"SELECT c AS address, CAST(count(DISTINCT scheme) AS BIGINT) AS n_sources, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_CANONICAL} AS c, split_part(url, ':', 1) AS scheme FROM pages) GROUP BY c HAVING count(DISTINCT scheme) > 1")
+@q(f"SELECT c AS address, CAST(count(DISTINCT scheme) AS BIGINT) AS n_sources, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_CANONICAL} AS c, split_part(url, ':', 1) AS scheme FROM pages) WHERE c IS NOT NULL GROUP BY c HAVING count(DISTINCT scheme) > 1")
 def shared_links(spark, d):
-    rows = table(spark, d, "pages").groupBy(T.canonical_url(F.col("url")).alias("address"), F.substring_index("url", ":", 1).alias("scheme")).agg(F.count("*").alias("n"))
-    return rows.groupBy("address").agg(F.count("*").alias("n_sources"), F.sum("n").alias("n")).filter("n_sources > 1")
+    return links.shared_addresses(table(spark, d, "pages").select("url", F.substring_index("url", ":", 1).alias("scheme")), "url", "scheme")
 
 
 @q("SELECT o_orderkey, CASE WHEN o_custkey = c_custkey THEN c_custkey END AS person FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0")

@@ -12,15 +12,16 @@ from ._base import Registry, fold_sql, stem_sql, table, tokens_sql
 
 q = Registry()
 
-_BM25 = f"""
+def bm25_sql(terms: str, k: int, where: str = "", having: str = "") -> str:
+    return f"""
 WITH t AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
 l AS (SELECT doc_id, len(w) AS length FROM t),
-f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) WHERE term IN ({{terms}}) GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) WHERE term IN ({terms}) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
 s AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
 r AS (SELECT f.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))) AS score
-      FROM f JOIN df USING (term) JOIN l USING (doc_id), s {{where}} GROUP BY f.doc_id {{having}})
-SELECT doc_id, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, doc_id LIMIT {{k}}
+      FROM f JOIN df USING (term) JOIN l USING (doc_id), s {where} GROUP BY f.doc_id {having})
+SELECT doc_id, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, doc_id LIMIT {k}
 """
 
 
@@ -28,24 +29,24 @@ def _ranked(docs, query, k, **more):
     return search.search(docs, query, k, **more).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@q(_BM25.format(terms="'that', 'blereat', 'elle'", where="", having="", k=10))
+@q(bm25_sql("'that', 'blereat', 'elle'", 10))
 def search_bm25_topk(spark, d):
     return _ranked(table(spark, d, "documents"), "That blereat ÉLLE", 10)
 
 
-@q(_BM25.format(terms="'that', 'blereat', 'elle'", where="", having="", k=10))
+@q(bm25_sql("'that', 'blereat', 'elle'", 10))
 def search_written_index(spark, d):
     path = fresh_path(spark, "index")
     search.write_index(table(spark, d, "documents"), path, stemmed=False)
     return search.search_index(spark, path, "That blereat ÉLLE", 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@q(_BM25.format(terms="'the', 'that', 'with'", where="", having="HAVING count(*) = 3", k=20))
+@q(bm25_sql("'the', 'that', 'with'", 20, having="HAVING count(*) = 3"))
 def search_boolean_and(spark, d):
     return _ranked(table(spark, d, "documents"), "the that with", 20, match_all=True)
 
 
-@q(_BM25.format(terms="'schung', 'keit'", where="JOIN documents o ON o.doc_id = f.doc_id AND o.lang = 'de'", having="", k=15))
+@q(bm25_sql("'schung', 'keit'", 15, where="JOIN documents o ON o.doc_id = f.doc_id AND o.lang = 'de'"))
 def search_filtered(spark, d):
     return _ranked(table(spark, d, "documents"), "schung keit", 15, where=F.col("lang") == "de")
 
@@ -125,8 +126,14 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", T.url_host(u).alias("host"), T.url_path(u).alias("path"), T.url_param(u, "page").alias("page"), T.url_segment(u).alias("segment"))
 
 
-_CANONICAL = r"""concat('https://', regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^(www|m)\.', ''), '^twitter\.com$', 'x.com'),
-  regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''))"""
+def canonical_sql(url: str) -> str:
+    site = rf"regexp_replace(regexp_replace(lower(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^(www|m|mobile)\.', ''), '^twitter\.com$', 'x.com')"
+    path = rf"regexp_replace(regexp_replace(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/+$', '')"
+    named = rf"list_sort(list_distinct(list_filter(string_split(regexp_extract({url}, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{T.TRACKING}'))))"
+    return f"CASE WHEN {site} <> '' THEN concat('https://', {site}, {path}, CASE WHEN len({named}) > 0 THEN '?' ELSE '' END, array_to_string({named}, '&')) END"
+
+
+_CANONICAL = canonical_sql("url")
 
 
 @q(f"SELECT {_CANONICAL} AS canonical, CAST(count(*) AS BIGINT) AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
@@ -172,9 +179,9 @@ _LINE = "concat(CAST(o_orderkey AS VARCHAR), ' lajků, ', CAST(o_custkey AS VARC
 
 @q(
     f"""
-SELECT o_orderkey, CAST(regexp_extract(x, '(\\d+) lajk\\S*, (\\d+) repost\\S*, (\\d+) odpověd', 1) AS INTEGER) AS likes,
-       CAST(regexp_extract(x, '(\\d+) lajk\\S*, (\\d+) repost\\S*, (\\d+) odpověd', 2) AS INTEGER) AS reposts,
-       CAST(regexp_extract(x, '(\\d+) lajk\\S*, (\\d+) repost\\S*, (\\d+) odpověd', 3) AS INTEGER) AS replies FROM (SELECT o_orderkey, {_LINE} AS x FROM orders)"""
+SELECT o_orderkey, CAST(regexp_extract(x, '(\\d+) lajk\\S*, (\\d+) repost\\S*, (\\d+) odpověd', 1) AS BIGINT) AS likes,
+       CAST(regexp_extract(x, '(\\d+) lajk\\S*, (\\d+) repost\\S*, (\\d+) odpověd', 2) AS BIGINT) AS reposts,
+       CAST(regexp_extract(x, '(\\d+) lajk\\S*, (\\d+) repost\\S*, (\\d+) odpověd', 3) AS BIGINT) AS replies FROM (SELECT o_orderkey, {_LINE} AS x FROM orders)"""
 )
 def engagement_metrics(spark, d):
     line = F.concat(F.col("o_orderkey").cast("string"), F.lit(" lajků, "), F.col("o_custkey").cast("string"), F.lit(" repostů, "), (F.col("o_orderkey") % 7).cast("string"), F.lit(" odpovědí"))
@@ -184,9 +191,9 @@ def engagement_metrics(spark, d):
 @q(
     r"""
 WITH x AS (SELECT o_orderkey, concat('(pro ', CAST(o_orderkey % 60 AS VARCHAR), ', proti ', CAST(o_custkey % 9 AS VARCHAR), ', zdrželo se ', CAST(o_orderkey % 5 AS VARCHAR), ', nehlasovalo 2, přítomno 65)') AS s FROM orders)
-SELECT o_orderkey, CAST(regexp_extract(s, '(?:^|[\s(])pro (\d+)', 1) AS INTEGER) AS pro, CAST(regexp_extract(s, '(?:^|[\s(])proti (\d+)', 1) AS INTEGER) AS proti,
-       CAST(regexp_extract(s, '(?:^|[\s(])zdrželo se (\d+)', 1) AS INTEGER) AS zdrzel, CAST(regexp_extract(s, '(?:^|[\s(])nehlasovalo (\d+)', 1) AS INTEGER) AS nehlasoval,
-       CAST(regexp_extract(s, '(?:^|[\s(])přítomno (\d+)', 1) AS INTEGER) AS pritomno FROM x"""
+SELECT o_orderkey, CAST(regexp_extract(s, '(?:^|[\s(])pro (\d+)', 1) AS BIGINT) AS pro, CAST(regexp_extract(s, '(?:^|[\s(])proti (\d+)', 1) AS BIGINT) AS proti,
+       CAST(regexp_extract(s, '(?:^|[\s(])zdrželo se (\d+)', 1) AS BIGINT) AS zdrzel, CAST(regexp_extract(s, '(?:^|[\s(])nehlasovalo (\d+)', 1) AS BIGINT) AS nehlasoval,
+       CAST(regexp_extract(s, '(?:^|[\s(])přítomno (\d+)', 1) AS BIGINT) AS pritomno FROM x"""
 )
 def tally_sentences(spark, d):
     part = lambda x: x.cast("string")
@@ -294,14 +301,21 @@ def benchmark_overlap(spark, d):
 
 @q(
     f"""
-WITH w AS (SELECT doc_id, unnest({tokens_sql('text')}) AS gram FROM documents),
-n AS (SELECT n_name AS entity, {fold_sql('n_name')} AS gram FROM nation UNION ALL SELECT 'article', 'the' UNION ALL SELECT 'Elle', 'elle')
-SELECT doc_id, entity, CAST(count(*) AS BIGINT) AS n FROM w JOIN n USING (gram) GROUP BY ALL"""
+WITH t AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
+b AS (SELECT item_id, {tokens_sql('text')} AS w FROM benchmark),
+n AS (SELECT n_name AS entity, {tokens_sql('n_name')} AS w FROM nation UNION ALL SELECT 'article', ['the'] UNION ALL SELECT 'Elle', ['elle']
+  UNION ALL SELECT concat('item ', CAST(item_id AS VARCHAR)), w[1:2 + item_id % 11] FROM b WHERE len(w) >= 2 + item_id % 11),
+d AS (SELECT DISTINCT entity, len(w) AS size, w[1] AS word, array_to_string(w, ' ') AS gram FROM n WHERE len(w) > 0),
+p AS (SELECT doc_id, i, entity, size, gram FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t) JOIN d USING (word))
+SELECT doc_id, entity, CAST(count(*) AS BIGINT) AS n FROM p JOIN t USING (doc_id) WHERE array_to_string(w[i:i + size - 1], ' ') = gram GROUP BY ALL"""
 )
 def mention_join(spark, d):
     names = table(spark, d, "nation").select(F.col("n_name").alias("entity"), F.col("n_name").alias("name"))
     more = spark.range(1).select(F.inline(F.array(F.struct(F.lit("article").alias("entity"), F.lit("THE").alias("name")), F.struct(F.lit("Elle").alias("entity"), F.lit("Élle").alias("name")))))
-    return mentions.mention_join(table(spark, d, "documents"), names.unionByName(more), longest=2)
+    # Names of 2 to 12 words: how each benchmark item begins.
+    size, words = (2 + F.col("item_id") % 11).cast("int"), T.tokens(F.col("text"))
+    items = table(spark, d, "benchmark").filter(F.size(words) >= size).select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("entity"), F.array_join(F.slice(words, F.lit(1), size), " ").alias("name"))
+    return mentions.mention_join(table(spark, d, "documents"), names.unionByName(more).unionByName(items))
 
 
 @q("SELECT lang, 'vysledek:' || lang AS tag, CAST(count(*) AS BIGINT) AS n FROM documents WHERE n_chars > 500 AND doc_id % 2 = 0 GROUP BY lang")

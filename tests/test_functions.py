@@ -21,7 +21,24 @@ CASES = [
     (lambda x: T.sentinel_to_null(x), " neuvedeno ", None),
     (lambda x: T.blank_to_null(x), "  ", None),
     (lambda x: T.account_handle(x), "https://twitter.com/Some_One?s=20", "x.com/some_one"),
-    (lambda x: T.canonical_url(x), "http://www.Example.org/a/b/?q=1#f", "https://example.org/a/b"),
+    (lambda x: T.fold(x), "Łódź Straße ŒUVRE", "lodz strasse oeuvre"),
+    (lambda x: F.array_join(T.tokens(x), "|"), "ve\u030cc Ве\u0301ра 5", "vec|вера|5"),
+    (lambda x: T.canonical_url(x), "http://www.Example.org/a//b/?q=1#f", "https://example.org/a/b?q=1"),
+    (lambda x: T.canonical_url(x), "https://example.org/?b=2&utm_source=x&a=1&a=1&fbclid=9", "https://example.org?a=1&b=2"),
+    (lambda x: T.canonical_url(x), "https://youtu.be/X5c_-Rp8?si=abc", "https://youtube.com/watch?v=X5c_-Rp8"),
+    (lambda x: T.canonical_url(x), "https://m.youtube.com/watch?t=3&v=X5c_-Rp8", "https://youtube.com/watch?v=X5c_-Rp8"),
+    (lambda x: T.canonical_url(x), "https://x.com/a/status/5?t=q&amp;s=20", "https://x.com/a/status/5"),
+    (lambda x: T.canonical_url(x), "neuvedeno", None),
+    (lambda x: T.canonical_url(x), "", None),
+    (lambda x: T.account_handle(x), "https://x.com/", None),
+    (lambda x: T.account_handle(x), "neuvedeno", None),
+    (lambda x: T.account_handle(x), "https://x.com/i/status/5", None),
+    (lambda x: T.account_handle(x), "https://bsky.app/profile/Ann.bsky.social", "bsky.app/ann.bsky.social"),
+    (lambda x: T.account_handle(x), "https://www.facebook.com/profile.php?id=12", "facebook.com/profile.php?id=12"),
+    (lambda x: dates.from_czech_date(x).cast("string"), "31. 2. 2020", None),
+    (lambda x: dates.from_czech_date(x).cast("string"), "dne 5.6.2021", "2021-06-05"),
+    (lambda x: T.money(x).cast("string"), "123456789012345678901 Kč", "123456789012345678901.00"),
+    (lambda x: T.engagement(x)["likes"], "12345678901 lajků, 3 repostů, 0 odpovědí", 12345678901),
     (lambda x: T.url_param(x, "v"), "https://y.example/watch?t=1&v=abc_DEF-123", "abc_DEF-123"),
     (lambda x: F.array_join(T.markdown_links(x), " "), "[a](http://x) [](…) [b]() [c](/d)", "http://x … /d"),
     (lambda x: F.array_join(T.mentions(x), " "), "hi @ann and a@b.cz (@bob)", "ann bob"),
@@ -66,3 +83,16 @@ def test_dates(spark):
 def test_empty_list_becomes_the_sentinel(spark):
     row = spark.sql("SELECT array() a, array('x', 'y') b, cast(null as array<string>) c").select(T.listed(F.col("a").cast("array<string>")), T.listed(F.col("b")), T.listed(F.col("c"))).first()
     assert tuple(row) == ("neuvedeno", "x, y", "neuvedeno")
+
+
+BAD = [None, "", " ", "neuvedeno", "slova bez čísel", "9" * 30, "9" * 30 + " lajků, 1 repostů, 2 odpovědí (pro " + "9" * 30 + ")", "31. 2. 2020", "99. 99. 9999", "2020-13-45T99:99", "| A | A |\n|---|---|\n| 1 | 2 |", "\u0000<p title=\"x>y\">", "https://", "[](", "🙂" * 3]
+
+
+def test_no_function_fails_on_bad_values(spark):
+    rows = spark.createDataFrame([(b,) for b in BAD], "x string")
+    x = F.col("x")
+    scalar = [f(x) for f in (T.fold, T.tokens, T.stem, T.slug, T.web_slug, T.blank_to_null, T.sentinel_to_null, T.status, T.url_host, T.url_path, T.url_segment, T.canonical_url, T.account_handle, T.markdown_links, T.autolinks, T.hashtags, T.mentions, T.engagement, T.tally, T.sections, T.key_values, T.block_quote, T.statutes, T.money, T.vote_value, T.extension, T.table_rows, T.table_maps, T.clean_html, dates.from_czech_date, dates.to_utc)]
+    got = rows.select("x", *[c.alias(f"c{i}") for i, c in enumerate(scalar)]).collect()
+    assert len(got) == len(BAD)
+    table = rows.filter(x.startswith("|")).select(T.table_maps(x).alias("t")).first()["t"]
+    assert table == [{"A": "1", "A (2)": "2"}]

@@ -1,3 +1,5 @@
+import random
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -78,6 +80,28 @@ def test_mentions_and_search(spark, tmp_path):
     assert again == {r["doc_id"]: round(r["score"], 6) for r in search.search(docs, "petr nova").collect()}
 
 
+def test_names_of_any_length_and_long_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(40)}" for _ in range(3000)]
+    names = [(f"e{n}-{i}", " ".join(words[i * 7 : i * 7 + n])) for n in range(1, 13) for i in range(9)] + [("twin", words[0])]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:9])), (2, "W0, w1!"), (3, "")], "doc_id long, text string")
+    table = spark.createDataFrame(names, "entity string, name string")
+    want = {}
+    for d, text in ((1, words), (2, words[:9]), (2, ["w0", "w1"])):
+        for e, name in names:
+            parts = name.split()
+            if n := sum(text[i : i + len(parts)] == parts for i in range(len(text))):
+                want[d, e] = want.get((d, e), 0) + n
+    for most in (1 << 24, 2000):  # in one part and in several
+        assert {(r.doc_id, r.entity): r.n for r in mentions.mention_join(docs, table, most_bytes=most).collect()} == want
+    plan = mentions.mention_join(docs, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("split(") == 1  # each text is cut once
+    began = time.time()
+    long = spark.createDataFrame([(1, " ".join(words * 1500))], "doc_id long, text string")  # 15 MB
+    assert mentions.mention_join(long, table).filter("entity = 'twin'").first()["n"] == words.count(words[0]) * 1500
+    assert time.time() - began < 60
+
+
 def test_document_rules(spark):
     files = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y")], "path string, body string")
     assert {r["path"]: r["n"] for r in documents.one_per_content(files, F.col("body")).collect()} == {"a": 2, "c": 1}
