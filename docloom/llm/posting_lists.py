@@ -24,6 +24,7 @@ empty table; extra columns are ignored.  Ids are whole numbers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,8 +40,12 @@ from ._store import materialize
 #: The sample that centroids are fitted to, and lists, at most; vectors for each list until then.
 SAMPLE, MOST_LISTS, LIST_ROWS = 65_536, 4096, 128
 NEAR, MOST_COPIES, WIDE = 0.1, 4, 0.15
-#: Centroids that each one is linked with, and that a walk starts from.
-LINKS, ENTRIES = 16, 8
+#: Centroids that each one is linked with: the nearest, and some at random that lead far away.
+LINKS, FAR_LINKS = 16, 4
+#: A walk starts from so many times the square root of the centroids, spread over all.
+ENTRIES = 2
+#: So many of the nearest centroids are gone on from, however far they are.
+BEAM = 32
 SHARD, QUERIES = 8192, 2048
 #: With so few vectors every list is searched.
 WHOLE_BELOW = 1024
@@ -86,11 +91,11 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     return np.stack(done)
 
 
-def neighbour_graph(centres: np.ndarray, links: int = LINKS, block: int = 1024) -> np.ndarray:
-    """The numbers of each centroid's nearest others; the last link makes a ring, so all are reached."""
+def neighbour_graph(centres: np.ndarray, links: int = LINKS, far: int = FAR_LINKS, block: int = 1024) -> np.ndarray:
+    """The numbers of each centroid's nearest others and of some at random; one link makes a ring, so all are reached."""
     n = len(centres)
     k = min(links, n - 1)
-    out = np.empty((n, k + 1), np.int32)
+    out = np.random.default_rng(11).integers(0, n, (n, k + 1 + far), np.int32)
     for at in range(0, n, block):
         d = _squares(centres[at : at + block], centres)
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
@@ -100,31 +105,29 @@ def neighbour_graph(centres: np.ndarray, links: int = LINKS, block: int = 1024)
     return out
 
 
-def walk(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, centroid, distance) of the centroids within ``1 + ratio`` times each row's nearest one, by walking.
 
-    All rows walk at once: each goes on from the centroids that it has just met and that are within its ratio so far.
+    All rows walk at once: each goes on from the centroids that it has just met, if they are within its ratio or among
+    its ``beam`` nearest so far.  Neither bound ever rises, so a centroid is looked at once.
     """
     n = len(centres)
-    met = np.zeros((len(x), n), bool)
-    best = np.full(len(x), np.inf)
-    row = np.repeat(np.arange(len(x)), min(ENTRIES, n))
-    node = np.tile(np.linspace(0, n - 1, min(ENTRIES, n)).astype(np.int64), len(x))
-    found = []
+    far = np.full((len(x), n), np.inf)
+    entries = np.unique(np.linspace(0, n - 1, min(n, math.ceil(ENTRIES * math.sqrt(n)))).astype(np.int64))
+    row, node = np.repeat(np.arange(len(x)), len(entries)), np.tile(entries, len(x))
     while len(row):
-        met[row, node] = True
         d = np.sqrt(((x[row] - centres[node]) ** 2).sum(1))
-        np.minimum.at(best, row, d)
-        found.append((row, node, d))
-        on = d <= (1 + ratio) * best[row]
+        far[row, node] = d
+        bound = np.maximum((1 + ratio) * far.min(1), np.partition(far, beam, axis=1)[:, beam] if n > beam else np.inf)
+        on = d <= bound[row]
         steps = graph[node[on]]
         row, node = np.repeat(row[on], steps.shape[1]), steps.ravel().astype(np.int64)
-        pairs = np.unique((row * n + node)[~met[row, node]])
+        pairs = np.unique((row * n + node)[far[row, node] == np.inf])
         row, node = pairs // n, pairs % n
-    row, node, d = (np.concatenate(c) for c in zip(*found, strict=True))
-    kept = d <= (1 + ratio) * best[row]
-    order = np.lexsort((node[kept], d[kept], row[kept]))
-    return row[kept][order], node[kept][order], d[kept][order]
+    row, node = np.nonzero(far <= (1 + ratio) * far.min(1)[:, None])
+    d = far[row, node]
+    order = np.lexsort((node, d, row))
+    return row[order], node[order], d[order]
 
 
 def _fit(lists: int):
