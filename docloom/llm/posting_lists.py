@@ -6,9 +6,10 @@ boundary, to further lists whose centroid is at most ``1 + near`` times as far (
 searches the lists whose centroid is at most ``1 + wide`` times as far as its nearest one, however many these are.  For
 both, centroids are found by walking a graph of neighbouring centroids that each task holds in memory.
 
-Only centroids and their graph are broadcast: ``most_lists`` rows at most, whatever the table's size.  A long list is
-dealt to shards and its queries to groups, so a task compares ``SHARD`` vectors with ``QUERIES`` queries at a time; what
-leaves it is each query's best.  Equal vectors are one member of the index with their ``k + 1`` least ids, as no query
+Only centroids and their graph are broadcast: about ``most_lists`` rows, whatever the table's size.  Lists of
+neighbouring centroids make a cell, where a query and a vector meet once if they share a list.  A large cell is dealt
+to shards and its queries to groups, so a task compares ``SHARD`` vectors with ``QUERIES`` queries at a time; what leaves
+it is a row with each query's best.  Equal vectors are one member of the index with their ``k + 1`` least ids, as no query
 can have more of them among its nearest, and equal queries are searched once; so a vector with millions of copies
 makes no long list.  Distances are computed from differences of the original numbers in double precision; a product of
 matrices only chooses which, with a margin for its rounding.
@@ -47,6 +48,8 @@ ENTRIES = 2
 #: So many of the nearest centroids are gone on from, however far they are.
 BEAM = 32
 SHARD, QUERIES = 8192, 2048
+#: Lists of neighbouring centroids that are searched together: a query visits a cell once, whichever lists it wants there.
+CELL = 32
 #: With so few vectors every list is searched.
 WHOLE_BELOW = 1024
 
@@ -118,13 +121,13 @@ def walk(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio: float, be
     while len(row):
         d = np.sqrt(((x[row] - centres[node]) ** 2).sum(1))
         far[row, node] = d
-        bound = np.maximum((1 + ratio) * far.min(1), np.partition(far, beam, axis=1)[:, beam] if n > beam else np.inf)
+        bound = np.full(len(x), np.inf) if ratio == math.inf else np.maximum((1 + ratio) * far.min(1), np.partition(far, beam, axis=1)[:, beam] if n > beam else np.inf)
         on = d <= bound[row]
         steps = graph[node[on]]
         row, node = np.repeat(row[on], steps.shape[1]), steps.ravel().astype(np.int64)
         pairs = np.unique((row * n + node)[far[row, node] == np.inf])
         row, node = pairs // n, pairs % n
-    row, node = np.nonzero(far <= (1 + ratio) * far.min(1)[:, None])
+    row, node = np.nonzero(far < np.inf if ratio == math.inf else far <= (1 + ratio) * far.min(1)[:, None])
     d = far[row, node]
     order = np.lexsort((node, d, row))
     return row[order], node[order], d[order]
@@ -167,16 +170,16 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """Centroids with their graph, and the lists' members ``list, shard, key, ids, v``."""
+    """Centroids with their graph, and the cells' members ``cell, lists, key, ids, v``."""
 
     centres: Broadcast
     members: DataFrame
-    lists: DataFrame
+    cells: DataFrame
     k: int
 
 
 def _assign(held: Broadcast, ratio: float, most: int | None, columns: tuple[str, ...]):
-    """Rows with ``v`` become a row for each list within the ratio, at most ``most`` (None: all)."""
+    """Rows with ``v`` become a row for each cell of lists within the ratio, at most ``most`` lists (None: all)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, graph = held.value
@@ -188,9 +191,14 @@ def _assign(held: Broadcast, ratio: float, most: int | None, columns: tuple[str,
                     first = np.searchsorted(row, np.arange(part.num_rows))
                     ok = np.arange(len(row)) - first[row] < most
                     row, node = row[ok], node[ok]
-                taken = pa.Table.from_batches([part]).take(pa.array(row)).combine_chunks()
-                arrays = [pa.array(node.astype(np.int32)), *[taken.column(c).combine_chunks() for c in columns]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["list", *columns])
+                order = np.lexsort((node, row))
+                row, node = row[order], node[order]
+                cell = node // CELL
+                starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(node.astype(np.int32)))
+                taken = pa.Table.from_batches([part]).take(pa.array(row[starts])).combine_chunks()
+                arrays = [pa.array(cell[starts].astype(np.int32)), lists, *[taken.column(c).combine_chunks() for c in columns]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["cell", "lists", *columns])
 
     return run
 
@@ -207,58 +215,77 @@ def build(vectors: DataFrame, k: int = 10, sample: int = SAMPLE, list_rows: int
     lists = int(min(most_lists, max(1, round(n / list_rows)), sample))
     drawn = members if n <= sample else members.filter(F.pmod(F.xxhash64("key"), F.lit(n)) < sample)
     fitted = drawn.select("v").repartition(1).mapInArrow(_fit(lists), "list int, centre array<double>, links array<int>")
-    table = materialize(fitted, "centroids").toArrow().sort_by("list")  # most_lists rows at most
+    table = materialize(fitted, "centroids").toArrow().sort_by("list")  # most_lists rows at most, but for the balance
     held = spark.sparkContext.broadcast((_matrix(table.column("centre")), np.array(table.column("links").to_pylist(), np.int32)))
-    posted = materialize(members.mapInArrow(_assign(held, near, most_copies, ("key", "ids", "v")), "list int, key string, ids array<long>, v array<double>"), "postings")
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    return Index(held, posted, materialize(sizes, "lists"), k)
+    posted = materialize(members.mapInArrow(_assign(held, near, most_copies, ("key", "ids", "v")), "cell int, lists array<int>, key string, ids array<long>, v array<double>"), "postings")
+    sizes = posted.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    return Index(held, posted, materialize(sizes, "cells"), k)
+
+
+def _held(lists: pa.ChunkedArray, base: int) -> np.ndarray:
+    """For each row, which of a cell's lists it names."""
+    lists = lists.combine_chunks()
+    out = np.zeros((len(lists), CELL), np.float32)
+    out[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy() - base] = 1
+    return out
 
 
 def _nearest(k: int):
-    """The best ``k`` members of a list's shard for each query of a group."""
+    """The best ``k`` ids of a cell's shard for each query of a group, among members that share a list with it."""
 
     def run(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
-        names = {"query": pa.string(), "ids": pa.list_(pa.int64()), "score": pa.float64()}
+        names = {"query": pa.string(), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float64())}
         if not members.num_rows or not queries.num_rows:
             return pa.table({c: pa.array([], t) for c, t in names.items()})
-        x, y = _matrix(members.column("v")), _matrix(queries.column("v"))
-        query, member, score = [], [], []
-        for at in range(0, len(y), 256):
-            part = y[at : at + 256]
-            d = _squares(part, x)
+        x, y, base = _matrix(members.column("v")), _matrix(queries.column("v")), key[0].as_py() * CELL
+        own, asked = (_held(t.column("lists"), base) if "lists" in t.column_names else np.ones((t.num_rows, 1), np.float32) for t in (members, queries))
+        member_ids, size = members.column("ids").to_pylist(), (x**2).sum(1).max()
+        query, ids, scores = [], [], []
+        names_ = queries.column("query").to_pylist()
+        for at in range(0, len(y), 128):
+            part = y[at : at + 128]
+            d = np.where(asked[at : at + 128] @ own.T > 0, _squares(part, x), np.inf)
             kth = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            margin = 1e-9 * (1 + (part**2).sum(1) + (x**2).sum(1).max())
-            row, col = np.nonzero(d <= (kth + margin)[:, None])
+            row, col = np.nonzero((d <= (kth + 1e-9 * (1 + (part**2).sum(1) + size))[:, None]) & np.isfinite(d))
             exact = np.sqrt(((part[row] - x[col]) ** 2).sum(1))
-            query.append(row + at)
-            member.append(col)
-            score.append(exact)
-        row, col, d = np.concatenate(query), np.concatenate(member), np.concatenate(score)
-        return pa.table({"query": queries.column("query").take(pa.array(row)), "ids": members.column("ids").take(pa.array(col)), "score": pa.array(d)})
+            starts = np.searchsorted(row, np.arange(len(part) + 1))
+            for i in range(len(part)):
+                found = sorted({(float(exact[j]), m) for j in range(starts[i], starts[i + 1]) for m in member_ids[col[j]]})[:k]
+                if found:
+                    query.append(names_[at + i])
+                    ids.append([m for _, m in found])
+                    scores.append([s for s, _ in found])
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip(names.items(), (query, ids, scores), strict=True)})
 
     return run
 
 
+_FOUND = "query string, ids array<long>, scores array<double>"
+
+
+def _opened(found: DataFrame) -> DataFrame:
+    """``query, vec_id, score``, each id once."""
+    pairs = found.select("query", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
+    return pairs.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+
+
 def search(index: Index, queries: DataFrame, wide: float = WIDE, whole_below: int = WHOLE_BELOW) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest ``index.k`` other ids of each row of ``queries`` (``vec_id, v, key``)."""
     k = index.k
     n_lists = len(index.centres.value[0])
     asked = materialize(queries.select(F.col("vec_id").alias("query_id"), "key", "v"), "queries")
     once = asked.groupBy(F.col("key").alias("query")).agg(F.first("v").alias("v"))
-    if n_lists * LIST_ROWS <= whole_below:
-        probes = once.select(F.explode(F.sequence(F.lit(0), F.lit(n_lists - 1))).alias("list"), "query", "v")
-    else:
-        probes = once.mapInArrow(_assign(index.centres, wide, None, ("query", "v")), "list int, query string, v array<double>")
-    probes = materialize(probes, "probes")
-    # A row for each list: most_lists at most.
-    groups = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")).join(index.lists, "list")
-    left = index.members.join(F.broadcast(groups), "list")
+    ratio = math.inf if n_lists * LIST_ROWS <= whole_below else wide
+    probes = materialize(once.mapInArrow(_assign(index.centres, ratio, None, ("query", "v")), "cell int, lists array<int>, query string, v array<double>"), "probes")
+    # A row for each cell: a CELL-th of most_lists.
+    groups = probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")).join(index.cells, "cell")
+    left = index.members.join(F.broadcast(groups), "cell")
     left = left.withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    right = probes.join(F.broadcast(groups), "list")
+    right = probes.join(F.broadcast(groups), "cell")
     right = right.withColumn("group", F.pmod(F.xxhash64("query"), F.col("groups")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    key = ["list", "shard", "group"]
-    found = left.select(*key, "ids", "v").groupBy(*key).cogroup(right.select(*key, "query", "v").groupBy(*key)).applyInArrow(_nearest(k + 1), "query string, ids array<long>, score double")
-    each = found.select("query", "score", F.explode("ids").alias("vec_id")).groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+    key = ["cell", "shard", "group"]
+    met = left.select(*key, "lists", "ids", "v").groupBy(*key).cogroup(right.select(*key, "lists", "query", "v").groupBy(*key))
+    each = _opened(met.applyInArrow(_nearest(k + 1), _FOUND))
     best = each.withColumn("no", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).filter(F.col("no") <= k + 1)
     near = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     met = asked.join(near, F.col("key") == F.col("query"))
@@ -286,8 +313,8 @@ def brute_force(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vecto
     left = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.array("vec_id").alias("ids"), "v")
     right = asked.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("vec_id").cast("string").alias("query"), "v")
     key = ["shard", "group"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(k + 1), "query string, ids array<long>, score double")
-    rows_ = found.select(F.col("query").cast("long").alias("query_id"), "score", F.explode("ids").alias("vec_id")).filter("query_id != vec_id")
+    found = _opened(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(k + 1), _FOUND))
+    rows_ = found.select(F.col("query").cast("long").alias("query_id"), "score", "vec_id").filter("query_id != vec_id")
     best = rows_.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
