@@ -13,7 +13,9 @@ _PUBLIC = {
     "slug": "docloom.functions.text",
     "query_terms": "docloom.operators.search",
     "search": "docloom.operators.search",
-    "write_index": "docloom.operators.search",
+    "write_index": "docloom.operators.index",
+    "append_index": "docloom.operators.index",
+    "open_index": "docloom.operators.index",
     "read_documents": "docloom.sources.front_matter",
     "Tools": "docloom.registry",
     "session": "docloom.session",

@@ -10,13 +10,16 @@ from .session import session, ship
 
 def main(args: list[str]) -> int:
     if len(args) >= 3 and args[0] == "build":
-        from .operators.search import write_index
+        from .operators.documents import public_only
+        from .operators.index import write_index
         from .sources.front_matter import read_documents, typed
 
         spark = ship(session())
         docs = read_documents(spark, args[1])
         docs.write.mode("overwrite").partitionBy("source", "year").parquet(f"{args[2]}/documents")
-        write_index(typed(docs.filter("error is null")), f"{args[2]}/index", id_col="path", text_col="body")
+        good = docs.filter("error is null")
+        write_index(public_only(typed(good)), f"{args[2]}/index", id_col="path", text_col="body", keep=("typ",))
+        docs.filter("error is not null").select("path", "error").show(truncate=False)  # these are not in the index
         return 0
     if len(args) >= 3 and args[0] == "query":
         tools = Tools(ship(session()), args[1]).load(PLUGINS)

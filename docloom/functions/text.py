@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -80,6 +81,11 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(word, f"^([a-z0-9]{{{LEAST_STEM},}}?)({'|'.join(ENDINGS)})$", "$1")
 
 
+def stemmed(word: str) -> str:
+    """``stem`` of a user's own folded word."""
+    return re.sub(f"^([a-z0-9]{{{LEAST_STEM},}}?)({'|'.join(ENDINGS)})$", r"\1", word)
+
+
 def slug(title: Column, most: int | None = 60) -> Column:
     """Folded title with hyphens, cut to ``most`` characters (None: whole) without a hyphen at either end."""
     whole = F.regexp_replace(F.regexp_replace(fold(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")

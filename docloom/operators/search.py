@@ -1,8 +1,6 @@
-"""Ranked full-text search: an inverted index as tables, and BM25 over it.
+"""Ranked full-text search by scanning texts, for a single search; ``index`` has the written index for many.
 
-The index is written once: ``postings(term, doc_id, tf)``, ``terms(term, df)`` and ``docs(doc_id, length)``.  A search
-touches the postings of its few terms only (a partition or bucket of the written table), sums scores by document with
-partial aggregation, and takes the top rows.
+Texts are cut and counted in their own rows; scores are BM25.
 """
 
 from __future__ import annotations
@@ -65,29 +63,12 @@ def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(id_col, F.size(T.tokens(F.col(text_col))).cast("long").alias("length"))
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = True) -> None:
-    """The index under ``path``; postings lie in ``buckets`` folders by the term's hash, sorted by term."""
-    p = postings(docs, id_col, text_col, stemmed).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    p.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    document_lengths(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/docs")
-
-
-def read_postings(spark, path: str, terms: Sequence[str], buckets: int = 64) -> DataFrame:
-    """The postings of ``terms``: only their buckets are read."""
-    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("term")).select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("b"))
-    numbers = sorted({r["b"] for r in wanted.collect()})  # as many as the query has words
-    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*numbers) & F.col("term").isin(*terms)).drop("bucket")
-
-
 def query_terms(text: str, stemmed: bool = False) -> list[str]:
     """The folded words of a user's text, each once."""
-    import re
-
     words = list(dict.fromkeys(query_terms_in_order(text)))
     if not stemmed:
         return words
-    ending = re.compile(f"^([a-z0-9]{{{T.LEAST_STEM},}}?)({'|'.join(T.ENDINGS)})$")
-    return list(dict.fromkeys(ending.sub(r"\1", w) for w in words))
+    return list(dict.fromkeys(map(T.stemmed, words)))
 
 
 def bm25(found: DataFrame, lengths: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -101,21 +82,11 @@ def bm25(found: DataFrame, lengths: DataFrame, id_col: str = "doc_id") -> DataFr
     return scored.groupBy(id_col).agg(F.sum(idf * weight).alias("score"))
 
 
-def search_index(spark, path: str, query: str, k: int = 10, stemmed: bool = False, buckets: int = 64, id_col: str = "doc_id") -> DataFrame:
-    """The ``k`` best documents of an index that ``write_index`` wrote; the texts are not read, and of the postings only
-    the buckets of the query's terms.  ``stemmed`` and ``buckets`` are those of the writing."""
-    lengths = spark.read.parquet(f"{path}/docs")
-    terms = query_terms(query, stemmed)
-    if not terms:
-        return lengths.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    return bm25(read_postings(spark, path, terms, buckets), lengths, id_col).orderBy(F.desc(F.round("score", 6)), id_col).limit(k)
-
-
 def search(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", match_all: bool = False, stemmed: bool = False) -> DataFrame:
     """The ``k`` best documents for a query (ties: least id); ``match_all`` asks for every term.
 
     One pass counts documents, lengths and each term's documents; a second one scores every text in its own row, so
-    no postings are shuffled.  For many searches over the same texts write an index and use ``search_index``.
+    no postings are shuffled.  For many searches over the same texts write an index (``index.write_index``).
     """
     terms = query_terms(query, stemmed)
     if not terms:

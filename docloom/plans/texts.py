@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import mentions, search
+from ..operators import index, mentions, search
 from ..store import fresh_path
 from ._base import Registry, fold_sql, stem_sql, table, tokens_sql
 
@@ -37,8 +37,41 @@ def search_bm25_topk(spark, d):
 @q(bm25_sql("'that', 'blereat', 'elle'", 10))
 def search_written_index(spark, d):
     path = fresh_path(spark, "index")
-    search.write_index(table(spark, d, "documents"), path, stemmed=False)
-    return search.search_index(spark, path, "That blereat ÉLLE", 10).select("doc_id", F.round("score", 6).alias("score"))
+    index.write_index(table(spark, d, "documents"), path, stemmed=False)
+    return index.search_index(spark, path, "That blereat ÉLLE", 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@q(bm25_sql("'that', 'blereat', 'elle'", 10))
+def search_grown_index(spark, d):
+    """The same from an index that was written in three parts, some documents twice."""
+    path, docs = fresh_path(spark, "index"), table(spark, d, "documents")
+    third = F.pmod("doc_id", F.lit(3))
+    index.write_index(docs.filter(third == 0), path, stemmed=False)
+    index.append_index(docs.filter(third == 1), path)
+    index.append_index(docs.filter(third > 0), path)
+    return index.search_index(spark, path, "That blereat ÉLLE", 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_UNITS = f"""
+WITH t AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+u AS (SELECT doc_id, len(w) AS length, {{tf}} AS tf FROM t),
+f AS (SELECT *, count(*) OVER () AS df FROM u WHERE tf > 0)
+SELECT doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean)), 6) AS score FROM f, s ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@q(_UNITS.replace("{tf}", "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))"))
+def search_index_phrase(spark, d):
+    path = fresh_path(spark, "index")
+    index.write_index(table(spark, d, "documents"), path, stemmed=False)
+    return index.search_index(spark, path, '"Of THE"', 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@q(_UNITS.replace("{tf}", "len(list_filter(w, lambda x: x[1:4] = 'schu'))"))
+def search_index_prefix(spark, d):
+    path = fresh_path(spark, "index")
+    index.write_index(table(spark, d, "documents"), path, stemmed=False)
+    return index.search_index(spark, path, "Schu*", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @q(bm25_sql("'the', 'that', 'with'", 20, having="HAVING count(*) = 3"))

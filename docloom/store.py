@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 import weakref
@@ -58,6 +59,49 @@ def release(*tables: DataFrame) -> None:
         _delete(table.sparkSession, path)
 
 
+def write_pointer(spark: SparkSession, path: str, state: dict, name: str = "_current") -> None:
+    """Replace the small file ``name`` under ``path``: written aside, then renamed, so no reader sees a part of it.
+
+    The rename is one step on HDFS and local disks.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    aside, target = hadoop.Path(f"{path}/{name}-{uuid.uuid4().hex}"), hadoop.Path(f"{path}/{name}")
+    out = aside.getFileSystem(conf).create(aside, False)
+    try:
+        out.write(json.dumps(state, ensure_ascii=False).encode())
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, options)
+
+
+def read_pointer(spark: SparkSession, path: str, name: str = "_current") -> dict | None:
+    """What ``write_pointer`` last wrote, or None."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath().toString()) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.documents import latest
+from .retries import keep_results, outcomes, retry_results, to_try_again
+from .tables import clear_old, read_current, upsert
+
+__all__ = ["append_log", "clear_old", "keep_results", "monthly_counts", "outcomes", "read_current", "retry_results", "to_try_again", "upsert", "weekly_counts"]
 
 
 def weekly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type", late: str = "14 days") -> DataFrame:
@@ -23,42 +24,6 @@ def monthly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type")
     return events.groupBy(month, group).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def upsert(path: str, keys: list[str], version: list[str]):
-    """A ``foreachBatch`` function that keeps the latest version of each key in ``path``.
-
-    Each batch writes a folder of a fresh name and then moves the pointer file, so a failed batch leaves the last table
-    whole and a repeated batch gives the same result.  Old folders stay, for readers that are still at work.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        pointer = fs_path(f"{path}/_current")
-        fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = read_current(spark, path)
-        rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
-        target = f"{path}/v{batch_id}-{uuid.uuid4().hex}"  # never a folder that the pointer may name
-        latest(rows, keys, version).write.parquet(target)
-        out = fs.create(pointer, True)
-        out.writeUTF(target)
-        out.close()
-
-    return run
-
-
-def read_current(spark, path: str) -> DataFrame | None:
-    """The table that ``upsert`` last finished, or None."""
-    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(pointer):
-        return None
-    at = fs.open(pointer)
-    try:
-        return spark.read.parquet(at.readUTF())
-    finally:
-        at.close()
-
-
 def append_log(rows: DataFrame, path: str, checkpoint: str):
     """All that is there now, appended as JSON lines; a later run goes on from there."""
     return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
