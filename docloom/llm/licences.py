@@ -228,12 +228,22 @@ class Matcher:
                 held[at] = held.get(at, 0) + 1
         need = self.threshold / (2 - self.threshold)
         found = [(w, self.by_size[at][2]) for at, h in held.items() if h >= need * self.by_size[at][0] - 1e-9 for w in self._windows(at, pairs)]
+        places: list[tuple[int, int]] = []
         kept: list[tuple[float, str, int, int]] = []
         for (d, _, a, b), name in sorted(found, key=lambda x: (-x[0][0], -x[0][1], x[0][2])):
-            if all(2 * (min(b, y) - max(a, x)) < max(b - a, y - x) for _, _, x, y in kept):
+            # Two runs are at one place if they share half of the longer one; then their starts lie this near.
+            near = places[bisect.bisect_left(places, (2 * a - b,)) : bisect.bisect_right(places, (b, b))]
+            if all(2 * (min(b, y) - max(a, x)) < max(b - a, y - x) for x, y in near):
+                bisect.insort(places, (a, b))
                 kept.append((d, name, a, b))
         kept.sort(key=lambda x: (x[2], x[2] - x[3]))
-        return [r for r in kept if not any(o is not r and o[1] == r[1] and o[2] <= r[2] and r[3] <= o[3] for o in kept)]
+        reach: dict[str, int] = {}
+        outer = []
+        for r in kept:  # one that lies in another of the same licence comes behind it
+            if r[3] > reach.get(r[1], -1):
+                outer.append(r)
+                reach[r[1]] = r[3]
+        return outer
 
     def scan(self, text: str) -> list[tuple[str, str, float]]:
         """(licence, unit, coefficient) of each unit with a match; equal lines and sentences inside count once."""
@@ -268,8 +278,24 @@ class Matcher:
                     s_at += len(own_s)
                 line_at += len(own_line)
             at += len(own)
-        found += [(name, "run", d) for d, name, a, b in self.runs(words) if not any(name == n and x <= a and b <= y for n, x, y in covered)]
-        return found
+        inside = _Cover(covered)
+        return found + [(name, "run", d) for d, name, a, b in self.runs(words) if not inside.holds(name, a, b)]
+
+
+class _Cover:
+    """Whether a place lies in one of a licence's units: their starts in order, and how far they reach up to there."""
+
+    def __init__(self, units: Iterable[tuple[str, int, int]]):
+        self.of: dict[str, tuple[list[int], list[int]]] = {}
+        for name, start, end in sorted(units):
+            starts, reach = self.of.setdefault(name, ([], []))
+            starts.append(start)
+            reach.append(max(end, reach[-1]) if reach else end)
+
+    def holds(self, name: str, start: int, end: int) -> bool:
+        starts, reach = self.of.get(name, ([], []))
+        at = bisect.bisect_right(starts, start)
+        return at > 0 and reach[at - 1] >= end
 
 
 _FOUND = "array<struct<licence:string,unit:string,dice:double>>"

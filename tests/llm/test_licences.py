@@ -71,3 +71,17 @@ def test_runs_against_all_windows():
         best = max((L.dice(L.bigrams(words[i:j]), s) for s in sets for i in range(len(words)) for j in range(i + 2, len(words) + 1)), default=0)
         got = matcher.runs(words)
         assert bool(got) == (best >= L.THRESHOLD - 1e-9) and (not got or max(g[0] for g in got) == best)
+
+
+def test_time_grows_with_the_text_when_every_line_is_a_notice():
+    """Matches are compared with their neighbours only: 260 kB of one-line notices, each found."""
+    import time
+
+    line = "Licensed under the MIT License.\n"
+    matcher = licences.Matcher(licences.TEMPLATES, licences.THRESHOLD)
+    assert matcher.scan(line)
+    began = time.process_time()
+    one = len(matcher.scan(line * 1000))
+    first = time.process_time() - began
+    assert len(matcher.scan(line * 8000)) == 8 * one - 7 * (one - 1000)
+    assert time.process_time() - began - first < 12 * max(first, 0.05)
