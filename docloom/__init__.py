@@ -9,7 +9,7 @@ import importlib
 
 _PUBLIC = {
     "fold": "docloom.functions.text",
-    "stem": "docloom.functions.text",
+    "stem": "docloom.functions.czech",
     "slug": "docloom.functions.text",
     "query_terms": "docloom.operators.search",
     "search": "docloom.operators.search",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import czech
+
 
 def _latin_letters() -> dict[str, str]:
     """Lower-case Latin letters with marks, by the letter that their decomposition begins with."""
@@ -29,7 +30,7 @@ MARKED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
 #: Marks that stand behind their letter in decomposed texts.
 MARKS = "[\u0300-\u036f]"
 #: What cuts words: all but letters and digits of any script.
-GAP = r"[^\p{L}\p{N}]+"
+GAP, MARKED_GAP = r"[^\p{L}\p{N}]+", r"[^\p{L}\p{N}\p{M}]+"
 
 #: Endings of Czech nouns and adjectives after folding, longest first.
 ENDINGS = ("ovani", "ejsi", "atech", "ovych", "ymi", "emi", "ami", "ech", "ich", "ych", "ove", "ovi", "ova", "eho", "emu", "ymu", "ach", "em", "im", "ym", "um", "am", "ou", "at", "es", "os", "us", "y", "u", "i", "e", "a", "o")
@@ -60,6 +61,21 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(x, F.lit(""))), GAP), lambda t: t != "")
 
 
+def words(x: Column) -> Column:
+    """Lower-case runs of letters and digits with their marks; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), MARKED_GAP), lambda t: t != "")
+
+
+def stemmed_tokens(x: Column) -> Column:
+    """The Czech stems of a text's words, folded."""
+    return F.transform(words(x), lambda w: fold(czech.stem(w)))
+
+
+def stemmed_token(word: str) -> str:
+    """``stemmed_tokens`` of one word of a user's own."""
+    return folded(czech.stemmed(unicodedata.normalize("NFC", word).lower()))
+
+
 def gram_hashes(words: Column, doublings: int = 3) -> Column:
     """64-bit hashes of all runs of ``2 ** doublings`` words, each from two hashes of half the length."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -81,11 +97,6 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(word, f"^([a-z0-9]{{{LEAST_STEM},}}?)({'|'.join(ENDINGS)})$", "$1")
 
 
-def stemmed(word: str) -> str:
-    """``stem`` of a user's own folded word."""
-    return re.sub(f"^([a-z0-9]{{{LEAST_STEM},}}?)({'|'.join(ENDINGS)})$", r"\1", word)
-
-
 def slug(title: Column, most: int | None = 60) -> Column:
     """Folded title with hyphens, cut to ``most`` characters (None: whole) without a hyphen at either end."""
     whole = F.regexp_replace(F.regexp_replace(fold(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -45,8 +45,7 @@ FIRST_WINDOWS = 8
 def _segment(docs: DataFrame, path: str, stemmed: bool, id_col: str, text_col: str, keep: Sequence[str]) -> dict:
     """Write one segment; its entry in the list of segments."""
     spark, folder = docs.sparkSession, f"{path}/segments/{uuid.uuid4().hex}"
-    words = T.tokens(F.col(text_col))
-    words = F.transform(words, lambda w: T.stem(w)) if stemmed else words
+    words = (T.stemmed_tokens if stemmed else T.tokens)(F.col(text_col))
     docs.select(F.col(id_col).alias("id"), F.size(words).cast("long").alias("length"), *keep).write.parquet(f"{folder}/lengths")
     counted = spark.read.parquet(f"{folder}/lengths")
     n, total = counted.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
@@ -132,13 +131,15 @@ def read_query(text: str, stemmed: bool) -> Query:
 
     A phrase of one word is that word; what has no letter or digit asks for nothing.
     """
-    stem = T.stemmed if stemmed else (lambda w: w)
+    terms = lambda x: query_terms_in_order(x, stemmed)
     quoted, rest = re.findall(r'"([^"]*)"', text), re.sub(r'"[^"]*"', " ", text)
-    prefixes = [query_terms_in_order(p) for p in re.findall(r"(\S+)\*", rest)]
-    words = [stem(w) for w in query_terms_in_order(re.sub(r"\S+\*", " ", rest))]
-    phrases = [[stem(w) for w in query_terms_in_order(q)] for q in quoted]
-    words += [w for p in prefixes for w in map(stem, p[:-1])] + [p[0] for p in phrases if len(p) == 1]
-    return Query(list(dict.fromkeys(words)), [list(p) for p in dict.fromkeys(map(tuple, phrases)) if len(p) > 1], list(dict.fromkeys(p[-1] for p in prefixes if p)))
+    begun = re.findall(r"(\S+)\*", rest)
+    # Only the last part of ``e-mai*`` is a prefix, and it is compared with stems as it stands.
+    prefixes = [query_terms_in_order(p)[-1:] for p in begun]
+    words = terms(re.sub(r"\S+\*", " ", rest)) + [w for p in begun for w in terms(p)[:-1]]
+    phrases = [terms(q) for q in quoted]
+    words += [p[0] for p in phrases if len(p) == 1]
+    return Query(list(dict.fromkeys(words)), [list(p) for p in dict.fromkeys(map(tuple, phrases)) if len(p) > 1], list(dict.fromkeys(p[0] for p in prefixes if p)))
 
 
 class Index:

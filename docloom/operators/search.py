@@ -18,8 +18,7 @@ K1, B = 1.2, 0.75
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
     """``doc_id, pos, term`` of every token."""
-    rows = docs.select(F.col(id_col), F.posexplode(T.tokens(F.col(text_col))).alias("pos", "term"))
-    return rows.withColumn("term", T.stem(F.col("term"))) if stemmed else rows
+    return docs.select(F.col(id_col), F.posexplode((T.stemmed_tokens if stemmed else T.tokens)(F.col(text_col))).alias("pos", "term"))
 
 
 def counted(words: Column) -> Column:
@@ -35,8 +34,7 @@ def counted(words: Column) -> Column:
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
     """``doc_id, term, tf``, counted within each text's own token list; nothing is shuffled."""
-    t = T.tokens(F.col(text_col))
-    return docs.select(id_col, F.inline(counted(F.transform(t, lambda w: T.stem(w)) if stemmed else t)))
+    return docs.select(id_col, F.inline(counted((T.stemmed_tokens if stemmed else T.tokens)(F.col(text_col)))))
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -64,11 +62,8 @@ def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def query_terms(text: str, stemmed: bool = False) -> list[str]:
-    """The folded words of a user's text, each once."""
-    words = list(dict.fromkeys(query_terms_in_order(text)))
-    if not stemmed:
-        return words
-    return list(dict.fromkeys(map(T.stemmed, words)))
+    """The words of a user's text as a search has them, each once."""
+    return list(dict.fromkeys(query_terms_in_order(text, stemmed)))
 
 
 def bm25(found: DataFrame, lengths: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -91,8 +86,7 @@ def search(docs: DataFrame, query: str, k: int = 10, where: Column | None = None
     terms = query_terms(query, stemmed)
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    words = T.tokens(F.col(text_col))
-    words = F.transform(words, lambda w: T.stem(w)) if stemmed else words
+    words = (T.stemmed_tokens if stemmed else T.tokens)(F.col(text_col))
     held = F.filter("_w", lambda w: w.isin(*terms))
     cut = docs.select("*", words.alias("_w")).withColumns({"_length": F.size("_w"), "_held": held})
     tf = [_count_of(F.col("_held"), t) for t in terms]
@@ -117,18 +111,21 @@ def _count_of(words: Column, term: str) -> Column:
 def phrase(docs: DataFrame, words: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that hold the words one behind the other, with the number of times; no shuffle."""
     line = F.concat(F.lit(" "), F.array_join(T.tokens(F.col(text_col)), "  "), F.lit(" "))
-    needle = " " + "  ".join(query_terms_in_order(words)) + " "
+    asked = query_terms_in_order(words)
+    if not asked:
+        return docs.select(id_col, F.lit(0).cast("long").alias("n")).limit(0)
+    needle = " " + "  ".join(asked) + " "
     times = (F.length(line) - F.length(F.replace(line, F.lit(needle), F.lit("")))) / len(needle)
     return docs.filter(line.contains(needle)).select(id_col, times.cast("long").alias("n"))
 
 
-def query_terms_in_order(text: str) -> list[str]:
-    """The folded words of a user's text."""
-    words, word = [], ""
-    for c in T.folded(text) + " ":
-        if unicodedata.category(c)[0] in "LN":
+def query_terms_in_order(text: str, stemmed: bool = False) -> list[str]:
+    """The words of a user's text: folded, or folded stems."""
+    found, word = [], ""
+    for c in unicodedata.normalize("NFC", text) + " ":
+        if unicodedata.category(c)[0] in "LNM":
             word += c
         elif word:
-            words.append(word)
+            found.append(T.stemmed_token(word) if stemmed else T.folded(word))
             word = ""
-    return words
+    return [w for w in found if w]

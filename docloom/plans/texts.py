@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import czech
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import index, mentions, search
@@ -112,6 +113,17 @@ def stem_tokens(spark, d):
     return words.withColumn("stem", T.stem(F.col("term"))).groupBy("stem").agg(F.sum("cf").cast("long").alias("n"), F.count("*").alias("forms"))
 
 
+@q(
+    rf"""
+SELECT stem, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS forms FROM (SELECT word, {czech.stem_sql('word')} AS stem, n FROM (
+  SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '{T.MARKED_GAP}')) AS word FROM documents) WHERE word <> '' GROUP BY 1)) GROUP BY 1"""
+)
+def czech_stems(spark, d):
+    """Each word once, however often it stands in the texts."""
+    words = table(spark, d, "documents").select(F.inline(search.counted(T.words(F.col("text"))))).groupBy("term").agg(F.sum("tf").alias("n"))
+    return words.withColumn("stem", czech.stem(F.col("term"))).groupBy("stem").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("forms"))
+
+
 @q(f"SELECT {fold_sql('c_name')} AS name, {fold_sql('n_name')} AS land, CAST(count(*) AS BIGINT) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
 def fold_group_names(spark, d):
     people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
