@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 
 def quoted(name: str) -> Column:
@@ -13,6 +14,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def whole_numbers(rows: DataFrame, *names: str) -> None:
+    """Refuse ids that are no whole numbers before anything runs, as they would be lost in a cast."""
+    for name in names:
+        kind = rows.select(quoted(name)).schema[0].dataType
+        if not isinstance(kind, IntegralType | NullType):
+            raise TypeError(f"{name} must hold whole numbers, not {kind.simpleString()}; number the rows first, such as by xxhash64")
+
+
 def free(name: str, taken: Iterable[str]) -> str:
     """``name``, with ``_in`` behind it as often as it takes to differ from ``taken`` (in any case)."""
     used = {t.lower() for t in taken}

@@ -22,7 +22,8 @@ Two texts are linked if the Jaccard similarity of their sets of ``k``-word shing
 Defined results: texts without words (null, empty, white space) link to nothing; a text of fewer than ``k`` words has
 one shingle, all its words; rows that share an id each get the class of their own text; rows with a null id get a null
 class and no links; ties give the least id; an empty table gives an empty table; other columns are ignored, whatever
-their names.  A bucket holds at most ``bucket`` whole texts in memory, so very long texts call for a smaller one.
+their names.  A bucket holds at most ``bucket`` whole texts in memory, so very long texts call for a smaller one; an id that is no whole number is
+refused with a TypeError before anything runs.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._names import quoted
+from ._names import quoted, whole_numbers
 from ._store import materialize, release
 from ._text import mix, shingle_set, word_hashes
 
@@ -404,6 +405,7 @@ def near_duplicates(
     that the document's set is linked to, ``n_copies`` the number of other rows with the same set.  ``with_hash`` adds
     ``text_hash``, the row's xxhash64, and ``class_hash``, that of the row which stands for its class.
     """
+    whole_numbers(docs, id_col)
     texts = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(text_col).cast("string").alias("_text"))
     texts = texts.withColumn("_h", F.xxhash64("_text"))  # tells rows that share an id apart
     runs = functools.cache(lambda splits: runs_through(splits, target_recall, threshold, branching, deeper))

@@ -16,7 +16,8 @@ The cost of a sequence of length c is ``c + c * c / quadratic + overhead``: line
 Defined results: documents without words (null, empty, white space) need no place and get null bins; repeated rows are
 each placed, and pieces of one length by id (nulls last), then piece; a null id is placed like any other; an empty table
 gives an empty table; a very long text becomes many pieces, and only numbers reach the tasks that pack; extra columns are
-ignored or carried if named, and one that bears a result's name comes out with ``_in`` behind it.
+ignored or carried if named, and one that bears a result's name comes out with ``_in`` behind it; an id that is no whole number is
+refused with a TypeError before anything runs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._names import Carried, quoted
+from ._names import Carried, quoted, whole_numbers
 from ._store import materialize
 
 #: Permitted sequence lengths, in words.
@@ -121,6 +122,7 @@ def pieces(docs: DataFrame, id_col: str, n_words: Column, longest: int, rest: Co
 
     ``text`` is the piece's own part of ``text_col``, or null without one.
     """
+    whole_numbers(docs, id_col)
     text = quoted(text_col).cast("string") if text_col else F.lit(None).cast("string")
     rows = docs.select(quoted(id_col).cast("long").alias("id"), n_words.cast("long").alias("n"), rest.alias("rest"), text.alias("text"))
     last = F.greatest(F.ceil(F.col("n") / longest), F.lit(1)).cast("int") - 1

@@ -20,7 +20,8 @@ Defined results: a null text is empty; messages with a null conversation or turn
 repeated rows are each returned, and are one message to those who quote them; a quote of a later or of the same turn
 is no link; a quote without an original is removed from the text all the same; an empty table gives an empty table;
 texts of any length are parsed whole; extra columns are ignored or carried if named, and one that bears a result's name
-comes out with ``_in`` behind it.
+comes out with ``_in`` behind it; a conversation or turn that is no whole number is
+refused with a TypeError before anything runs.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from ._names import Carried, quoted
-from ._store import materialize
+from ._names import Carried, quoted, whole_numbers
+from ._store import materialize, release
 
 #: How a line before a quote begins, and its verbs.
 OPENERS = ("on", "am", "le", "el")
@@ -166,7 +167,8 @@ def thread_order(links: DataFrame) -> DataFrame:
         reach = walk.select("conv", F.col("turn").alias("n_turn"), F.col("leaves").alias("n_leaves"), F.col("n_turn").alias("m_turn"), F.col("n_leaves").alias("m_leaves"), F.col("done").alias("m_done"), F.col("entered").alias("m_entered"), F.col("open").alias("m_open"))
         # An event whose next one is at the end, or knows it, is done.
         further = going.join(reach, ["conv", "n_turn", "n_leaves"]).select("conv", "turn", "leaves", F.col("m_turn").alias("n_turn"), F.col("m_leaves").alias("n_leaves"), F.col("m_done").alias("done"), (F.col("entered") + F.col("m_entered")).alias("entered"), (F.col("open") + F.col("m_open")).alias("open"))
-        walk = materialize(walk.filter("done").unionByName(further), "walk")
+        before, walk = walk, materialize(walk.filter("done").unionByName(further), "walk")
+        release(before)
     entries = walk.filter("not leaves").select("conv", "turn", F.col("n_turn").alias("root_turn"), "entered", "open")
     whole = entries.filter("turn = root_turn").select("conv", "root_turn", F.col("entered").alias("n"), F.col("open").alias("all_open"))
     return entries.join(whole, ["conv", "root_turn"]).select("conv", "turn", "root_turn", (F.col("all_open") - F.col("open")).alias("depth"), (F.col("n") - F.col("entered")).alias("position"))
@@ -179,6 +181,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     many messages of the thread come before it in reply order.
     """
     results = ("clean", "n_passages", "parent_turn", "root_turn", "depth", "position")
+    whole_numbers(messages, conv_col, turn_col)
     carried = Carried(carry, (conv_col, turn_col, *results))
     parsed = messages.select(quoted(conv_col).cast("long").alias("conv"), quoted(turn_col).cast("long").alias("turn"), carried.struct().alias("rest"), parse_message(quoted(text_col).cast("string")).alias("p"))
     parsed = materialize(parsed, "messages")
@@ -197,7 +200,9 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         alone = {"parent": F.lit(None).cast("long"), "root_turn": F.lit(None).cast("long"), "depth": F.lit(0).cast("long"), "position": F.lit(0).cast("long")}
         out = out.withColumns(alone)
     else:
-        out = out.join(thread_order(links).join(links, ["conv", "turn"], "left"), ["conv", "turn"], "left")
+        # Rows without a key pass by, or they would all meet in one task.
+        placed = known.join(thread_order(links).join(links, ["conv", "turn"], "left"), ["conv", "turn"], "left")
+        out = placed.unionByName(parsed.filter("conv is null or turn is null"), allowMissingColumns=True)
     zero = F.lit(0).cast("long")
     return out.select(
         F.col("conv").alias(conv_col),

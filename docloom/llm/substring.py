@@ -21,7 +21,8 @@ Defined results: a null text has no words; a text of fewer than ``min_words`` wo
 an id are each judged and returned, and do not count as each other's source; rows with a null id are kept whole and are no
 source; of equal windows the one with the least id stays; an empty table gives an empty table.  Other columns are
 carried only if named in ``carry``; one that bears a result's name comes out with ``_in`` behind it.  A text is held
-whole in its task, with some 30 bytes for each word.
+whole in its task, with some 30 bytes for each word; an id that is no whole number is
+refused with a TypeError before anything runs.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._names import Carried, quoted
+from ._names import Carried, quoted, whole_numbers
 from ._store import materialize, release
 from ._text import gram_hashes, sliding_argmin, word_bounds, word_digests, word_hashes
 
@@ -273,6 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < gram <= min_words:
         raise ValueError("gram must be between 1 and min_words")
+    whole_numbers(docs, id_col)
     carried = Carried(carry, (id_col, "n_words", "n_removed", "kept", "removed"))
     rows = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(text_col).cast("string").alias("_text"), carried.struct().alias("_rest"))
     rows = rows.withColumn("_h", F.xxhash64("_text"))  # tells rows that share an id apart
