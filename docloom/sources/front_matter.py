@@ -85,8 +85,11 @@ _SCHEMA = "path string, title string, attrs map<string,string>, lists map<string
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for path, text in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
-            keys, title, body, error = split_document(text or "")
+        for path, raw in zip(batch.column("path").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist(), strict=True):
+            try:
+                keys, title, body, error = split_document((raw or b"").decode())
+            except UnicodeDecodeError as e:
+                keys, title, body, error = {}, "", None, f"UnicodeDecodeError: {e}"
             flat = {k: v for k, v in keys.items() if v is None or isinstance(v, str)}
             lists = {k: [x for x in v if x is None or isinstance(x, str)] for k, v in keys.items() if isinstance(v, list) and not any(isinstance(x, dict) for x in v)}
             records = {k: json.dumps(v, ensure_ascii=False) for k, v in keys.items() if isinstance(v, dict) or (isinstance(v, list) and any(isinstance(x, dict) for x in v))}
@@ -98,7 +101,10 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse_documents(texts: DataFrame) -> DataFrame:
-    """Rows of ``path, value`` as documents; those without front matter have ``error`` set and keep their text."""
+    """Rows of ``path, value`` as documents; those without front matter have ``error`` set and keep their text.
+
+    So do those that are no UTF-8, without a text.
+    """
     return texts.select("path", "value").mapInArrow(_parse, _SCHEMA)
 
 
