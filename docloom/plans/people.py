@@ -26,6 +26,27 @@ def club_at_vote(spark, d):
     return covered.select("event_id", "user_id", "club")
 
 
+_SPELLS = "SELECT user_id, event_type, min(ts) AS since, max(ts) AS until FROM events GROUP BY 1, 2"
+
+
+def _spells(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
+
+
+@q(f"WITH s AS ({_SPELLS}) SELECT a.user_id, a.event_type, b.event_type AS other_event_type FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type < b.event_type AND a.since < b.until AND b.since < a.until AND a.since < a.until AND b.since < b.until")
+def overlapping_spells(spark, d):
+    s = _spells(spark, d)
+    return intervals.overlap_join(s, s, "user_id").filter("event_type < other_event_type").select("user_id", "event_type", "other_event_type")
+
+
+@q(f"WITH s AS ({_SPELLS}) SELECT e.event_id, s.event_type FROM (SELECT event_id, user_id % 3 AS hot, ts FROM events) e LEFT JOIN (SELECT *, user_id % 3 AS hot FROM s WHERE user_id < 30) s ON s.hot = e.hot AND e.ts >= s.since AND e.ts < s.until")
+def holders_of_hot_offices(spark, d):
+    """Three offices that have all facts and many holders at a time."""
+    facts = table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("hot"), "ts")
+    spells = _spells(spark, d).filter("user_id < 30").select((F.col("user_id") % 3).alias("hot"), "event_type", "since", "until")
+    return intervals.bucketed_holder_join(facts, spells, "hot", F.col("ts")).select("event_id", "event_type")
+
+
 @q(f"SELECT p.page_id, v.vote FROM pages p LEFT JOIN (SELECT {_CANONICAL} AS c, min(page_id) AS vote FROM pages WHERE url LIKE 'https:%' GROUP BY 1) v ON v.c = {canonical_sql('p.url')}")
 def supporting_votes(spark, d):
     pages = table(spark, d, "pages")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import hierarchy, intervals, votes
+from ..operators import hierarchy, intervals, tree, votes
 from ._base import Registry, table
 
 q = Registry()
@@ -128,6 +128,21 @@ def hierarchy_depth(spark, d):
     return hierarchy.depths(_units(spark, d))
 
 
+@q(
+    """
+WITH RECURSIVE e AS (
+  SELECT 'r' || r_regionkey AS child, NULL AS parent, 0 AS w FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0 FROM nation UNION ALL
+  SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey FROM customer),
+t AS (SELECT child AS unit, child AS upper, 0 AS steps, w FROM e UNION ALL SELECT t.unit, e.parent, steps + 1, w FROM t JOIN e ON e.child = t.upper WHERE e.parent IS NOT NULL),
+r AS (SELECT unit, max(steps) AS depth, arg_max(upper, steps) AS root FROM t GROUP BY 1)
+SELECT upper AS unit, any_value(r.root) AS root, CAST(any_value(r.depth) AS INTEGER) AS depth, CAST(count(*) - 1 AS BIGINT) AS n_below, CAST(coalesce(sum(w) FILTER (WHERE steps > 0), 0) AS BIGINT) AS weight_below
+FROM t JOIN r ON r.unit = t.upper GROUP BY upper"""
+)
+def subtree_sums(spark, d):
+    weight = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"), F.col("c_custkey").alias("w"))
+    return tree.labels(_units(spark, d).join(weight, "child", "left"), weight="w").select("unit", "root", "depth", "n_below", "weight_below")
+
+
 def _units(spark, d):
     edge = lambda t, kind, key, parent: table(spark, d, t).select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("child"), parent.alias("parent"))
     up = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
