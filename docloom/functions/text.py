@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -202,9 +203,21 @@ def account_handle(url: Column) -> Column:
 # ---- things inside texts ---------------------------------------------------------------------------------------
 
 
+def without_code(x: Column) -> Column:
+    """A Markdown text without fenced blocks and code spans."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?ms)^(```|~~~).*?^\1[^\n]*$", " "), r"(?s)(?<!`)(`{1,8})(?!`).+?(?<!`)\1(?!`)", " ")
+
+
 def markdown_links(x: Column) -> Column:
-    """Targets of ``[label](target)`` that are not empty."""
-    return F.filter(F.regexp_extract_all(x, F.lit(r"\[[^\]]*\]\(([^)\s]*)\)"), F.lit(1)), lambda t: t != "")
+    """Targets of ``[label](target)`` and ``[label](<target> "title")`` that are not empty, outside of code.
+
+    Labels may hold brackets, such as those of an image, and targets may hold one pair of parentheses.
+    """
+    label, target = r"\[(?:[^\[\]]|\[[^\[\]]*\](?:\([^()]*\))?)*+\]", r"(?:<([^<>\n]*)>|([^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)*))"
+    found = rf"""{label}\(\s*{target}(?:\s+(?:"[^"]*"|'[^']*'))?\s*\)"""
+    plain = without_code(x)
+    pairs = F.arrays_zip(F.regexp_extract_all(plain, F.lit(found), F.lit(1)).alias("a"), F.regexp_extract_all(plain, F.lit(found), F.lit(2)).alias("b"))
+    return F.filter(F.transform(pairs, lambda p: F.coalesce(F.nullif(p["a"], F.lit("")), p["b"])), lambda t: t != "")
 
 
 def autolinks(x: Column) -> Column:
@@ -302,13 +315,36 @@ def table_maps(body: Column) -> Column:
     return F.transform(table_rows(body), lambda r: F.map_from_entries(once(r)))
 
 
+#: A tag with its quoted attributes, in which a > is none; a quote that is not closed ends with the tag.  The bound keeps
+#: the expression's own stack small.
+TAG = r"""<[A-Za-z/!?](?:[^"'>]++|"[^"]*+"|'[^']*+'){0,400}+>|<[A-Za-z/!?][^>]*+>"""
+#: Elements without visible text, and comments.
+UNSEEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
+
+
+def _entity(name: Column) -> Column:
+    """The character of ``amp``, ``#39`` or ``#x27``; null for what is none."""
+    named = F.create_map(*[F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v))], F.lit("apos"), F.lit("'"))
+    code = F.when(name.startswith("#x") | name.startswith("#X"), F.conv(F.substring(name, F.lit(3), F.lit(8)), 16, 10)).when(name.startswith("#"), F.substring(name, F.lit(2), F.lit(10))).try_cast("long")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(valid, char).when(code.isNotNull(), F.lit("\ufffd")).otherwise(F.try_element_at(named, name))
+
+
+def decode_entities(x: Column) -> Column:
+    """Named and numbered character references as characters, in one pass; what is none stays."""
+
+    def part(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,10}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(_entity(name), F.substring(p, F.length(name) + 2, F.length(p))), F.concat(F.lit("&"), p)))
+
+    return F.array_join(F.transform(F.split(x, "&"), part), "")
+
+
 def clean_html(html: Column) -> Column:
-    """Visible text of a page: no scripts, styles, comments or tags, five entities decoded, white space collapsed."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    """Visible text of a page: no scripts, styles, comments or tags, entities decoded, white space collapsed."""
+    text = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), TAG, " ")
+    return F.trim(F.regexp_replace(F.replace(decode_entities(text), F.lit("\u00a0"), F.lit(" ")), r"[ \t\r\n]+", " "))
 
 
 def language_ratio(x: Column, words: tuple[str, ...]) -> Column:

@@ -39,11 +39,11 @@ def overlapping_spells(spark, d):
     return intervals.overlap_join(s, s, "user_id").filter("event_type < other_event_type").select("user_id", "event_type", "other_event_type")
 
 
-@q(f"WITH s AS ({_SPELLS}) SELECT e.event_id, s.event_type FROM (SELECT event_id, user_id % 3 AS hot, ts FROM events) e LEFT JOIN (SELECT *, user_id % 3 AS hot FROM s WHERE user_id < 30) s ON s.hot = e.hot AND e.ts >= s.since AND e.ts < s.until")
+@q(f"WITH s AS ({_SPELLS}) SELECT e.event_id, s.event_type FROM (SELECT event_id, user_id % 3 AS hot, ts FROM events) e LEFT JOIN (SELECT *, user_id % 3 AS hot FROM s WHERE user_id < 6) s ON s.hot = e.hot AND e.ts >= s.since AND e.ts < s.until")
 def holders_of_hot_offices(spark, d):
     """Three offices that have all facts and many holders at a time."""
     facts = table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("hot"), "ts")
-    spells = _spells(spark, d).filter("user_id < 30").select((F.col("user_id") % 3).alias("hot"), "event_type", "since", "until")
+    spells = _spells(spark, d).filter("user_id < 6").select((F.col("user_id") % 3).alias("hot"), "event_type", "since", "until")
     return intervals.bucketed_holder_join(facts, spells, "hot", F.col("ts")).select("event_id", "event_type")
 
 

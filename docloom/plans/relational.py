@@ -133,9 +133,9 @@ def hierarchy_depth(spark, d):
 WITH RECURSIVE e AS (
   SELECT 'r' || r_regionkey AS child, NULL AS parent, 0 AS w FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0 FROM nation UNION ALL
   SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey FROM customer),
-t AS (SELECT child AS unit, child AS upper, 0 AS steps, w FROM e UNION ALL SELECT t.unit, e.parent, steps + 1, w FROM t JOIN e ON e.child = t.upper WHERE e.parent IS NOT NULL),
+t AS (SELECT child AS unit, child AS upper, 0 AS steps, w FROM e UNION ALL SELECT t.unit, e.parent, steps + 1, t.w FROM t JOIN e ON e.child = t.upper WHERE e.parent IS NOT NULL),
 r AS (SELECT unit, max(steps) AS depth, arg_max(upper, steps) AS root FROM t GROUP BY 1)
-SELECT upper AS unit, any_value(r.root) AS root, CAST(any_value(r.depth) AS INTEGER) AS depth, CAST(count(*) - 1 AS BIGINT) AS n_below, CAST(coalesce(sum(w) FILTER (WHERE steps > 0), 0) AS BIGINT) AS weight_below
+SELECT upper AS unit, any_value(r.root) AS root, CAST(any_value(r.depth) AS INTEGER) AS depth, CAST(count(*) - 1 AS BIGINT) AS n_below, CAST(coalesce(sum(t.w) FILTER (WHERE t.steps > 0), 0) AS BIGINT) AS weight_below
 FROM t JOIN r ON r.unit = t.upper GROUP BY upper"""
 )
 def subtree_sums(spark, d):

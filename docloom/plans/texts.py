@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import czech
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import index, mentions, search
+from ..operators import index, language, mentions, search
 from ..store import fresh_path
 from ._base import Registry, fold_sql, stem_sql, table, tokens_sql
 
@@ -198,11 +198,22 @@ def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", title.alias("title"), F.length(title).cast("long").alias("size"))
 
 
-@q(
-    r"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM a"""
-)
+def _text_sql(html: str) -> str:
+    """``clean_html`` for DuckDB; quotes are doubled for SQL."""
+    tag = T.TAG.replace("++", "+").replace("*+", "*").replace("{0,400}+", "*").replace("'", "''")
+    unseen = "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->"
+    names = ", ".join(f"'{k}': chr({v})" for k, v in sorted(T.name2codepoint.items())) + ", 'apos': chr(39)"
+    part = "regexp_extract(p, '^(#[0-9]{1,10}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});', 1)"
+    number = f"CASE WHEN starts_with({part}, '#x') THEN CAST(concat('0x', substr({part}, 3)) AS INTEGER) WHEN starts_with({part}, '#') THEN CAST(substr({part}, 2) AS INTEGER) END"
+    char = f"CASE WHEN starts_with({part}, '#') THEN chr({number}) ELSE m[{part}] END"
+    decoded = f"array_to_string(list_transform(string_split(t, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE coalesce({char} || substr(p, length({part}) + 2), '&' || p) END), '')"
+    return rf"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace({html}, '{unseen}', ' ', 'g'), '{tag}', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, t, MAP {{{names}}} AS m FROM a)
+SELECT page_id, trim(regexp_replace(replace({decoded}, chr(160), ' '), '[ \t\r\n]+', ' ', 'g')) AS text FROM b"""
+
+
+@q(_text_sql("html"))
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.clean_html(F.col("html")).alias("text"))
 
@@ -320,6 +331,29 @@ def language_flags(spark, d):
     return docs.select("lang", en.alias("en"), de.alias("de")).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("en") > F.col("de")).alias("looks_english"), F.round(F.avg("en"), 6).alias("share"))
 
 
+_GRAMS = r"""
+WITH w AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, lang, n, substr(concat(' ', word, ' '), i, size) AS gram FROM (SELECT *, unnest(range(1, length(word) + 4 - size)) AS i FROM w, (VALUES (1), (2), (3)) t(size)) WHERE substr(concat(' ', word, ' '), i, size) <> ' '),
+p AS (SELECT lang, gram, rank FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS rank FROM g WHERE lang IS NOT NULL GROUP BY 1, 2) WHERE rank < 300),
+o AS (SELECT doc_id, gram, rank FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY sum(n) DESC, gram) - 1 AS rank FROM g GROUP BY 1, 2) WHERE rank < 300),
+d AS (SELECT o.doc_id, l.lang, sum(coalesce(abs(o.rank - p.rank), 300)) AS far FROM o, (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = o.gram GROUP BY 1, 2),
+b AS (SELECT doc_id, arg_min(lang, struct_pack(far := far, lang := lang)) AS language, min(far) AS far FROM d GROUP BY 1)
+"""
+
+
+@q(_GRAMS + "SELECT c.doc_id, b.language, CAST(b.far AS BIGINT) AS distance FROM documents c LEFT JOIN b USING (doc_id)")
+def text_languages(spark, d):
+    docs = table(spark, d, "documents")
+    return language.languages(docs, language.profiles(docs)).select("doc_id", "language", "distance")
+
+
+@q(_GRAMS + "SELECT c.lang, b.language, CAST(count(*) AS BIGINT) AS n FROM documents c LEFT JOIN b USING (doc_id) GROUP BY 1, 2")
+def language_agreement(spark, d):
+    docs = table(spark, d, "documents")
+    found = language.languages(docs.select("doc_id", "text"), language.profiles(docs))
+    return docs.select("doc_id", "lang").join(found, "doc_id").groupBy("lang", "language").agg(F.count("*").alias("n"))
+
+
 @q(
     """
 WITH h AS (SELECT sha256(text) AS hash, doc_id FROM documents)

@@ -55,6 +55,13 @@ CASES = [
     (lambda x: T.vote_value(x), "@", "nepritomen"),
     (lambda x: T.vote_value(x), "?", None),
     (lambda x: T.clean_html(x), "<p>a &amp;lt; b</p><script>x<y</script> c", "a &lt; b c"),
+    (lambda x: T.clean_html(x), '<p title="x>y" data-a=\'<b>\'>one</p><br/>two', "one two"),
+    (lambda x: T.clean_html(x), "a < b and 3<4 <!-- <p> --> c <unclosed", "a < b and 3<4 c <unclosed"),
+    (lambda x: T.clean_html(x), '<a href="x>open quote</a> end', "open quote end"),
+    (lambda x: T.clean_html(x), "&eacute;&#233;&#xE9;&#x1F600; &bogus; &amp;amp; &#0; &#xD800; &nbsp;&apos;R&D", "ééé😀 &bogus; &amp; \ufffd \ufffd 'R&D"),
+    (lambda x: T.clean_html(x), "<p " + "a='1' " * 5000 + ">x", "x"),
+    (lambda x: F.array_join(T.markdown_links(x), " "), "[![img](a.png)](b) [x](c_(d)) [y](<e f> \"t\") `[no](code)` [z](g 'h')", "b c_(d) e f g"),
+    (lambda x: F.array_join(T.markdown_links(x), " "), "```\n[no](fence)\n```\n[yes](ok)", "ok"),
     (lambda x: T.shorten(x, 3), "abcd", "abc…"),
 ]
 
