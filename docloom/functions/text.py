@@ -275,6 +275,18 @@ def statutes(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(\d+/\d{4}) Sb\."), F.lit(1))
 
 
+#: An article or section with its paragraph and letter: ``čl. 9 odst. 5 písm. b)``, ``§ 12a odst. 1``.
+_PROVISION = r"(čl\.|§)\s*(\d+[a-z]?)(?:\s+odst\.\s*(\d+))?(?:\s+písm\.\s*([a-zž])\))?"
+
+
+def provisions(x: Column) -> Column:
+    """Articles and sections that a text names, as (kind, number, paragraph, letter); parts that are not named are null."""
+    part = lambda i: F.regexp_extract_all(x, F.lit(_PROVISION), F.lit(i)).alias(str(i))
+    empty = lambda c: F.nullif(c, F.lit(""))
+    rows = F.arrays_zip(part(1), part(2), part(3), part(4))
+    return F.transform(rows, lambda r: F.struct(F.when(r["1"] == "§", "section").otherwise("article").alias("kind"), r["2"].alias("number"), empty(r["3"]).try_cast("int").alias("paragraph"), empty(r["4"]).alias("letter")))
+
+
 def money(x: Column) -> Column:
     """A decimal from ``1 234,50 Kč``; null if it is none, or has more than 36 digits before the point."""
     plain = F.regexp_replace(F.regexp_replace(x, "[\\s\\u00a0]|Kč|,-|CZK|EUR|€", ""), ",", ".")

@@ -47,14 +47,17 @@ def violations(docs: DataFrame, attrs: str = "attrs", key: str = "path") -> Data
 
 
 def one_per_content(files: DataFrame, content: Column, path: str = "path", total: bool = False) -> DataFrame:
-    """``hash, path, n``: the least path of each content, and how many files have it; ``total`` adds up numeric paths."""
-    hashed = files.select(F.sha2(content, 256).alias("hash"), path)
+    """``hash, path, n``: the least path of each content, and how many files have it; ``total`` adds up numeric paths.
+
+    What is null is no content, and nobody's copy.
+    """
+    hashed = files.filter(content.isNotNull()).select(F.sha2(content, 256).alias("hash"), path)
     return hashed.groupBy("hash").agg(F.min(path).alias(path), F.count("*").alias("n"), *[F.sum(path).alias("total")] * total)
 
 
 def other_places(files: DataFrame, content: Column, path: str = "path") -> DataFrame:
     """``path, other``: for each least path the further ones with its content, a row each, however many there are."""
-    hashed = files.select(F.sha2(content, 256).alias("hash"), F.col(path).alias("other")).distinct()
+    hashed = files.filter(content.isNotNull()).select(F.sha2(content, 256).alias("hash"), F.col(path).alias("other")).distinct()
     first = hashed.groupBy("hash").agg(F.min("other").alias(path))
     return hashed.join(first, "hash").filter(F.col("other") != F.col(path)).select(path, "other")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import materialize
+from ..store import materialize, release
 
 
 def depths(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -13,7 +13,8 @@ def depths(edges: DataFrame, child: str = "child", parent: str = "parent") -> Da
 
     Rounds of joins with steps of 1, 2, 4, ... levels: their number grows with the logarithm of the greatest depth, and
     neither rows nor depth have a limit.  Units in a cycle, or below a missing parent, are not reached; a cycle below a
-    root is an error.
+    root is an error.  A unit that has several ways to a root has a row for each (``tree.labels`` has one row for
+    each unit, and no paths).
     """
     rows = edges.select(F.col(child).alias("unit"), F.col(parent).alias("up"))
     tree = materialize(rows.filter("up is null").select("unit", F.col("unit").alias("root"), F.lit(0).alias("depth"), F.col("unit").cast("string").alias("path")), "tree")
@@ -25,12 +26,14 @@ def depths(edges: DataFrame, child: str = "child", parent: str = "parent") -> Da
         further = above.join(known, "up").select("unit", "root", (F.col("depth") + step).alias("depth"), F.concat_ws("/", "path", "tail").alias("path"))
         further = materialize(further, "further")
         if further.isEmpty():
+            release(above, further)
             return tree
         if step > most:
             raise ValueError("units below a root form a cycle")
         tree = tree.unionByName(further)
         next_ = above.select(F.col("unit").alias("up"), F.col("up").alias("next"), F.col("tail").alias("head"))
-        above = materialize(above.join(next_, "up").select("unit", F.col("next").alias("up"), F.concat_ws("/", "head", "tail").alias("tail")), "above")
+        before, above = above, materialize(above.join(next_, "up").select("unit", F.col("next").alias("up"), F.concat_ws("/", "head", "tail").alias("tail")), "above")
+        release(before)
         step *= 2
 
 

@@ -77,15 +77,15 @@ def bm25(found: DataFrame, lengths: DataFrame, id_col: str = "doc_id") -> DataFr
     return scored.groupBy(id_col).agg(F.sum(idf * weight).alias("score"))
 
 
-def search(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", match_all: bool = False, stemmed: bool = False) -> DataFrame:
-    """The ``k`` best documents for a query (ties: least id); ``match_all`` asks for every term.
+def scores(docs: DataFrame, query: str, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
+    """``id_col, score, parts`` of the documents with any word of the query; ``parts`` is how many of its words.
 
     One pass counts documents, lengths and each term's documents; a second one scores every text in its own row, so
-    no postings are shuffled.  For many searches over the same texts write an index (``index.write_index``).
+    no postings are shuffled.
     """
     terms = query_terms(query, stemmed)
     if not terms:
-        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
+        return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("parts")).limit(0)
     words = (T.stemmed_tokens if stemmed else T.tokens)(F.col(text_col))
     held = F.filter("_w", lambda w: w.isin(*terms))
     cut = docs.select("*", words.alias("_w")).withColumns({"_length": F.size("_w"), "_held": held})
@@ -94,14 +94,22 @@ def search(docs: DataFrame, query: str, k: int = 10, where: Column | None = None
     scored = (cut if where is None else cut.filter(where)).filter(F.size("_held") > 0)
     scored = scored.crossJoin(F.broadcast(stats))  # one row of totals
     norm = K1 * (1 - B + B * F.col("_length") / F.col("_mean"))
-    parts = [F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) * x * (K1 + 1) / (x + norm) for i, x in enumerate(tf)]
-    score = F.lit(0.0)
-    for part in parts:
-        score = score + part
+    score, parts = F.lit(0.0), F.lit(0)
+    for i, x in enumerate(tf):
+        score = score + F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) * x * (K1 + 1) / (x + norm)
+        parts = parts + (x > 0).cast("int")
+    return scored.select(id_col, score.alias("score"), parts.alias("parts"))
+
+
+def search(docs: DataFrame, query: str, k: int = 10, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", match_all: bool = False, stemmed: bool = False) -> DataFrame:
+    """The ``k`` best documents for a query (ties: least id); ``match_all`` asks for every term.
+
+    For many searches over the same texts write an index (``index.write_index``).
+    """
+    found = scores(docs, query, where, id_col, text_col, stemmed)
     if match_all:
-        for x in tf:
-            scored = scored.filter(x > 0)
-    return scored.select(id_col, score.alias("score")).orderBy(F.desc(F.round("score", 6)), id_col).limit(k)
+        found = found.filter(F.col("parts") == len(query_terms(query, stemmed)))
+    return found.select(id_col, "score").orderBy(F.desc(F.round("score", 6)), id_col).limit(k)
 
 
 def _count_of(words: Column, term: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,25 @@ def dissenters(votes: DataFrame, only: str = "ano") -> DataFrame:
 def totals(votes: DataFrame, values: dict[str, str]) -> DataFrame:
     """``vote``, one count for each of ``values`` (column name to value), ``present`` and ``passed``.
 
+    ``consistent`` says that no more votes were counted than members were present.
+
     A vote passes if more than half of those present are for it; a member who is absent or excused is not present.
     """
     counts = [F.count_if(F.col("value") == v).alias(c) for c, v in values.items()]
     t = votes.groupBy("vote").agg(*counts, F.count_if(~F.col("value").isin("nepritomen", "omluven")).alias("present"))
-    return t.withColumn("passed", F.col(next(iter(values))) * 2 > F.col("present"))
+    counted = F.lit(0)
+    for c in values:
+        counted = counted + F.col(c)
+    return t.withColumn("passed", F.col(next(iter(values))) * 2 > F.col("present")).withColumn("consistent", counted <= F.col("present"))
+
+
+def stated_totals(rows: DataFrame, votes_for: str, present: str, parts: Sequence[str]) -> DataFrame:
+    """``rows`` with ``passes`` by the stated numbers and ``consistent``: present covers the sum of the parts; nulls
+    leave both null."""
+    total = F.lit(0)
+    for p in parts:
+        total = total + F.col(p)
+    return rows.withColumn("passes", F.col(votes_for) * 2 > F.col(present)).withColumn("consistent", total <= F.col(present))
 
 
 def map_counts(rows: DataFrame, key: str, votes: str) -> DataFrame:

@@ -45,7 +45,7 @@ def dissenters(spark, d):
     f"""
 SELECT vote, CAST(count(*) FILTER (WHERE value = 'ano') AS BIGINT) AS pro, CAST(count(*) FILTER (WHERE value = 'ne') AS BIGINT) AS proti,
        CAST(count(*) FILTER (WHERE value = 'zdrzel') AS BIGINT) AS zdrzel, CAST(count(*) AS BIGINT) AS present,
-       count(*) FILTER (WHERE value = 'ano') * 2 > count(*) AS passed FROM ({_VOTES}) GROUP BY vote"""
+       count(*) FILTER (WHERE value = 'ano') * 2 > count(*) AS passed, count(*) FILTER (WHERE value IN ('ano', 'ne', 'zdrzel')) <= count(*) AS consistent FROM ({_VOTES}) GROUP BY vote"""
 )
 def pass_rule(spark, d):
     return votes.totals(_votes(spark, d), {"pro": "ano", "proti": "ne", "zdrzel": "zdrzel"})

@@ -356,7 +356,7 @@ def language_agreement(spark, d):
 
 @q(
     """
-WITH h AS (SELECT sha256(text) AS hash, doc_id FROM documents)
+WITH h AS (SELECT sha256(text) AS hash, doc_id FROM documents WHERE text IS NOT NULL)
 SELECT hash, min(doc_id) AS doc_id, CAST(count(*) - 1 AS BIGINT) AS n_others, CAST(sum(doc_id) - min(doc_id) AS BIGINT) AS others FROM h GROUP BY hash HAVING count(*) > 1"""
 )
 def dedup_by_hash(spark, d):

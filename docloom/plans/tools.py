@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import search as S
+from ..registry import ranks
 from . import relational, texts
 from ._base import table
 
@@ -17,6 +18,7 @@ def register(tools) -> None:
         tools.add(f"query_{name}", query)
 
 
+@ranks
 def search(spark, sf_dir, query="", lang=None, k=10):
     docs = table(spark, sf_dir, "documents")
     where = F.col("lang") == lang if lang else None
@@ -43,12 +45,14 @@ def members(spark, sf_dir, unit=None):
     return rows if unit is None else rows.filter(F.element_at(F.split("path", "/"), -2) == unit)
 
 
+@ranks
 def verify_claim(spark, sf_dir, claim="", k=5):
-    """Documents that speak for a claim: all its words first, else the best matches."""
+    """Documents that speak for a claim: those with all of its words first, then by score; the texts are read once for
+    totals and once for scores."""
     docs = table(spark, sf_dir, "documents")
-    full = S.search(docs, claim or "", int(k), match_all=True).withColumn("all_words", F.lit(True))
-    some = S.search(docs, claim or "", int(k)).withColumn("all_words", F.lit(False))
-    return full.unionByName(some.join(full, "doc_id", "left_anti")).orderBy(F.desc("all_words"), F.desc("score"), "doc_id")
+    words = len(S.query_terms(claim or ""))
+    scored = S.scores(docs, claim or "").withColumn("all_words", F.col("parts") == words)
+    return scored.select("doc_id", "score", "all_words").orderBy(F.desc("all_words"), F.desc(F.round("score", 6)), "doc_id").limit(int(k))
 
 
 def news(spark, sf_dir, week=None):
@@ -56,6 +60,7 @@ def news(spark, sf_dir, week=None):
     return rows if week is None else rows.filter(F.col("week") == week)
 
 
+@ranks
 def programme(spark, sf_dir, query="", k=10):
     """A search over hand-made and harvested programmes together."""
     own = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), "text", F.lit("content").alias("layer"))

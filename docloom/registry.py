@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: Rows that a tool returns at most unless asked otherwise.
 CAP = 200
@@ -49,21 +50,33 @@ class Tools:
         return self
 
     def call(self, name: str, cap: int = CAP, **arguments) -> DataFrame:
-        """A tool's first ``cap`` rows; unknown tools and arguments are errors that name the choices."""
+        """A tool's first ``cap`` rows; unknown tools and arguments are errors that name the choices.
+
+        Tools that rank keep their order; the rows of others are put in order of their columns before the cap.
+        """
         if name not in self.tools:
             raise KeyError(f"no tool {name!r}; there are {', '.join(sorted(self.tools))}")
-        known = list(inspect.signature(self.tools[name]).parameters)[2:]
+        tool = self.tools[name]
+        known = list(inspect.signature(tool).parameters)[2:]
         if extra := set(arguments) - set(known):
             raise TypeError(f"{name} takes {', '.join(known) or 'no arguments'}, not {', '.join(sorted(extra))}")
         cleaned = {k: (v.strip() or None) if isinstance(v, str) else v for k, v in arguments.items()}
-        return self.tools[name](self.spark, self.sf_dir, **cleaned).limit(cap)
+        rows = tool(self.spark, self.sf_dir, **cleaned)
+        if getattr(tool, "ranks", False):
+            return rows.limit(cap)
+        sortable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
+        return rows.orderBy(*[F.col(f"`{c}`") for c in sortable]).limit(cap)
+
+    def guarded(self, name: str, cap: int = CAP, **arguments) -> DataFrame:
+        """``call``, run to its end, with an error at any step as a row (error) instead of an exception.
 
-    def guarded(self, name: str, **arguments) -> DataFrame:
-        """``call``, with an error as a row (error) instead of an exception."""
+        The rows come to the driver, which is to serve them: ``cap`` at most.
+        """
         try:
-            return self.call(name, **arguments)
+            rows = self.call(name, cap, **arguments)
+            return self.spark.createDataFrame(rows.collect(), rows.schema)
         except Exception as e:
-            return self.spark.range(1).select(F.lit(f"{type(e).__name__}: {e}").alias("error"))
+            return self.spark.createDataFrame([(f"{type(e).__name__}: {e}",)], "error string")
 
     def _counted(self, name: str, tool: Tool) -> Tool:
         @functools.wraps(tool)
@@ -90,5 +103,11 @@ class Tools:
                 f.write(json.dumps(record, ensure_ascii=False) + "\n")
 
 
+def ranks(tool: Tool) -> Tool:
+    """Marks a tool whose rows come in an order of their own."""
+    tool.ranks = True
+    return tool
+
+
 #: The plugins of this package.
 PLUGINS = ("docloom.plans.tools",)

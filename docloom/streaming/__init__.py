@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .months import monthly_totals
 from .retries import keep_results, outcomes, retry_results, to_try_again
 from .tables import clear_old, read_current, upsert
 
-__all__ = ["append_log", "clear_old", "keep_results", "monthly_counts", "outcomes", "read_current", "retry_results", "to_try_again", "upsert", "weekly_counts"]
+__all__ = ["append_log", "clear_old", "keep_results", "monthly_counts", "monthly_totals", "outcomes", "read_current", "retry_results", "to_try_again", "upsert", "weekly_counts"]
 
 
 def weekly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type", late: str = "14 days") -> DataFrame:
@@ -19,7 +20,10 @@ def weekly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type",
 
 
 def monthly_counts(events: DataFrame, ts: str = "ts", group: str = "event_type") -> DataFrame:
-    """Counts by calendar month, which no fixed window is; the state holds one row for each month and group."""
+    """Counts by calendar month, which no fixed window is, for tables, or streams in complete mode.
+
+    A stream's state holds a row for each month and group for ever; ``monthly_totals`` closes its months.
+    """
     month = F.date_trunc("month", F.col(ts)).cast("date").alias("month")
     return events.groupBy(month, group).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 

@@ -27,6 +27,11 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def use_timers(spark: SparkSession) -> None:
+    """The state store that timers need, for the streams that a session starts from now on."""
+    spark.conf.set(_STORE, _ROCKS)
+
+
 def _row(kind: str, video: str | None, published: int | None, fetched: int | None, tries: int | None = None, subtitles: str | None = None, reason: str | None = None) -> Row:
     return Row(kind=kind, video=video, published=published, fetched=fetched, tries=tries, subtitles=subtitles, reason=reason)
 
@@ -87,8 +92,7 @@ def _typed(rows: DataFrame) -> DataFrame:
 
 def retry_results(tries: DataFrame, days: int = DAYS, delay: str = DELAY) -> DataFrame:
     """A stream of ``RESULT`` rows from a stream of tries; ``fetched`` moves the clock, ``delay`` behind the latest."""
-    spark = tries.sparkSession
-    spark.conf.set(_STORE, _ROCKS)  # timers need it; taken when the stream starts
+    use_timers(tries.sparkSession)
     marked = tries.withColumn("fetched", F.col("fetched").cast("timestamp")).withWatermark("fetched", delay)
     # As plain numbers: Spark would drop rows behind the watermark, which belong in the side table.
     rows = marked.select(F.col("video").cast("string").alias("video"), _millis(F.col("published")).alias("published"), _millis(F.col("fetched")).alias("fetched"), "subtitles")

@@ -108,6 +108,22 @@ def test_document_rules(spark):
     assert within.count() == 3 and rejected.count() == 2
 
 
+def test_null_contents_are_nobodys_copies(spark):
+    files = spark.createDataFrame([("a", None), ("b", None), ("c", "x")], "path string, body string")
+    assert [tuple(r)[1:] for r in documents.one_per_content(files, F.col("body")).collect()] == [("c", 1)]
+    assert documents.other_places(files, F.col("body")).count() == 0
+
+
+def test_stated_votes_and_provisions(spark):
+    rows = spark.createDataFrame([(35, 2, 1, 0, 38), (35, 2, 1, 5, 38), (19, 1, 0, 0, 38), (None, 1, 0, 0, 38)], "pro int, proti int, zdrzel int, nehlasoval int, pritomno int")
+    got = votes.stated_totals(rows, "pro", "pritomno", ("pro", "proti", "zdrzel", "nehlasoval")).select("passes", "consistent").collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, False), (False, True), (None, None)]
+    from docloom.functions import text as T
+
+    found = spark.createDataFrame([("podle čl. 9 odst. 5 písm. b) a § 12a odst. 1, § 3",), (None,), ("nic",)], "x string").select(T.provisions(F.col("x")).alias("p")).collect()
+    assert [tuple(p) for p in found[0]["p"]] == [("article", "9", 5, "b"), ("section", "12a", 1, None), ("section", "3", None, None)] and found[2]["p"] == []
+
+
 def test_digest(spark, tmp_path):
     items = spark.createDataFrame([("votes", "V & 1", "http://a", "x", datetime(2026, 11, 9)), ("votes", "V2", "http://b", "x", datetime(2026, 11, 10)), ("media", "M", "http://c", "x", datetime(2026, 11, 15)), ("media", "no source", "", "x", datetime(2026, 11, 15)), ("media", "later", "http://d", "x", datetime(2026, 11, 16))], "section string, title string, zdroj string, autorita string, ts timestamp")
     ranked = digest.week_items(items)
@@ -159,6 +175,11 @@ def test_tools(spark, tmp_path):
     assert tools.call("search", query="the that", k=3).count() == 3
     assert tools.call("overview", cap=2).count() == 2
     assert "no tool" in tools.guarded("nothing").first()["error"] and "takes" in tools.guarded("search", bad=1).first()["error"]
+    tools.add("dies", lambda spark, d: spark.range(3).select(F.raise_error(F.lit("no such row"))))
+    assert "no such row" in tools.guarded("dies").first()["error"]
+    assert [r["doc_id"] for r in tools.guarded("query_anti_gap", cap=3).collect()] == sorted(r["doc_id"] for r in tools.tools["query_anti_gap"](spark, SF).collect())[:3]
+    claim = tools.call("verify_claim", claim="the that", k=4).collect()
+    assert len(claim) == 4 and [r["all_words"] for r in claim] == sorted((r["all_words"] for r in claim), reverse=True)
     tools.report_gap("What?")
     assert "search" in (tmp_path / "telemetry.jsonl").read_text() and "What?" in (tmp_path / "gaps.jsonl").read_text()
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import store
-from docloom.streaming import clear_old, keep_results, outcomes, read_current, retry_results, to_try_again, upsert
+from docloom.streaming import clear_old, keep_results, monthly_counts, monthly_totals, outcomes, read_current, retry_results, to_try_again, upsert
 from docloom.streaming import tables
 
 TRY = "video string, published timestamp, fetched timestamp, subtitles string"
@@ -114,3 +114,29 @@ def test_a_death_at_any_step_loses_nothing(spark, tmp_path, monkeypatch, step):
     assert {r["v"] for r in read_current(spark, path).collect()} == {0} and read_current(spark, path).count() == 20
     keep(spark.range(10).selectExpr("id AS k", "1 AS v"), 1)
     assert read_current(spark, path).agg(F.sum("v"), F.count("*")).first() == (10, 20)
+
+
+def test_months_come_out_once_they_are_over(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    every = []
+
+    def run(*rows):
+        every.extend(rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = monthly_totals(spark.readStream.schema(schema).parquet(folder))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        return sorted((str(r["month"]), r["event_type"], r["n"], r["total"], r["late"]) for r in spark.read.schema("month date, event_type string, n long, total double, late boolean").parquet(out).collect())
+
+    assert run((day(3), "a", 1.0), (day(5), "a", 2.0), (day(4), "b", None)) == []
+    assert run((day(30), "a", 4.0), (day(31), "a", 8.0)) == []  # the clock stands at the 31st of January
+    january = [("2026-01-01", "a", 3, 7.0, False), ("2026-01-01", "b", 1, 0.0, False)]
+    assert run((day(33), "a", 16.0)) == january
+    assert run((day(6), "b", 5.0)) == [*january, ("2026-01-01", "b", 1, 5.0, True)]
+    done = run((day(70), "c", 1.0))
+    assert ("2026-02-01", "a", 2, 24.0, False) in done and len(done) == 4
+    whole = monthly_counts(spark.createDataFrame(every, schema)).filter("month < '2026-03-01'").collect()
+    sums = {}
+    for month, group, n, total, _ in done:
+        sums[month, group] = tuple(map(sum, zip(sums.get((month, group), (0, 0.0)), (n, total), strict=True)))
+    assert sums == {(str(r["month"]), r["event_type"]): (r["n"], r["total"] or 0.0) for r in whole}
