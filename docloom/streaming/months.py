@@ -7,15 +7,18 @@ months that are open.  Events that come in after their month was closed go out w
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from .retries import use_timers
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in retries
 _OUT = "month date, {group} string, n long, total double, late boolean"
 
 

@@ -12,8 +12,10 @@ watermark: ``outcomes`` gives the same from a whole table.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -24,6 +26,8 @@ DAY_MS = 86_400_000
 RESULT = "kind string, video string, published timestamp, fetched timestamp, tries long, subtitles string, reason string"
 _ROW = "kind string, video string, published long, fetched long, tries long, subtitles string, reason string"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
+# The driver's own Python worker for state gets no shipped files, so processors travel whole, not by name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

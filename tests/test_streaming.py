@@ -140,3 +140,17 @@ def test_months_come_out_once_they_are_over(spark, tmp_path):
     for month, group, n, total, _ in done:
         sums[month, group] = tuple(map(sum, zip(sums.get((month, group), (0, 0.0)), (n, total), strict=True)))
     assert sums == {(str(r["month"]), r["event_type"]): (r["n"], r["total"] or 0.0) for r in whole}
+
+
+def test_processors_load_where_the_package_is_not(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from docloom.streaming.months import MonthlyTotals
+    from docloom.streaming.retries import Retries
+
+    (tmp_path / "p").write_bytes(cloudpickle.dumps((Retries(), MonthlyTotals("g"))))
+    load = "import pickle, sys; a, b = pickle.load(open('p', 'rb')); assert a.window_ms and b.group == 'g' and 'docloom' not in sys.modules"
+    subprocess.run([sys.executable, "-c", load], cwd=tmp_path, check=True, env={})
