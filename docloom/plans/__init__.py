@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import people, relational, streams, texts
+from . import files, people, relational, streams, texts
 
-QUERIES = texts.QUERIES | relational.QUERIES | people.QUERIES | streams.QUERIES
-ORACLE_SQL = texts.SQL | relational.SQL | people.SQL | streams.SQL
+QUERIES = texts.QUERIES | relational.QUERIES | people.QUERIES | streams.QUERIES | files.QUERIES
+ORACLE_SQL = texts.SQL | relational.SQL | people.SQL | streams.SQL | files.SQL
