@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.text import fold
 from .documents import top_per_group, with_evidence
 
 
@@ -54,13 +55,34 @@ def write_feed(ranked: DataFrame, path: str, title: str, most: int = 100) -> Non
     body.select(F.concat(F.lit(head), "items", F.lit("</channel></rss>")).alias("value")).write.mode("overwrite").text(path)
 
 
-def result_proposals(releases: DataFrame, votes: DataFrame, verbs: tuple[str, ...]) -> DataFrame:
-    """Drafts for results: press releases with a verb of success, and adopted votes that the party mostly backed.
+#: Fixed values, folded: words of a promise or a plan, and of support alone.
+PROMISES = ("slibuj", "planuj", "chceme", "budeme", "prosadime", "navrhneme")
+SUPPORT = ("podporili jsme", "podporujeme", "podporil", "vitame")
+
 
-    ``releases`` has zdroj, nazev, body; ``votes`` has zdroj, nazev, vysledek, ano, total.  Drafts await a curator.
+def result_rule(text: Column, verbs: tuple[str, ...], owner: Column | None = None, parties: tuple[str, ...] = ()) -> Column:
+    """Why a text is no result of one's own: ``promise``, ``support`` or ``other party``; null for a result, ``none`` without a verb of success.
+
+    Sentences are judged one by one: a verb of success counts in a sentence without promises.  ``owner`` is whose result
+    it is, where that is known, and ``parties`` whose results count.
     """
-    from ..functions.text import fold
+    any_of = lambda words: r"\b(" + "|".join(words) + ")"
+    sentences = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), fold)
+    done = F.exists(sentences, lambda x: x.rlike(any_of(verbs)) & ~x.rlike(any_of(PROMISES)))
+    other = F.lit(False) if owner is None else F.coalesce(~owner.isin(*parties), F.lit(False))
+    vowed, backed = F.exists(sentences, lambda x: x.rlike(any_of(PROMISES))), F.exists(sentences, lambda x: x.rlike(any_of(SUPPORT)))
+    return F.when(done & other, "other party").when(done, None).when(vowed, "promise").when(backed, "support").otherwise("none")
+
 
-    found = releases.filter(fold(F.concat_ws(" ", "nazev", "body")).rlike(r"\b(" + "|".join(verbs) + ")")).select("zdroj", "nazev", F.lit("release").alias("origin"))
+def result_proposals(releases: DataFrame, votes: DataFrame, verbs: tuple[str, ...], parties: tuple[str, ...] = ()) -> DataFrame:
+    """Drafts for results: press releases with a verb of success, and adopted votes that the party mostly backed.
+
+    ``releases`` has zdroj, nazev, body and may have ``strana`` (whose result it is; with ``parties``, others' are left
+    out); ``votes`` has zdroj, nazev, vysledek, ano, total.  Promises, plans and mere support are no results
+    (``result_rule``).  Drafts await a curator.
+    """
+    owner = F.col("strana") if parties and "strana" in releases.columns else None
+    rule = result_rule(F.concat_ws("\n", "nazev", "body"), verbs, owner, parties)
+    found = releases.filter(rule.isNull()).select("zdroj", "nazev", F.lit("release").alias("origin"))
     backed = votes.filter((F.lower("vysledek") == "prijato") & (F.col("ano") * 2 > F.col("total"))).select("zdroj", "nazev", F.lit("vote").alias("origin"))
     return found.unionByName(backed).withColumn("stav", F.lit("navrh"))

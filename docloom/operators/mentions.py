@@ -40,14 +40,17 @@ def trie(names: Iterable[tuple[str, object]]) -> dict:
     return root
 
 
-def walk(words: list[str], root: dict) -> Counter:
-    """How often each entity's name stands in a text's words."""
+def walk(words: list[str], root: dict, first: dict | None = None) -> Counter:
+    """How often each entity's name stands in a text's words; ``first`` gets the word's number where it does first."""
     found: Counter = Counter()
     for i, word in enumerate(words):
         node, j = root.get(word), i
         while node is not None:
             if "" in node:
                 found.update(node[""])
+                if first is not None:
+                    for entity in node[""]:
+                        first.setdefault(entity, i + 1)
             j += 1
             node = node.get(words[j]) if j < len(words) else None
     return found
@@ -60,20 +63,24 @@ def _find(names: Broadcast, token: str, id_type: pa.DataType, entity_type: pa.Da
             _tries[token] = trie(names.value)
         root = _tries[token]
         for batch in batches:
-            ids, entities, counts = [], [], []
+            ids, entities, counts, firsts = [], [], [], []
             for key, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                found = walk(line.split(" "), root)
+                first: dict = {}
+                found = walk(line.split(" "), root, first)
                 ids += [key] * len(found)
                 entities += found
                 counts += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(entities, entity_type), pa.array(counts, pa.int64())], names=["id", "entity", "n"])
+                firsts += [first[e] for e in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(entities, entity_type), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64())], names=["id", "entity", "n", "first"])
 
     return run
 
 
-def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES, places: bool = False) -> DataFrame:
     """``id_col, entity, n``: how often each entity's name (``names``: ``entity, name``) stands in each text.
 
+    ``places`` adds ``first``, the number of the word with which its first name begins.
+
     A dictionary of more than ``most_bytes`` is dealt by hash to parts; the texts are then walked once for each part.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -87,7 +94,7 @@ def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text
     # The words are joined into one line here, so that no later step cuts a text again for each of its words.
     lines = docs.select(F.col(id_col).alias("id"), F.array_join(T.tokens(F.col(text_col)), " ").alias("line"))
     types = lines.schema["id"].dataType, dictionary.schema["entity"].dataType
-    schema = f"id {types[0].simpleString()}, entity {types[1].simpleString()}, n long"
+    schema = f"id {types[0].simpleString()}, entity {types[1].simpleString()}, n long, first long"
     found = []
     for i in range(parts):
         part = dictionary.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == i)
@@ -96,4 +103,13 @@ def mention_join(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text
     both = found[0]
     for more in found[1:]:
         both = both.unionByName(more)
-    return both.groupBy(F.col("id").alias(id_col), "entity").agg(F.sum("n").alias("n"))
+    return both.groupBy(F.col("id").alias(id_col), "entity").agg(F.sum("n").alias("n"), *[F.min("first").alias("first")] * places)
+
+
+def in_order(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, people``: each text's entities by their first place, then by themselves; ``found`` has places.
+
+    An entity comes once, so a list is no longer than the dictionary.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("first", "entity")))
+    return found.groupBy(id_col).agg(F.transform(listed, lambda x: x["entity"]).alias("people"))

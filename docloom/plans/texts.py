@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import czech
 from ..functions import text as T
 from ..operators import documents as D
-from ..operators import index, language, mentions, search
+from ..operators import index, language, mentions, month_pages, search
 from ..store import fresh_path
 from ._base import Registry, fold_sql, stem_sql, table, tokens_sql
 
@@ -378,23 +378,71 @@ def benchmark_overlap(spark, d):
     return search.rows_with(grams(table(spark, d, "documents"), "doc_id"), "gs", "g", items).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
 
 
-@q(
-    f"""
+_MENTIONS = f"""
 WITH t AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
 b AS (SELECT item_id, {tokens_sql('text')} AS w FROM benchmark),
 n AS (SELECT n_name AS entity, {tokens_sql('n_name')} AS w FROM nation UNION ALL SELECT 'article', ['the'] UNION ALL SELECT 'Elle', ['elle']
   UNION ALL SELECT concat('item ', CAST(item_id AS VARCHAR)), w[1:2 + item_id % 11] FROM b WHERE len(w) >= 2 + item_id % 11),
 d AS (SELECT DISTINCT entity, len(w) AS size, w[1] AS word, array_to_string(w, ' ') AS gram FROM n WHERE len(w) > 0),
-p AS (SELECT doc_id, i, entity, size, gram FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t) JOIN d USING (word))
-SELECT doc_id, entity, CAST(count(*) AS BIGINT) AS n FROM p JOIN t USING (doc_id) WHERE array_to_string(w[i:i + size - 1], ' ') = gram GROUP BY ALL"""
-)
-def mention_join(spark, d):
+p AS (SELECT doc_id, i, entity, size, gram FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t) JOIN d USING (word)),
+m AS (SELECT doc_id, entity, count(*) AS n, min(i) AS first FROM p JOIN t USING (doc_id) WHERE array_to_string(w[i:i + size - 1], ' ') = gram GROUP BY ALL)"""
+
+
+def _names(spark, d):
     names = table(spark, d, "nation").select(F.col("n_name").alias("entity"), F.col("n_name").alias("name"))
     more = spark.range(1).select(F.inline(F.array(F.struct(F.lit("article").alias("entity"), F.lit("THE").alias("name")), F.struct(F.lit("Elle").alias("entity"), F.lit("Élle").alias("name")))))
     # Names of 2 to 12 words: how each benchmark item begins.
     size, words = (2 + F.col("item_id") % 11).cast("int"), T.tokens(F.col("text"))
     items = table(spark, d, "benchmark").filter(F.size(words) >= size).select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("entity"), F.array_join(F.slice(words, F.lit(1), size), " ").alias("name"))
-    return mentions.mention_join(table(spark, d, "documents"), names.unionByName(more).unionByName(items))
+    return names.unionByName(more).unionByName(items)
+
+
+@q(f"{_MENTIONS} SELECT doc_id, entity, CAST(n AS BIGINT) AS n FROM m")
+def mention_join(spark, d):
+    return mentions.mention_join(table(spark, d, "documents"), _names(spark, d))
+
+
+_PEOPLE = f"{_MENTIONS}, l AS (SELECT doc_id, list(entity ORDER BY first, entity) AS people FROM m GROUP BY 1)"
+
+
+def _people(spark, d):
+    return mentions.in_order(mentions.mention_join(table(spark, d, "documents"), _names(spark, d), places=True))
+
+
+@q(f"{_PEOPLE} SELECT doc_id, array_to_string(people, ', ') AS people, CAST(len(people) AS BIGINT) AS n FROM l")
+def people_in_order(spark, d):
+    return _people(spark, d).select("doc_id", F.array_join("people", ", ").alias("people"), F.size("people").cast("long").alias("n"))
+
+
+def _media_items(spark, d):
+    """An event is an article on the document of its number, or on no known one; its kind says whose words they are."""
+    whose = F.when(F.col("event_type") == "view", "vyjadreni-politika").when(F.col("event_type") == "click", "web").otherwise("externi-media")
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("medium"), F.concat(F.lit("https://media.example/"), F.col("event_id").cast("string")).alias("url"), whose.alias("authority"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"))
+    return e.join(docs, "id", "left").join(_people(spark, d).withColumnRenamed("doc_id", "id"), "id", "left")
+
+
+_ITEMS = f"""{_PEOPLE},
+i AS (SELECT e.event_id AS id, e.ts, date_trunc('month', e.ts)::DATE AS month, e.ts::DATE AS day, CASE event_type WHEN 'view' THEN 'vyjadreni-politika' WHEN 'click' THEN 'web' ELSE 'externi-media' END AS authority,
+  '- **' || coalesce(string_split(d.text, chr(10))[1], '') || '** (' || event_type || ') [odkaz](https://media.example/' || event_id || ')' || coalesce(' · zmíněni: ' || array_to_string(l.people, ', '), '') AS text
+  FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id LEFT JOIN l ON l.doc_id = e.event_id)"""
+
+
+@q(
+    f"""{_ITEMS},
+r AS (SELECT month, authority, day, ts, id, text FROM i UNION ALL SELECT DISTINCT month, authority, day, NULL, NULL, '### ' || day(day) || '. ' || month(day) || '. ' || year(day) FROM i)
+SELECT month, authority, row_number() OVER (PARTITION BY month, authority ORDER BY day DESC, ts NULLS FIRST, id) AS line, text FROM r"""
+)
+def month_page_lines(spark, d):
+    return month_pages.lines(_media_items(spark, d))
+
+
+@q(
+    f"""{_ITEMS} SELECT month, authority, count(*) AS n, max(day) AS latest, count(DISTINCT day) AS days,
+CASE authority WHEN 'externi-media' THEN '{month_pages.NOTES["externi-media"]}' WHEN 'vyjadreni-politika' THEN '{month_pages.NOTES["vyjadreni-politika"]}' END AS note FROM i GROUP BY 1, 2"""
+)
+def month_page_heads(spark, d):
+    return month_pages.heads(_media_items(spark, d))
 
 
 @q("SELECT lang, 'vysledek:' || lang AS tag, CAST(count(*) AS BIGINT) AS n FROM documents WHERE n_chars > 500 AND doc_id % 2 = 0 GROUP BY lang")
