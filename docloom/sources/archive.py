@@ -2,7 +2,7 @@
 
 Archives are files of any size and are never held whole.  A directory, or the places where members can start, become rows
 of numbers; these are dealt to tasks, and each task reads the bytes of its own members from the file, so one huge archive
-is read by many tasks and memory holds one member.  Errors are rows, not failures.  Any file system that pyarrow opens
+is read by many tasks and memory holds one large member or a few small ones.  Errors are rows, not failures.  Any file system that pyarrow opens
 will do.
 """
 
@@ -34,6 +34,8 @@ LOCAL, DESCRIPTOR, END = b"PK\x03\x04", b"PK\x07\x08", b"PK\x05\x06"
 _HEADER = struct.Struct("<4sHHHHHIIIHH")
 _SCHEMA = "archive string, name string, size long, status string, content binary"
 _CHUNK = 1 << 20
+#: Bytes of contents in a batch of rows, at least, where there are so many.
+BATCH = 4 << 20
 
 
 # ---- one member of an open file ---------------------------------------------------------------------------------
@@ -170,12 +172,18 @@ def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
+def _small(file):
+    """The file, or its bytes if they are few: a search for the end may look before the start of a tiny archive."""
+    length = _length(file)
+    return io.BytesIO(_at(file, 0, length)) if length < _CHUNK else file
+
+
 def _directories(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The directory of each archive: its end is read, and nothing else."""
     for path in (p for b in batches for p in b.column("archive").to_pylist()):
         rows, problem = [], None
         try:
-            with _open(path) as file, zipfile.ZipFile(file) as z:
+            with _open(path) as file, zipfile.ZipFile(_small(file)) as z:
                 rows = [(m.filename, m.file_size, m.header_offset) for m in z.infolist()]
         except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError) as e:
             rows, problem = [(None, None, None)], f"FAIL {e}"
@@ -193,11 +201,17 @@ def _wanted(name: Column, extensions: tuple[str, ...]) -> Column:
     return ends & ~name.endswith("/")
 
 
+def _rows(members: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = ("archive", "name", "size", "status", "content")
+    return _table(dict(zip(names, zip(map(list, zip(*members, strict=True)), types, strict=True), strict=True)))
+
+
 def _contents(listed: bool, most: int):
     """Members of rows ``archive, at, following``; in listed archives ``name`` and ``status`` are known already."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, file = None, None
+        path, file, ready, held = None, None, [], 0
         try:
             for batch in batches:
                 for row in batch.to_pylist():
@@ -208,8 +222,14 @@ def _contents(listed: bool, most: int):
                             path, file = row["archive"], _open(row["archive"])
                         name, content, size, status, _ = member_at(file, row["at"], row["following"], most)
                         row |= {"content": content, "status": status, "size": size if not listed or status.startswith("OK") else row["size"], "name": row["name"] if listed else name}
-                    # One member a batch, so memory holds one.
-                    yield _table({"archive": ([row["archive"]], pa.string()), "name": ([row["name"]], pa.string()), "size": ([row["size"]], pa.int64()), "status": ([row["status"]], pa.string()), "content": ([row.get("content")], pa.binary())})
+                    ready.append((row["archive"], row["name"], row["size"], row["status"], row.get("content")))
+                    held += len(row.get("content") or b"")
+                    if held >= BATCH:  # small members together, a large one at once
+                        yield _rows(ready)
+                        ready, held = [], 0
+                if ready:
+                    yield _rows(ready)
+                    ready, held = [], 0
         finally:
             if file is not None:
                 file.close()
@@ -306,13 +326,16 @@ def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     path, file = None, None
     try:
         for batch in batches:
-            for p, at in zip(batch.column("archive").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            paths, places, names, beyond = batch.column("archive").to_pylist(), batch.column("at").to_pylist(), [], []
+            for p, at in zip(paths, places, strict=True):
                 if p != path:
                     if file is not None:
                         file.close()
                     path, file = p, _open(p)
                 name, _, _, _, end = member_at(file, at)
-                yield _table({"archive": ([p], pa.string()), "at": ([at], pa.int64()), "name": ([name], pa.string()), "beyond": ([max(end, at + 4)], pa.int64())})
+                names.append(name)
+                beyond.append(max(end, at + 4))
+            yield _table({"archive": (paths, pa.string()), "at": (places, pa.int64()), "name": (names, pa.string()), "beyond": (beyond, pa.int64())})
     finally:
         if file is not None:
             file.close()

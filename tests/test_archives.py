@@ -69,7 +69,10 @@ def test_members_at_hits_end_at_the_next_hit(spark, tmp_path):
 def test_members_of_good_archives(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(b"front" + zipped(("T.TXT", b"t" * 70, zipfile.ZIP_DEFLATED), ("long.md", b"z" * 101, zipfile.ZIP_DEFLATED), ("e.md", b"", zipfile.ZIP_STORED), ("l.md", b"q", zipfile.ZIP_LZMA), ("s.md", b"q", zipfile.ZIP_BZIP2)))
     (tmp_path / "bad.zip").write_bytes(b"PK")
-    got = {r["name"]: (r["status"], r["size"]) for r in archive.read_members(spark, str(tmp_path), most=100).collect()}
+    (tmp_path / "none.zip").write_bytes(zipped())  # an archive without members gives no row
+    found = archive.read_members(spark, str(tmp_path), most=100).collect()
+    got = {r["name"]: (r["status"], r["size"]) for r in found}
+    assert len(found) == len(got)
     bad = got.pop(None)
     assert bad[0].startswith("FAIL")
     assert got == {"T.TXT": ("OK", 70), "long.md": ("SKIP too large", 101), "e.md": ("OK", 0), "l.md": ("FAIL method 14", 1), "s.md": ("FAIL method 12", 1)}
