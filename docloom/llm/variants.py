@@ -120,7 +120,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     right = met(taken.unionByName(whole)).select("at", "skip", F.col("word").alias("b"), F.col("n").alias("b_n"))
     # A pair whose first halves are equal is met there; the second halves count for the others only.
     other = (F.col("side") == 0) | (F.substring("a", F.lit(1), F.col("half")) != F.substring("b", F.lit(1), F.col("half")))
-    pairs = left.join(right, "at").filter((F.col("a") != F.col("b")) & other & (F.levenshtein("a", "b", 1) == 1))
+    # Sizes are guessed from the words' small files, before each row is taken apart; no join here may be broadcast by them.
+    pairs = left.join(right.hint("merge"), "at").filter((F.col("a") != F.col("b")) & other & (F.levenshtein("a", "b", 1) == 1))
     one = F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("near"), F.col("b_n").alias("near_n"))
     back = F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))
     # Exchanges are met from both sides; an addition or removal only from the longer word.
@@ -132,7 +133,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     at = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        jumped = at.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        jumped = at.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         before, at = at, materialize(jumped, "roots")
         release(before)
         if at.filter("moved").isEmpty():
@@ -146,11 +147,11 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     words = materialize(word_counts(docs, id_col, text_col, least_length, least_count, divisor), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    rows = words.join(near, "word", "left")
+    rows = words.join(near.hint("merge"), "word", "left")
     formed = (-F.col("best.less")) >= F.col("n") * ratio
     rows = materialize(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(formed, F.col("best.near")).alias("form"), F.when(formed, -F.col("best.less")).alias("form_n")), "forms")
     roots, table = _roots(rows.filter("form is not null"))
-    out = rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    out = rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     out = materialize(out, "variants")
     release(words, rows, table)
     return out

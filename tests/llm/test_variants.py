@@ -106,3 +106,12 @@ def test_very_long_runs_and_texts(spark):
     rows = [(1, f"{long} {long} {long} {long} {long} {long}x {long}x {long}x {long}x {long}x"), (2, "tokens " * 300_000)]
     got = {r.word: (r.n, r.n_near) for r in variants.variants(spark.createDataFrame(rows, "doc_id long, text string"), divisor=10**12).collect()}
     assert got == {long: (5, 1), long + "x": (5, 1), "tokens": (300_000, 0)}
+
+
+def test_no_join_is_broadcast_by_the_size_of_a_small_file(spark, tmp_path):
+    """A file of words is far smaller than its rows taken apart, and those would pass the driver."""
+    words = [f"word{i}" for i in range(50)]
+    spark.createDataFrame([(w, 5) for w in words], "word string, n long").write.parquet(f"{tmp_path}/words")
+    pairs = variants.near_pairs(spark.read.parquet(f"{tmp_path}/words"))
+    assert "SortMergeJoin" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+    assert {(r.word, r.near) for r in pairs.collect()} == {(a, b) for a in words for b in words if near(a, b)}
