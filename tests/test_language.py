@@ -1,8 +1,10 @@
 """Languages by ranks of n-grams against plain Python."""
 
 import os
+import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +38,39 @@ def test_agreement_with_the_labels_of_other_documents(spark):
     found = L.languages(docs.filter("doc_id % 2 = 1"), L.profiles(docs.filter("doc_id % 2 = 0")))
     share = found.join(docs, "doc_id").agg(F.avg((F.col("language") == F.col("lang")).cast("int"))).first()[0]
     assert share > 0.95
+
+
+def plain(text, known):
+    """(language, distance, letters) from the definition."""
+    counts = L.ngrams(text)
+    own = L.ranked(counts)
+    letters = sum(n for g, n in counts.items() if len(g) == 1)
+    far = [(sum(abs(i - p[g]) if g in p else L.MOST for i, g in enumerate(own)), lang) for lang, p in known.items()]
+    return (min(far)[1], min(far)[0], letters) if own else (None, None, letters)
+
+
+def test_many_texts_at_once_equal_plain_counts(spark, monkeypatch):
+    """Words in tokens with other signs, ties, letters beyond the first plane, texts far longer than their neighbours."""
+    monkeypatch.setattr(L, "CHARS", 500)
+    r = random.Random(3)
+    letters = "aábc ,d.1²½_\n😀𝒜İΣß'-́ ⅷ"
+    texts = ["".join(r.choices(letters, [8] * 4 + [9] + [1] * (len(letters) - 5), k=r.choice((1, 5, 60, 900)))) for _ in range(120)] + [None, "", "b b\n\nb a"]
+    rows = [(i, t, r.choice(("x", "y", None))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {lang: {g: i for i, g in enumerate(L.ranked(sum((L.ngrams(t) for _, t, k in rows if k == lang and t), Counter())))} for lang in ("x", "y")}
+    found = L.profiles(docs)
+    assert {(p["lang"], p["gram"], p["rank"]) for p in found.collect()} == {(k, g, i) for k, p in known.items() for g, i in p.items()}
+    got = L.languages(docs, found, keep=["lang"]).collect()
+    assert {(g["doc_id"], g["lang"]) for g in got} == {(i, k) for i, _, k in rows} and len(got) == len(rows)
+    for g in got:
+        assert (g["language"], g["distance"], g["letters"]) == plain(texts[g["doc_id"]] or "", known)
+
+
+def test_each_different_word_is_cut_once(monkeypatch):
+    """The work follows the different words of many texts, not their sum."""
+    cut, whole = [], L._cut
+    monkeypatch.setattr(L, "_cut", lambda words: cut.extend(words) or whole(words))
+    batch = pa.RecordBatch.from_pydict({"lang": ["x"] * 50, "text": ["one two, two"] * 50})
+    assert sum(sum(b.column("n").to_pylist()) for b in L._counted(iter([batch]))) == 50 * (L.ngrams("one two two").total())
+    assert sorted(cut) == ["one", "two"]
+    assert L.judged([{"one": 1, "two": 2}] * 50, {"x": {"o": 0}})[49] == plain("one two two", {"x": {"o": 0}}) and len(cut) == 4
