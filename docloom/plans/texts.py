@@ -350,8 +350,8 @@ def text_languages(spark, d):
 @q(_GRAMS + "SELECT c.lang, b.language, CAST(count(*) AS BIGINT) AS n FROM documents c LEFT JOIN b USING (doc_id) GROUP BY 1, 2")
 def language_agreement(spark, d):
     docs = table(spark, d, "documents")
-    found = language.languages(docs.select("doc_id", "text"), language.profiles(docs))
-    return docs.select("doc_id", "lang").join(found, "doc_id").groupBy("lang", "language").agg(F.count("*").alias("n"))
+    found = language.languages(docs, language.profiles(docs), keep=["lang"])
+    return found.groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
 @q(

@@ -74,3 +74,12 @@ def test_each_different_word_is_cut_once(monkeypatch):
     assert sum(sum(b.column("n").to_pylist()) for b in L._counted(iter([batch]))) == 50 * (L.ngrams("one two two").total())
     assert sorted(cut) == ["one", "two"]
     assert L.judged([{"one": 1, "two": 2}] * 50, {"x": {"o": 0}})[49] == plain("one two two", {"x": {"o": 0}}) and len(cut) == 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_agreement_joins_nothing(spark):
+    """The label goes with the text; the documents are not met a second time."""
+    from docloom.plans import QUERIES
+
+    plan = QUERIES["language_agreement"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
