@@ -29,7 +29,7 @@ _LETTERS = _latin_letters() | STROKED
 #: Letters with marks and the letters they fold to.
 MARKED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
 #: Marks that stand behind their letter in decomposed texts.
-MARKS = "[\u0300-\u036f]"
+MARKS, _MARKS = "[\u0300-\u036f]", "".join(map(chr, range(0x300, 0x370)))
 #: What cuts words: all but letters and digits of any script.
 GAP, MARKED_GAP = r"[^\p{L}\p{N}]+", r"[^\p{L}\p{N}\p{M}]+"
 
@@ -43,7 +43,7 @@ SENTINELS = ("neuvedeno", "0", "ne")
 
 def fold(x: Column) -> Column:
     """Lower case without diacritics, composed or not; other scripts keep their letters."""
-    plain = F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), MARKS, "")
+    plain = F.translate(F.lower(x), MARKED + _MARKS, PLAIN)  # what has no counterpart goes
     for letter, two in LIGATURES.items():
         plain = F.replace(plain, F.lit(letter), F.lit(two))
     return plain

@@ -4,11 +4,13 @@
 
 * ``docs``: ``id, window, length`` and the columns that were named to be kept for filters;
 * ``terms``: ``term, df, cf`` in order of term, so that a prefix is a range of few files;
-* ``postings``: a row for each term and window, with ``n``, the greatest ``tf`` and least ``length`` there, and the
+* ``postings``: a row for each term and window (several, if a window has very many words), with ``n``, the greatest ``tf`` and least ``length`` there, and the
   documents with their places.  Rows lie in folders by the term's hash, sorted by term.
 
 A window is a set of about ``WINDOW`` documents, chosen by the id's hash; so a common word's documents are spread over
-many rows and tasks, and no row grows with the table.  The number of folders follows the number of words.
+many rows and tasks, and no row grows with the table.  The number of folders follows the number of words.  Texts are
+dealt by window and their words grouped there, so that a row for each word of a window is shuffled, not one for each of
+a document.
 
 A file ``_current`` names the segments, their totals and the index's options; it is replaced by a rename, so a reader
 sees all of a segment or nothing of it.  A search takes the options from there: they cannot differ from the writing.
@@ -24,11 +26,15 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
@@ -40,6 +46,8 @@ WINDOW = 4096
 FOLDER_WORDS, MOST_FOLDERS, SLOTS = 4_000_000, 4096, 8
 #: Windows that are scored first, beside one for each asked document, to learn which score the best documents reach.
 FIRST_WINDOWS = 8
+#: Words of a window beyond which a task groups what it has, and rows that it sends on at once.
+TOKENS, SENT = 4_000_000, 20_000
 
 
 def _segment(docs: DataFrame, path: str, stemmed: bool, id_col: str, text_col: str, keep: Sequence[str]) -> dict:
@@ -52,17 +60,14 @@ def _segment(docs: DataFrame, path: str, stemmed: bool, id_col: str, text_col: s
     windows, folders = max(1, math.ceil(n / WINDOW)), min(MOST_FOLDERS, max(1, math.ceil(total / FOLDER_WORDS)))
     window = lambda c: F.pmod(F.xxhash64(c), F.lit(windows)).cast("int")
 
-    # (word, place) sorted and cut where the word changes: a row's words are grouped within the row.
-    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
-    rows = docs.select(F.col(id_col).alias("id"), F.inline(_grouped(placed)))
-    rows = rows.withColumns({"window": window("id"), "folder": F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")})
-    rows = rows.withColumn("slot", F.pmod("window", F.lit(SLOTS)))
-    # One shuffle: what lies together by folder and slot is grouped by term and window, sorted and written.
-    dealt = rows.repartition("folder", "slot").groupBy("folder", "slot", "term", "window")
-    blocks = dealt.agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.sum("tf").cast("long").alias("cf"),
-        F.collect_list(F.struct("id", "tf", "length", "places")).alias("postings"),
-    )
+    # Texts are dealt by window, so a task has all of a window's documents; in their order, so that a task that runs
+    # again gives the same rows.  What is shuffled behind it has a row for each word of a window.
+    dealt = docs.select(F.col(id_col).alias("id"), window(F.col(id_col)).alias("window"), F.col(text_col).alias("text")).repartition("window")
+    cut = dealt.sortWithinPartitions("window", "id").select("id", "window", (T.stemmed_tokens if stemmed else T.tokens)(F.col("text")).alias("words"))
+    kind = cut.schema["id"].dataType
+    rows = cut.mapInArrow(_inverted(to_arrow_type(kind)), _POSTINGS.format(id=kind.simpleString()))
+    rows = rows.withColumns({"folder": F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"), "slot": F.pmod("window", F.lit(SLOTS))})
+    blocks = rows.repartition("folder", "slot").select("folder", "term", "window", "n", "max_tf", "min_length", "cf", "postings")
     entry = {"folder": folder, "docs": n, "words": total, "folders": folders, "schemas": {}}
 
     def write(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -70,7 +75,7 @@ def _segment(docs: DataFrame, path: str, stemmed: bool, id_col: str, text_col: s
         entry["schemas"][name] = df.schema.json()  # an empty table has no file to tell it
         return _read(spark, entry, name)
 
-    written = write(blocks.drop("slot").sortWithinPartitions("folder", "term", "window"), "postings", "folder")
+    written = write(blocks.sortWithinPartitions("folder", "term", "window"), "postings", "folder")
     write(counted.withColumn("window", window("id")), "docs")
     known = written.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("cf").alias("cf"))
     write(known.orderBy("term"), "terms")
@@ -81,20 +86,60 @@ def _read(spark: SparkSession, segment: dict, name: str) -> DataFrame:
     return spark.read.schema(StructType.fromJson(json.loads(segment["schemas"][name]))).parquet(f"{segment['folder']}/{name}")
 
 
-def _grouped(placed: Column) -> Column:
-    """(term, tf, length, places) of a row's sorted (term, at) pairs; the pairs are computed once."""
-
-    def runs(p: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == F.size(p)) | (F.get(p, i)["term"] != F.get(p, i - 1)["term"]))
-        return F.transform(F.array(ends), lambda e: F.transform(e, lambda x, j: _run(p, F.when(j == 0, F.lit(0)).otherwise(F.get(e, j - 1)), x)))[0]
-
-    none = F.array().cast("array<struct<term:string,tf:int,length:bigint,places:array<int>>>")
-    return F.transform(F.array(placed), lambda p: F.when(F.size(p) > 0, runs(p)).otherwise(none))[0]
-
-
-def _run(p: Column, start: Column, end: Column) -> Column:
-    """The run of equal words behind ``start``, up to ``end``."""
-    return F.struct(F.get(p, start)["term"].alias("term"), (end - start).cast("int").alias("tf"), F.size(p).cast("long").alias("length"), F.transform(F.slice(p, start + 1, end - start), lambda x: x["at"]).alias("places"))
+_POSTINGS = "term string, window int, n int, max_tf int, min_length bigint, cf bigint, postings array<struct<id:{id},tf:int,length:bigint,places:array<int>>>"
+
+
+def _inverted(kind: pa.DataType):
+    """From ``id, window, words`` in order of window to rows of postings; a window of very many words has several rows for one."""
+
+    def rows(window: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.chunked_array([p.column("words") for p in parts]).combine_chunks()
+        ids = pa.chunked_array([p.column("id") for p in parts]).combine_chunks().cast(kind)
+        length = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            return
+        # In order of word, then document, then place.
+        key = np.sort((coded.indices.to_numpy().astype(np.int64) << 32) + np.arange(len(coded)))
+        word, token = key >> 32, key & 0xFFFFFFFF
+        doc = np.repeat(np.arange(len(length)), length)[token]
+        places = (token - (np.cumsum(length) - length)[doc]).astype(np.int32)
+        new_word = np.concatenate([[True], word[1:] != word[:-1]])
+        heads = np.flatnonzero(new_word | np.concatenate([[True], doc[1:] != doc[:-1]]))
+        tf, doc = np.diff(np.append(heads, len(key))), doc[heads]
+        first = np.flatnonzero(new_word[heads])  # each word's first posting
+        n = np.diff(np.append(first, len(heads)))
+        offsets = lambda starts, end: pa.array(np.append(starts, end).astype(np.int32))
+        fields = [ids.take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(length[doc]), pa.ListArray.from_arrays(offsets(heads, len(key)), pa.array(places))]
+        postings = pa.ListArray.from_arrays(offsets(first, len(heads)), pa.StructArray.from_arrays(fields, ["id", "tf", "length", "places"]))
+        columns = {
+            "term": coded.dictionary.take(pa.array(word[heads[first]])), "window": pa.array(np.full(len(first), window, np.int32)), "n": pa.array(n.astype(np.int32)),
+            "max_tf": pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), "min_length": pa.array(np.minimum.reduceat(length[doc], first)),
+            "cf": pa.array(np.add.reduceat(tf, first)), "postings": postings,
+        }
+        found = pa.RecordBatch.from_pydict(columns)
+        for at in range(0, len(first), SENT):
+            yield found.slice(at, SENT)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        window, size = None, 0
+        for batch in batches:
+            of = batch.column("window").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and (of[lo] != window or size > TOKENS):
+                    yield from rows(window, held)
+                    held, size = [], 0
+                window = int(of[lo])
+                held.append(batch.slice(lo, hi - lo))
+                size += len(held[-1].column("words").flatten())
+        if held:
+            yield from rows(window, held)
+
+    return run
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", stemmed: bool = True, keep: Sequence[str] = ()) -> None:

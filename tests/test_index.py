@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,17 @@ def test_empty_index_and_null_texts(spark, tmp_path):
     assert I.search_index(spark, path, "ano").count() == 0
     assert I.append_index(spark.createDataFrame([(1, None), (2, ""), (3, "ano")], "doc_id long, text string"), path) == 3
     assert [r["doc_id"] for r in I.search_index(spark, path, "ano").collect()] == [3]
+
+
+def test_windows_are_grouped_where_their_texts_lie(monkeypatch):
+    """Words in order of word, document and place; many words give several rows, none loses a posting."""
+    docs = [(0, i, t.split()) for i, t in enumerate(("b a b", "", "a", "c b"))] + [(5, 9, ["a"])]
+    batches = lambda step: (pa.RecordBatch.from_pylist([dict(zip(("window", "id", "words"), d, strict=True)) for d in docs[i : i + step]], schema=pa.schema([("id", pa.int64()), ("window", pa.int32()), ("words", pa.list_(pa.string()))])) for i in range(0, len(docs), step))
+    got = [r for b in I._inverted(pa.int64())(batches(2)) for r in b.to_pylist()]
+    flat = lambda rows: sorted((r["window"], r["term"], p["id"], p["tf"], p["length"], tuple(p["places"])) for r in rows for p in r["postings"])
+    assert flat(got) == [(0, "a", 0, 1, 3, (1,)), (0, "a", 2, 1, 1, (0,)), (0, "b", 0, 2, 3, (0, 2)), (0, "b", 3, 1, 2, (1,)), (0, "c", 3, 1, 2, (0,)), (5, "a", 9, 1, 1, (0,))]
+    facts = {(r["window"], r["term"]): (r["n"], r["max_tf"], r["min_length"], r["cf"]) for r in got}
+    assert facts == {(0, "a"): (2, 1, 1, 2), (0, "b"): (2, 2, 2, 3), (0, "c"): (1, 1, 2, 1), (5, "a"): (1, 1, 1, 1)} and len(got) == 4
+    monkeypatch.setattr(I, "TOKENS", 0)
+    monkeypatch.setattr(I, "SENT", 1)
+    assert flat(r for b in I._inverted(pa.int64())(batches(1)) for r in b.to_pylist()) == flat(got)
