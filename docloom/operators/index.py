@@ -276,8 +276,10 @@ class Index:
         return met.select("id", "length", F.size(common).alias("tf")).filter("tf > 0")
 
     def prefix(self, prefix: str) -> DataFrame:
-        """``id, length, tf``: occurrences of all words that begin so."""
-        return self.rows_of(self.with_prefix(prefix)).select(F.inline("postings")).groupBy("id", "length").agg(F.sum("tf").alias("tf"))
+        """``id, length, tf``: occurrences of all words that begin so, from a range of each folder's sorted rows."""
+        begun = (F.col("term") >= prefix) & (F.col("term") < prefix + "\U0010ffff")
+        rows = self._each(lambda i, s: _read(self.spark, s, "postings").filter(begun))
+        return rows.select(F.inline("postings")).groupBy("id", "length").agg(F.sum("tf").alias("tf"))
 
     def word(self, word: str) -> DataFrame:
         return self.rows([word]).select(F.inline("postings")).select("id", "length", "tf")

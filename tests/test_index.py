@@ -135,6 +135,12 @@ def test_empty_index_and_null_texts(spark, tmp_path):
     assert [r["doc_id"] for r in I.search_index(spark, path, "ano").collect()] == [3]
 
 
+def test_prefixes_are_ranges_of_the_postings(spark, path):
+    """No list of words is met with all rows."""
+    plan = I.open_index(spark, path).prefix("sch")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(term,sch)" in plan and "Join" not in plan
+
+
 def test_windows_are_grouped_where_their_texts_lie(monkeypatch):
     """Words in order of word, document and place; many words give several rows, none loses a posting."""
     docs = [(0, i, t.split()) for i, t in enumerate(("b a b", "", "a", "c b"))] + [(5, 9, ["a"])]
