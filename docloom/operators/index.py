@@ -224,10 +224,6 @@ class Index:
 
         return self._each(table)
 
-    def rows_of(self, terms: DataFrame) -> DataFrame:
-        """The postings' rows of a table of terms, however many."""
-        return self._each(lambda i, s: _read(self.spark, s, "postings").join(terms.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(s["folders"])).cast("int")), ["folder", "term"]))
-
     # ---- scores ------------------------------------------------------------------------------------------------
 
     def idf(self, df: Column) -> Column:
