@@ -111,3 +111,54 @@ def test_clashing_name(spark):
 
     got = S.with_samples(spark.createDataFrame([(1, "some text", "old")], "doc_id long, text string, Samples string"), F.col("doc_id")).first()
     assert got["Samples_in"] == "old" and len(got["samples"]) == 2
+
+
+def test_random_numbers_are_drawn_for_pieces_not_for_edges(v, monkeypatch):
+    text, k, mixed = "some words of no other meaning in the end " * 200, 3, []
+    monkeypatch.setattr(S, "mix", lambda h: (mixed.append(len(h)), mix(h))[1])
+    found = next(iter(S.sample_texts([text], np.array([5], np.uint64), v, k)))
+    assert len(found) == k
+    assert sum(mixed) <= sum(len(s[0]) for s in found) + 4 * len(S.units(text)) + 100 * k
+
+
+def test_all_segmentations_and_the_order_of_few_in_many(v):
+    steep = S.Vocabulary.load(alpha=6.0)  # the likeliest has nearly all
+    seeds = mix(np.array([3], np.uint64))
+    for w in (v, steep):
+        for text in ("the of", "a    b", "or\nan", "é 中"):
+            every = brute(text, w)
+            found = next(iter(S.sample_texts([text], seeds, w, len(every) + 1)))
+            assert {tuple(s[0].tolist()) for s in found} == set(every) and len(found) == len(every)
+            assert all(abs(every[tuple(s[0].tolist())] - s[1]) < 1e-8 and s[3] == 1.0 for s in found)
+            few = next(iter(S.sample_texts([text], seeds, w, 2)))
+            assert [s[0].tolist() for s in few] == [s[0].tolist() for s in found[:2]]
+            kappa = found[2][2] if len(found) > 2 else -np.inf
+            assert all(s[3] == pytest.approx(-math.expm1(-math.exp(s[1] - kappa)), abs=1e-12) for s in few)
+
+
+def test_words_are_cut_by_place(v):
+    import re
+
+    rule = re.compile(f"{S.MARK}{{1,{S.MOST_MARKS}}}[^{S.MARK}\n]*|\n|[^{S.MARK}\n]+")
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice([" ", "  ", "\n", "a", "bc", S.MARK, " " * 15, " " * 17], rng.integers(12)).tolist()) for _ in range(500)]
+    assert all(S.units(t) == rule.findall(S.MARK + t.replace(" ", S.MARK)) for t in texts)
+    code, begins, at = S._codes(texts)
+    which, number = S._distinct(code, at)
+    words = [w for t in texts for w in S.units(t)]
+    size = np.diff(np.append(at, len(code)))
+    assert ["".join(map(chr, code[at[i] : at[i] + size[i]])) for i in which[number]] == words and len(which) == len(set(words))
+
+
+def test_query_draws_more_than_its_first_two(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "some words of a text"), (2, None), (3, "the")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in S.op6_piece_sampling(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_samples"], r["n_drawn"]) for i, r in got.items()} == {1: (2, 8), 2: (1, 1), 3: (2, 8)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    two = S.with_samples(docs, F.col("doc_id")).select("doc_id", S.digest(S.Vocabulary.load())(F.col("samples")).alias("d")).select("doc_id", "d.*")
+    for r in two.collect():
+        q = got[r["doc_id"]]
+        assert all(r[name] == q[name] for name in ("n_samples", "n_pieces", "ids_hash", "log_prob", "decoded_sha256")) and r["inclusion"] == pytest.approx(q["inclusion"])
+        assert len(q["drawn_log_prob"]) == len(q["drawn_inclusion"]) == q["n_drawn"] and q["drawn_log_prob"][: q["n_samples"]] == q["log_prob"]
