@@ -199,13 +199,12 @@ def _distinct(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 @dataclass
 class Lattice:
     """Word lattices in compressed rows: edges of node n are ``first[n]:first[n + 1]``, the longest first; ``below`` is the
-    chance of a node's edges up to each, past 1 for the last."""
+    chance of a node's edges up to each, past 1 for the last, ``next`` the first edge at an edge's end, -1 if there is none."""
 
     start: np.ndarray
-    end: np.ndarray
     first: np.ndarray
     source: np.ndarray
-    to: np.ndarray
+    next: np.ndarray
     piece: np.ndarray
     logp: np.ndarray
     below: np.ndarray
@@ -237,11 +236,13 @@ def lattice(code: np.ndarray, size: np.ndarray, v: Vocabulary) -> Lattice:
         if not len(at):
             break
     first = np.concatenate([[0], np.cumsum(count)])
-    source, to, piece = (np.empty(first[-1], np.int64) for _ in range(3))
+    length, piece = (np.empty(first[-1], np.int32) for _ in range(2))
     for where, n, rank, what in found:
         e = first[where + 1] - 1 - rank
-        source[e], to[e], piece[e] = where, where + n, what
+        length[e], piece[e] = n, what
     del found
+    source = np.repeat(np.arange(len(count)), count)
+    to = source + length
     known = np.maximum(piece, 0)
     weight = np.where(v.is_byte[known], v.byte_weight, v.weights[known])
     rare = np.flatnonzero(piece < 0)
@@ -251,15 +252,17 @@ def lattice(code: np.ndarray, size: np.ndarray, v: Vocabulary) -> Lattice:
     own_left = left[source]
     by_left = np.argsort(own_left.astype(np.uint16) if len(left) and left.max() < 2**16 else own_left, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(own_left))])
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+    own, at, w = source[by_left], to[by_left], weight[by_left]
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    width, own = np.diff(np.append(heads, len(w))), own[heads]
+    places = np.searchsorted(heads, bounds)
+    for lo, hi, i, j in zip(bounds[:-1], bounds[1:], places[:-1], places[1:], strict=True):
         if lo == hi:
             continue
-        e = by_left[lo:hi]
-        value, own = weight[e] + beta[to[e]], source[e]
-        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        top = np.maximum.reduceat(value, heads)
-        total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(heads, len(e))))), heads)
-        beta[own[heads]] = top + np.log(total)
+        value = w[lo:hi] + beta[at[lo:hi]]
+        top = np.maximum.reduceat(value, heads[i:j] - lo)
+        total = np.add.reduceat(np.exp(value - np.repeat(top, width[i:j])), heads[i:j] - lo)
+        beta[own[i:j]] = top + np.log(total)
     logp = np.minimum(weight + beta[to] - beta[source], 0)
     logp[first[:-1][count == 1]] = 0
     below = np.exp(logp)
@@ -270,7 +273,7 @@ def lattice(code: np.ndarray, size: np.ndarray, v: Vocabulary) -> Lattice:
         n += 1
         rows = rows[count[rows] > n]
     below[first[1:][count > 0] - 1] = 2
-    return Lattice(start, end, first, source, to, piece, logp, below)
+    return Lattice(start, first, source, np.where(count > 0, first[:-1], -1)[to], piece, logp, below)
 
 
 def _uniform(seed: np.ndarray, salt: int) -> np.ndarray:
@@ -314,29 +317,31 @@ class Sampler:
     def __init__(self, g: Lattice, unit: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int):
         self.g, self.k, self.seeds = g, k, seeds
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.start, self.end = g.start[unit], g.end[unit]
+        self.edge = g.first[g.start[unit]]
         with np.errstate(over="ignore"):
             self.token_seed = mix(np.repeat(seeds, sizes) ^ mix(_ragged(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64) + np.uint64(0x51ED2701)))
         self.pool, self.used = np.empty(0, np.int64), 0
 
-    def _walk(self, token: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-        """Complete words from ``node``: the drawn edges in order, and each word's number of them."""
-        g, end, steps = self.g, self.end[token], []
+    def _walk(self, token: np.ndarray, edge: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+        """Complete words from a node with the first edge ``edge``, or -1 at their end: the drawn edges in order, and each word's number of them."""
+        g, steps = self.g, []
         count = np.zeros(len(token), np.int64)
-        live = np.flatnonzero(node < end)
-        at, end, seed = node[live], end[live], self.token_seed[token[live]]
+        live = np.flatnonzero(edge >= 0)
+        edge, seed = edge[live], self.token_seed[token[live]]
         while len(live):
             u = _uniform(seed, (sample << 32) + len(steps) + 1)
-            edge = g.first[at]
             more = np.flatnonzero(u >= g.below[edge])
+            e, u = edge[more], u[more]
             while len(more):
-                edge[more] += 1
-                more = more[u[more] >= g.below[edge[more]]]
+                e += 1
+                edge[more] = e
+                on = np.flatnonzero(u >= g.below[e])
+                more, e, u = more[on], e[on], u[on]
             steps.append((live, edge))
-            count[live] += 1
-            at = g.to[edge]
-            keep = np.flatnonzero(at < end)
-            live, at, end, seed = live[keep], at[keep], end[keep], seed[keep]
+            count[live] = len(steps)
+            after = g.next[edge]
+            keep = np.flatnonzero(after >= 0)
+            live, edge, seed = live[keep], after[keep], seed[keep]
         place = np.cumsum(count) - count
         out = np.empty(count.sum(), np.int64)
         for n, (who, edge) in enumerate(steps):
@@ -423,7 +428,7 @@ class Sampler:
         g, n_docs = self.g, len(self.first) - 1
         frontier, results = Frontier(self.seeds, self.k), []
         docs, value = np.arange(n_docs), -np.log(-np.log(_uniform(self.seeds, 0)))
-        token, node, heads = np.arange(len(self.start)), self.start, self.first[:-1]
+        token, edge, heads = np.arange(len(self.edge)), self.edge, self.first[:-1]
         shared, base = np.zeros(n_docs, np.int64), np.zeros(n_docs)  # steps and log-probability of what is not drawn anew
         for sample in range(self.k):
             slot = sample * Frontier.SLOTS
@@ -450,15 +455,15 @@ class Sampler:
                     frontier.add(docs[p], slot + 1 + i, value[p], base=before[p], length=length, mass=self._path_mass(r["path"][p], c, d, length), path=r["path"][p], a=c, lo=-1, hi=d)
                 base = base + g.logp[chosen]
                 head = self.pool[_ragged(r["path"], step)]
-                closes = np.concatenate([[0], np.cumsum(g.first[g.to[head]] == g.first[g.to[head] + 1])])
+                closes = np.concatenate([[0], np.cumsum(g.next[head] < 0)])
                 ends = np.cumsum(step)
                 at = self.first[docs] + closes[ends] - closes[ends - step]
                 left = self.first[docs + 1] - at
                 token, heads = _ragged(at, left), np.cumsum(left) - left
-                node = self.start[token]
-                node[heads] = g.to[chosen]
+                edge = self.edge[token]
+                edge[heads] = g.next[chosen]
                 shared = step + 1
-            edges, count = self._walk(token, node, sample)
+            edges, count = self._walk(token, edge, sample)
             drawn = np.add.reduceat(count, heads)
             length = np.zeros(len(docs))
             some = drawn > 0
@@ -469,7 +474,9 @@ class Sampler:
             if sample:
                 self.pool[_ragged(path, step)] = head
                 self.pool[path + step] = chosen
-            self.pool[_ragged(path + shared, drawn)] = edges
+                self.pool[_ragged(path + shared, drawn)] = edges
+            else:
+                self.pool[: self.used] = edges
             results.append((docs, base + length, value, size, path))
             frontier.add(docs, slot, value, base=base, length=length, mass=self._path_mass(path, shared, size, length), path=path, a=shared, lo=-1, hi=size)
         self.kappa = frontier.value.max(1)
